@@ -9,8 +9,8 @@ Two documents link when 100 * |x & y| >= percent * |x | y|. The work, in order:
    by hash) can only link if their first n - ceil(t n) + 1 shingles meet. Hot slots are
    found by counting all shingles into 2**22 slots in each task; the bitmap of hot slots
    has that fixed size whatever the input. The order decides cost, never the result.
-3. *A similar set's answers.* Within an index list the sets are ordered by fingerprint;
-   each is compared with the list's first set and with the one before it only. Where
+3. *A similar set's answers.* Within an index list the sets are ordered by a hash of their
+   fingerprints; each is compared with the list's first set and the one before it only. Where
    that links, a set shares the other's answers (it is in the same component), and no
    later pair inside that component is made.
 4. *Block skip.* What is left are pairs of one list whose components differ. A list is
@@ -187,16 +187,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     bits[[r.slot for r in slots.toLocalIterator()]] = 1
     hot = spark.sparkContext.broadcast(np.packbits(bits))
 
-    by = Window.partitionBy("token").orderBy("fp")
-    entries = _prefixes(docs, hot, k, percent).withColumn("before", F.lag("fp").over(by)).withColumn("lead", F.first("fp").over(by)).withColumn("next", F.lead("fp").over(by))
-    entries = entries.where("before is null or before <> fp").where("lead <> fp or (next is not null)").select("token", "fp", "n", "pos", "before", "lead")
+    # Four orders, by token: a set meets several firsts and predecessors over its lists.
+    by = Window.partitionBy("token").orderBy(F.xxhash64("fp", F.pmod("token", F.lit(4))), "fp")
+    here = F.struct("fp", "n", "pos")
+    entries = _prefixes(docs, hot, k, percent).withColumn("before", F.lag(here).over(by)).withColumn("lead", F.first(here).over(by)).withColumn("next", F.lead("fp").over(by))
+    entries = entries.where("before is null or before.fp <> fp").where("lead.fp <> fp or next is not null").select("token", "fp", "n", "pos", "before", "lead")
     entries = materialize(entries)
-    star = entries.where("before is not null").select(F.col("fp").alias("b"), F.explode(F.array("before", "lead")).alias("a")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    size, room = _within(percent)
+    star = entries.where("before is not null").select("fp", F.col("n").alias("na"), "pos", F.explode(F.array("before", "lead")).alias("o")).withColumn("nb", F.col("o.n"))
+    star = star.where("fp <> o.fp").where(size & ((F.col("pos") + F.col("o.pos")).cast("long") * (100 + percent) <= room))
+    star = materialize(star.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct())
     links = materialize(_verified(docs, star, classes, k, percent))
     label = connected_components(links)
 
     # Pairs of one list that are not yet in one component, by blocks of size.
-    size, room = _within(percent)
     step = float(np.log(100 / percent))
     known = entries.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("part"))
     mixed = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
