@@ -51,14 +51,17 @@ def lower_and_space() -> np.ndarray:
 _TABLE = lower_and_space()
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, head: int = 0) -> tuple[np.ndarray, ...]:
     """(hashes, doc): one row per word in order; doc is the index of its text.
 
+    With ``head`` a third array holds the hash of each word's first bytes, 0 for words
+    that are not longer.
+
     ``data`` holds the UTF-8 bytes of all texts, ``offsets`` where each begins, with
     the end of the last. NUL bytes inside a text are read as ordinary word bytes.
     """
     if len(data) == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * bool(head))
     low = _TABLE[data]
     inside = low != 0
     if not inside.all():
@@ -76,6 +79,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     e = np.flatnonzero(last) + 1
     up, down = _power_tables(min(len(data), 2 * _CHUNK) + 1)
     out = np.empty(len(b), np.uint64)
+    heads = np.zeros(len(b) if head else 0, np.uint64)
+    long = e - b > head
     at = 0
     while at < len(b):  # pieces of whole words, so that tables and sums stay small
         lo = b[at]
@@ -86,9 +91,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         s = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((low[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=s[1:])
         out[at:to] = (s[e[at:to] - lo] - s[b[at:to] - lo]) * down[b[at:to] - lo]
+        if head:
+            x = b[at:to][long[at:to]] - lo
+            heads[at:to][long[at:to]] = mix((s[x + head] - s[x]) * down[x] + np.uint64(1))
         at = to
     doc = np.searchsorted(offsets, b, "right") - 1
-    return mix(out), doc
+    return (mix(out), doc, heads) if head else (mix(out), doc)
 
 
 def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -4,9 +4,9 @@ Grades: 0 for documents labelled not toxic; 1 to 3 for toxic ones, by how many d
 words of the toxic lexicon they hold. The lexicon is the words whose presence goes with
 the toxic label by smoothed log-odds on the training sample.
 
-Features: presence of the words most associated with the label either way (by a
-signed likelihood ratio), at most ``max_words``, as a 0/1 vector, scaled by one over the
-root of nothing: presence counts, length does not. Model: P(grade > j) =
+Features: presence of words and of word beginnings (six bytes, for inflected forms), those
+most associated with the label either way (log-odds at least three standard errors from
+0), at most ``max_words``, as a 0/1 vector. Toxic and other rows weigh the same in the loss. Model: P(grade > j) =
 sigmoid(w.x - b_j) with one weight vector for all thresholds b_1 <= b_2 <= b_3, fit by
 gradient descent with an L2 penalty. Expected severity is the sum of the three
 probabilities; a document is toxic if P(grade > 0) is at least one half.
@@ -36,6 +36,12 @@ def bare_words(text):
     return F.translate(F.coalesce(text, F.lit("")), ".,;:!?\"()&%$#*|", " " * 15)
 
 
+def _features(column):
+    """(hash, doc) of all words and of the beginnings of longer words."""
+    h, d, p = word_hashes(*arrow_bytes(column), head=6)
+    return np.concatenate([h, p[p != 0]]).view(np.int64), np.concatenate([d, d[p != 0]])
+
+
 def _presence(docs: DataFrame) -> DataFrame:
     """(doc_id, label, words) with the distinct word hashes of each document of the sample."""
 
@@ -43,9 +49,10 @@ def _presence(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            h, d = word_hashes(*arrow_bytes(b.column("text")))
+            h, d = _features(b.column("text"))
+            order = np.argsort(d, kind="stable")
             ends = np.cumsum(np.bincount(d, minlength=b.num_rows))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([np.unique(x).view(np.int64) for x in np.split(h, ends[:-1])], pa.list_(pa.int64()))], names=["doc_id", "label", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([np.unique(x) for x in np.split(h[order], ends[:-1])], pa.list_(pa.int64()))], names=["doc_id", "label", "words"])
 
     return docs.select("doc_id", "label", bare_words(F.col("text")).alias("text")).mapInArrow(run, "doc_id long, label double, words array<long>")
 
@@ -61,7 +68,7 @@ def learn(sample: DataFrame, max_words: int = MAX_WORDS):
     df = rows.select("label", F.explode("words").alias("w")).groupBy("w").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 5")
     odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = df.select("w", z.alias("z"), odds.alias("odds")).orderBy(F.abs("z").desc(), "w").limit(max_words).toPandas().sort_values("w")
+    top = df.select("w", z.alias("z"), odds.alias("odds")).where(F.abs("z") >= 3).orderBy(F.abs("z").desc(), "w").limit(max_words).toPandas().sort_values("w")
     vocab = top["w"].to_numpy(np.int64)
     lexicon = (top["z"] > 6).to_numpy() & (top["odds"] > 2).to_numpy()
     kept = F.array(*[F.lit(int(v)) for v in vocab]) if len(vocab) else F.array().cast("array<bigint>")
@@ -76,17 +83,18 @@ def learn(sample: DataFrame, max_words: int = MAX_WORDS):
     grade = np.where(y > 0, np.clip(x @ lexicon.astype(np.float32), 1, GRADES), 0).astype(int)
     above = (grade[:, None] > np.arange(GRADES)[None, :]).astype(np.float32)
     w = np.zeros(len(vocab), np.float32)
-    rate = np.clip(above.mean(axis=0), 1e-3, 1 - 1e-3)
+    share = np.where(y > 0, 0.5 / n1, 0.5 / n0).astype(np.float32)[:, None]  # both classes weigh the same
+    rate = np.clip((above * share).sum(axis=0), 1e-3, 1 - 1e-3)
     b = np.log((1 - rate) / rate).astype(np.float32)
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    for step in range(1, 301):
+    for step in range(1, 501):
         s = x @ w
-        d = (1 / (1 + np.exp(-(s[:, None] - b[None, :]))) - above) / len(y)
-        gw, gb = x.T @ d.sum(axis=1) + 1e-5 * w, -d.sum(axis=0)
+        d = (1 / (1 + np.exp(-(s[:, None] - b[None, :]))) - above) * share
+        gw, gb = x.T @ d.sum(axis=1) + 1e-6 * w, -d.sum(axis=0)
         for p, g, m, v in ((w, gw, mw, vw), (b, gb, mb, vb)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            p -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         b = np.maximum.accumulate(b)
     return vocab, w, b
 
@@ -105,8 +113,7 @@ def severity(docs: DataFrame, model) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 part = whole.slice(at, 1024)
-                h, d = word_hashes(*arrow_bytes(part.column("text")))
-                h = h.view(np.int64)
+                h, d = _features(part.column("text"))
                 hit = maybe[h & 0xFFFF]
                 h, d = h[hit], d[hit]
                 s = np.zeros(part.num_rows)
