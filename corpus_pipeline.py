@@ -1,11 +1,74 @@
-"""Training-corpus pipeline (being filled)."""
+"""Training-corpus pipeline: quality, near-duplicates, personal data, mixing, packing.
 
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all
+but the last return the columns of documents. Between stages the table is written as
+Parquet in the shared folder and read again, so a lost executor repeats one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pitfolio.llm import jaccard_join, mixing, packing, pii, quality
+from pitfolio.llm.common import materialize, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; its rules are learned from labelled rows of docs."""
+    return quality.quality_scores(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles at 0.8, the one with the smallest id.
+
+    Of rows that repeat an id one stays; rows without an id stay as they are.
+    """
+    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"), k=5, percent=80)
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = docs.join(first, "doc_id")
+    once = kept.where("rows = 1").select(*docs.columns)
+    again = kept.where("rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+
+
+def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with personal data and terms that reveal it replaced; n_chars follows the text."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; a copy is a row."""
+    size = mixing.n_words(F.col("text")).alias("size")
+    keys = [F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_i"), F.coalesce("source", F.lit("\0")).alias("_s"), F.col("size").alias("_n")]
+    plan = mixing.mixed(docs).select(*keys, "copies").groupBy("_i", "_s", "_n").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    rows = docs.withColumn("size", size).select(*docs.columns, *keys).join(plan, ["_i", "_s", "_n"])
+    k = F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(F.lit(1)))
+    rows = rows.withColumn("_k", F.element_at("copies", k)).where("_k > 0")
+    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in training sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one),
+    ("personal data", hide_personal),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Rules, draws and tokens are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs
