@@ -259,7 +259,7 @@ def packed(docs: DataFrame, width: int = WIDTH, end_id: int = END_ID, keep_ids:
     classes = spark.createDataFrame([(length, int(np.searchsorted(tops, length))) for length in histogram] or [(1, 0)], "length long, class int")
 
     # Ranks within a class: counts by class and salt, running sums of those, row numbers within.
-    salts = max(1, min(4096, total // 20_000))
+    salts = max(64, min(4096, total // 5_000))
     salted = cut.join(F.broadcast(classes), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("class", "salt").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")
