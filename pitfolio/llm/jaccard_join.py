@@ -17,7 +17,7 @@ Two documents link when 100 * |x & y| >= percent * |x | y|. The work, in order:
    cut in blocks by size, so that only equal or neighbouring blocks meet, and pairs are
    skipped by size, by position (every shingle before the meeting point is missing in
    the other set) and by histogram (its L1 distance is at most the number of shingles
-   that are in one set only).
+   that are in one set only); a coarse form of it, 32 bins, is tested in the join itself.
 5. *Verification* of pairs that pass, on whole sets, and connected components.
 
 Shingles are compared as 64-bit hashes. Documents without words link with nothing.
@@ -34,7 +34,7 @@ from .common import connected_components, materialize, table
 from .textwords import arrow_bytes, mix, shingles, word_hashes
 
 _SLOTS = 1 << 22
-_BINS = 128
+_BINS, _COARSE = 128, 32
 _ROWS = 512
 
 
@@ -75,16 +75,17 @@ def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
             total += len(h)
             bins = np.bincount(d * _BINS + (h & np.uint64(_BINS - 1)).astype(np.int64), minlength=part.num_rows * _BINS)
             raw = np.minimum(bins, 255).astype(np.uint8).tobytes()
+            coarse = np.minimum(bins.reshape(-1, _COARSE, _BINS // _COARSE).sum(axis=2), 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(_fingerprints(n, h, ends)), pa.array([raw[i : i + _BINS] for i in range(0, len(raw), _BINS)], pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32())],
-                names=["doc_id", "n", "fp", "bins", "slot", "seen"],
+                [part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(_fingerprints(n, h, ends)), pa.array([raw[i : i + _BINS] for i in range(0, len(raw), _BINS)], pa.binary()), pa.array(list(coarse), pa.list_(pa.int8())), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.int32())],
+                names=["doc_id", "n", "fp", "bins", "coarse", "slot", "seen"],
             )
         hot = np.flatnonzero(seen >= 4 + 6 * total // _SLOTS).astype(np.int32)
         for i in range(0, len(hot), 50_000):
             x = hot[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.array(x), pa.array(seen[x])], names=["doc_id", "n", "fp", "bins", "slot", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), pa.list_(pa.int8())), pa.array(x), pa.array(seen[x])], names=["doc_id", "n", "fp", "bins", "coarse", "slot", "seen"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, bins binary, slot int, seen int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fp long, bins binary, coarse array<tinyint>, slot int, seen int")
 
 
 def _prefixes(docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
@@ -179,8 +180,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     """
     spark = docs.sparkSession
     first = materialize(shingle_classes(docs, k))
-    rows = first.where("slot is null").select("doc_id", "n", "fp", "bins")
-    classes = materialize(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.any_value("n").alias("n"), F.any_value("bins").alias("bins")))
+    rows = first.where("slot is null").select("doc_id", "n", "fp", "bins", "coarse")
+    classes = materialize(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.any_value("n").alias("n"), F.any_value("bins").alias("bins"), F.any_value("coarse").alias("coarse")))
     least = 16 + classes.count() // 2000
     slots = first.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("slot")
     bits = np.zeros(_SLOTS, np.uint8)
@@ -204,13 +205,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     step = float(np.log(100 / percent))
     known = entries.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("part"))
     mixed = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    known = materialize(known.join(mixed, "token", "left_semi").withColumn("block", F.floor(F.log("n") / step).cast("int")))
-    a = known.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
-    b = known.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"), "block")
+    known = known.join(mixed, "token", "left_semi").join(classes.select("fp", "coarse"), "fp")
+    known = materialize(known.withColumn("block", F.floor(F.log("n") / step).cast("int")))
+    a = known.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"), F.col("coarse").alias("xa"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
+    b = known.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"), F.col("coarse").alias("xb"), "block")
     meet = (a["token"] == b["token"]) & (a["block"] == b["block"]) & (F.col("ca") != F.col("cb"))
     once = (F.col("own") != b["block"]) | (F.col("a") < F.col("b"))
     apart = (F.col("pa") + F.col("pb")).cast("long") * (100 + percent) <= room
-    rest = a.join(b, meet & once & size & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    far = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
+    rest = a.join(b, meet & once & size & apart & (far.cast("long") * (100 + percent) <= room)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialize(_verified(docs, rest.join(star, ["a", "b"], "left_anti"), classes, k, percent))
     joined = label.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)
     final = connected_components(joined)
