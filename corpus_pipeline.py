@@ -16,7 +16,9 @@ from pitfolio.llm.common import materialize, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; its rules are learned from labelled rows of docs."""
-    return quality.quality_scores(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "text")
+    scored = quality.quality_scores(whole, table(spark, sf_dir, "labels"))
+    return scored.where(F.col("score") >= quality.THRESHOLD).select("doc.*")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +28,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"), k=5, percent=80)
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(first, "doc_id")
-    once = kept.where("rows = 1").select(*docs.columns)
-    again = kept.where("rows > 1").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id").join(first, "doc_id")
+    once = kept.where("rows = 1").select("doc.*")
+    again = kept.where("rows > 1").dropDuplicates(["doc_id"]).select("doc.*")
     return once.unionByName(again).unionByName(docs.where("doc_id is null"))
 
 
@@ -42,10 +44,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     size = mixing.n_words(F.col("text")).alias("size")
     keys = [F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_i"), F.coalesce("source", F.lit("\0")).alias("_s"), F.col("size").alias("_n")]
     plan = mixing.mixed(docs).select(*keys, "copies").groupBy("_i", "_s", "_n").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
-    rows = docs.withColumn("size", size).select(*docs.columns, *keys).join(plan, ["_i", "_s", "_n"])
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", size).select("doc", *keys).join(plan, ["_i", "_s", "_n"])
     k = F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(F.lit(1)))
     rows = rows.withColumn("_k", F.element_at("copies", k)).where("_k > 0")
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*docs.columns)
+    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,17 +122,22 @@ def revealing_terms(docs: DataFrame, contexts: DataFrame, disclose: float, suppo
     return rated.where(pmi > disclose * ic).select("kind", "term")
 
 
-def annotate(docs: DataFrame, carry=("doc_id",), reach: int = 40, disclose: float = 0.8, support: int = 5) -> DataFrame:
-    """docs' ``carry`` columns and ``spans``: base spans and those of revealing terms."""
-    rows = docs.select(*carry, "text") if "text" not in carry else docs.select(*carry)
-    rows = rows.withColumn("spans", base_spans(F.col("text")))
+def _annotated(docs: DataFrame, carry, reach: int, disclose: float, support: int) -> DataFrame:
+    """(carried struct, text, spans); a struct, so that no name of docs can clash."""
+    rows = docs.select(F.struct(*carry).alias("carried"), "text").withColumn("spans", base_spans(F.col("text")))
     rows = rows.withColumn("context", F.when(F.size("spans") > 0, _context_terms(F.col("text"), F.col("spans"), reach)))
     rows = rows.withColumn("row_id", F.when(F.size("context") > 0, F.monotonically_increasing_id()))
-    rows = materialize(rows.select("row_id", *carry, "spans", "context"))
+    rows = materialize(rows.select("row_id", "carried", *["text"] * ("text" in carry), "spans", "context"))
     seen = rows.where("row_id is not null").select("row_id", F.explode("context").alias("c")).select("row_id", "c.*")
     bad = revealing_terms(docs, seen.select("kind", "term"), disclose, support)
     more = seen.join(bad, ["kind", "term"]).groupBy("row_id").agg(F.collect_set(F.struct("start", "end", F.lit(KINDS.index("term")).alias("rank"), F.lit("term").alias("kind"))).alias("extra"))
-    return rows.join(more, "row_id", "left").withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(_SPAN))))).select(*carry, "spans")
+    return rows.join(more, "row_id", "left").withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(_SPAN)))))
+
+
+def annotate(docs: DataFrame, carry=("doc_id",), reach: int = 40, disclose: float = 0.8, support: int = 5) -> DataFrame:
+    """docs' ``carry`` columns and ``spans`` (instead of a column of that name): base spans and those of revealing terms."""
+    carry = [c for c in carry if c != "spans"]
+    return _annotated(docs, carry, reach, disclose, support).select("carried.*", "spans")
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -149,11 +154,10 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, out).otherwise(text)
 
 
-def sanitise(docs: DataFrame, **how) -> DataFrame:
+def sanitise(docs: DataFrame, reach: int = 40, disclose: float = 0.8, support: int = 5) -> DataFrame:
     """docs with personal data and revealing terms replaced; a null text stays null."""
-    columns = docs.columns
-    rows = annotate(docs, carry=columns, **how)
-    return rows.withColumn("text", redact(F.col("text"), F.col("spans"))).select(*columns)
+    rows = _annotated(docs, docs.columns, reach, disclose, support)
+    return rows.select(*[redact(F.col("text"), F.col("spans")).alias(c) if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:

@@ -162,11 +162,11 @@ def compile_rules(base: float, weighted: list, names=NAMES) -> Column:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
-    """docs' columns and score. The model learns from ``train_docs`` (docs itself if not given)."""
+    """docs' columns and score (instead of a column of that name). The model learns from ``train_docs`` (docs itself if not given)."""
     sample = with_statistics(training_sample(docs if train_docs is None else train_docs, labels, "quality", 5, 0, max_train))
     base, rules = learn_rules(sample)
-    scored = with_statistics(docs)
-    return scored.select(*docs.columns, compile_rules(base, rules).alias("score"))
+    rows = with_statistics(docs.select(F.struct(*docs.columns).alias("doc"), "text")).select("doc", compile_rules(base, rules).alias("_score"))
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns if c != "score"], F.col("_score").alias("score"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
