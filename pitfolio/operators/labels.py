@@ -23,8 +23,8 @@ def interval_return(schedule: DataFrame, bars: DataFrame, field: str = "open") -
 def interval_vol(schedule: DataFrame, bars: DataFrame) -> DataFrame:
     """Root of the summed squared log changes of closes within [fill, next fill].
 
-    A running sum of squares per ticker turns the range join into two equal joins on the
-    first and last bar of each interval.
+    Changes are taken per ticker first; a range join on the small schedule sums those that
+    lie within, the first bar of an interval only opens it.
     """
     w = Window.partitionBy("ticker").orderBy("date")
     steps = bars.where("close > 0").select("ticker", "date", F.pow(F.ln("close") - F.lag(F.ln("close")).over(w), 2).alias("sq"))
