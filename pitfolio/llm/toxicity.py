@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .quality import training_sample
 from .textwords import arrow_bytes, word_hashes
 
@@ -59,7 +59,7 @@ def _presence(docs: DataFrame) -> DataFrame:
 
 def learn(sample: DataFrame, max_words: int = MAX_WORDS):
     """(word hashes in order, their weights, thresholds)."""
-    rows = _presence(sample)
+    rows = materialize(_presence(sample))  # read three times below; the text only once
     size = rows.groupBy("label").count().collect()
     n1 = sum(r["count"] for r in size if r["label"] == 1)
     n0 = sum(r["count"] for r in size if r["label"] == 0)
