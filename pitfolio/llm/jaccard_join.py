@@ -2,7 +2,7 @@
 
 Two documents link when 100 * |x & y| >= percent * |x | y|. The work, in order:
 
-1. *Equal sets.* Every set gets a 64-bit fingerprint, its size and a 128-bin histogram
+1. *Equal sets.* Every set gets a 64-bit fingerprint, its size and a 512-bin histogram
    of its shingles' hashes. Documents with one fingerprint are one class; from here on
    a class stands for all its copies, which are never expanded.
 2. *Index.* A prefix filter: sets in one global order (shingles in hot slots last, then
@@ -34,7 +34,7 @@ from .common import connected_components, materialize, table
 from .textwords import arrow_bytes, mix, shingles, word_hashes
 
 _SLOTS = 1 << 22
-_BINS, _COARSE = 128, 64
+_BINS, _COARSE = 512, 64
 _ROWS = 512
 
 
@@ -56,6 +56,16 @@ def _fingerprints(n, h, ends):
     return mix(mixed[ends] - mixed[starts] + n.astype(np.uint64)).view(np.int64)
 
 
+def _unseen(fp, seen):
+    """Which sets are the first of their class in this task; ``seen`` holds the task's classes so far."""
+    new = np.zeros(len(fp), bool)
+    new[np.unique(fp, return_index=True)[1]] = True
+    for i in np.flatnonzero(new):
+        new[i] = int(fp[i]) not in seen
+    seen.update(fp[new].tolist())
+    return new
+
+
 def _sizes(batch, ends):
     return np.diff(np.concatenate([[0], ends])).astype(np.int64)
 
@@ -94,7 +104,7 @@ def _prefixes(docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        flags = np.unpackbits(hot.value)
+        flags, seen = np.unpackbits(hot.value), set()
         for part, h, ends, d in _sets(batches, k):
             n = _sizes(part, ends)
             fp = _fingerprints(n, h, ends)
@@ -102,7 +112,7 @@ def _prefixes(docs: DataFrame, hot, k: int, percent: int) -> DataFrame:
             order = np.lexsort((h, late, d)) if late.any() else slice(None)
             h = h[order]
             starts = ends - n
-            keep = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+            keep = np.where((n > 0) & _unseen(fp, seen), n - (percent * n + 99) // 100 + 1, 0)
             row = np.repeat(np.arange(len(n)), keep)
             pos = np.arange(len(row)) - np.repeat(np.cumsum(keep) - keep, keep)
             yield pa.RecordBatch.from_arrays([pa.array(h[starts[row] + pos].view(np.int64)), pa.array(fp[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "fp", "n", "pos"])
@@ -125,11 +135,11 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        flags = np.unpackbits(shared.value)
+        flags, seen = np.unpackbits(shared.value), set()
         for part, h, ends, _ in _sets(batches, k):
             n = _sizes(part, ends)
             fp = _fingerprints(n, h, ends)
-            take = np.flatnonzero((flags[(fp.view(np.uint64) >> np.uint64(40)).astype(np.int64)] > 0) & (n > 0))
+            take = np.flatnonzero((flags[(fp.view(np.uint64) >> np.uint64(40)).astype(np.int64)] > 0) & (n > 0) & _unseen(fp, seen))
             if len(take):
                 v = h.view(np.int64)
                 items = pa.array([v[ends[i] - n[i] : ends[i]] for i in take], pa.list_(pa.int64()))
