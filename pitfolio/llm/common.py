@@ -41,15 +41,25 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Spark's setting that removes the shuffle files of a query when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     Cuts lineage; a lost executor loses nothing, since the files are not its own. The
-    caller's session keeps the folder; it is one fresh name for each call.
+    shuffle files behind a written table serve nobody any more and go when it is written.
+    The caller's session keeps the folder; it is one fresh name for each call.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pitfolio-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
