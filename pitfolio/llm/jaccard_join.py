@@ -14,7 +14,8 @@ Two documents link when 100 * |x & y| >= percent * |x | y|. The work, in order:
    that links, a set shares the other's answers (it is in the same component), and no
    later pair inside that component is made.
 4. *Block skip.* What is left are pairs of one list whose components differ. A list is
-   cut in blocks by size, so that only equal or neighbouring blocks meet, and pairs are
+   cut in blocks by size, so that only equal or neighbouring blocks meet (a set with none
+   of near size in a list is not kept there at all), and pairs are
    skipped by size, by position (every shingle before the meeting point is missing in
    the other set) and by histogram (its L1 distance is at most the number of shingles
    that are in one set only); a coarse form of it, 64 bins, is tested in the join itself.
@@ -203,7 +204,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     here = F.struct("fp", "n", "pos")
     entries = _prefixes(docs, hot, k, percent).withColumn("before", F.lag(here).over(by)).withColumn("lead", F.first(here).over(by)).withColumn("next", F.lead("fp").over(by))
     entries = entries.where("before is null or before.fp <> fp").where("lead.fp <> fp or next is not null").select("token", "fp", "n", "pos", "before", "lead")
-    entries = materialize(entries)
+    # A set links over this list only if the next smaller or larger set here is near in size.
+    by_size = Window.partitionBy("token").orderBy("n", "fp")
+    near = (100 * F.lag("n").over(by_size).cast("long") >= percent * F.col("n")) | (100 * F.col("n").cast("long") >= percent * F.lead("n").over(by_size))
+    entries = materialize(entries.withColumn("near", near).where("near").drop("near"))
     size, room = _within(percent)
     star = entries.where("before is not null").select("fp", F.col("n").alias("na"), "pos", F.explode(F.array("before", "lead")).alias("o")).withColumn("nb", F.col("o.n"))
     star = star.where("fp <> o.fp").where(size & ((F.col("pos") + F.col("o.pos")).cast("long") * (100 + percent) <= room))
@@ -214,8 +218,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     # Pairs of one list that are not yet in one component, by blocks of size.
     step = float(np.log(100 / percent))
     known = entries.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("part"))
-    mixed = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("token")
-    known = known.join(mixed, "token", "left_semi").join(classes.select("fp", "coarse"), "fp")
+    of_list = Window.partitionBy("token")
+    known = known.withColumn("lo", F.min("part").over(of_list)).withColumn("hi", F.max("part").over(of_list)).where("lo <> hi").drop("lo", "hi")
+    known = known.join(classes.select("fp", "coarse"), "fp")
     known = materialize(known.withColumn("block", F.floor(F.log("n") / step).cast("int")))
     a = known.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"), F.col("coarse").alias("xa"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
     b = known.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"), F.col("coarse").alias("xb"), "block")
