@@ -219,11 +219,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     step = float(np.log(100 / percent))
     known = entries.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", "pos", F.coalesce("component", "fp").alias("part"))
     of_list = Window.partitionBy("token")
+    at = lambda d: F.count("*").over(of_list.orderBy("block").rangeBetween(d, d))  # noqa: E731  sets of the list that many blocks on
+    known = known.withColumn("block", F.floor(F.log("n") / step).cast("int"))
     known = known.withColumn("lo", F.min("part").over(of_list)).withColumn("hi", F.max("part").over(of_list)).where("lo <> hi").drop("lo", "hi")
-    known = known.join(classes.select("fp", "coarse"), "fp")
-    known = materialize(known.withColumn("block", F.floor(F.log("n") / step).cast("int")))
-    a = known.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"), F.col("coarse").alias("xa"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
-    b = known.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"), F.col("coarse").alias("xb"), "block")
+    known = known.withColumn("same", at(0) > 1).withColumn("up", at(1) > 0).withColumn("down", at(-1) > 0).where("same or up or down")
+    known = materialize(known.join(classes.select("fp", "coarse"), "fp"))
+    a = known.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"), F.col("coarse").alias("xa"), F.explode(F.array_compact(F.array(F.when(F.col("same"), F.col("block")), F.when(F.col("up"), F.col("block") + 1)))).alias("block"), F.col("block").alias("own"))
+    b = known.where("same or down").select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"), F.col("coarse").alias("xb"), "block")
     meet = (a["token"] == b["token"]) & (a["block"] == b["block"]) & (F.col("ca") != F.col("cb"))
     once = (F.col("own") != b["block"]) | (F.col("a") < F.col("b"))
     apart = (F.col("pa") + F.col("pb")).cast("long") * (100 + percent) <= room
