@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calendar, coverage, features, labels, ledger, stats, strategies
+from ..operators import boards, calendar, coverage, evaluation, features, labels, ledger, stats, strategies
 from ..sources import bars as sources
 
 #: The universe of the test market: part types with an inception date of their own.
@@ -140,6 +140,48 @@ def q_performance(spark, sf_dir):
     return _rounded(stats.performance_metrics(v), 4)
 
 
+def _intervals(spark, sf_dir):
+    """Interval facts with the regime of the first ticker on the decision date."""
+    b = _bars(spark, sf_dir)
+    regime = features.market_regime(b, _proxy(b)).select(F.col("date").alias("decision_date"), "market_regime")
+    return _paths(spark, sf_dir).join(regime, "decision_date", "left").na.fill("UNKNOWN", ["market_regime"])
+
+
+def q_rolling_board(spark, sf_dir):
+    return _rounded(boards.rolling_board(_intervals(spark, sf_dir)))
+
+
+def q_ranked_board(spark, sf_dir):
+    ranked = boards.ranked_board(boards.rolling_board(_intervals(spark, sf_dir)))
+    return _rounded(ranked.select("decision_idx", "strategy", "eligible", "global_percentile", "regime_percentile", "score", "rank"))
+
+
+def q_champion_path(spark, sf_dir):
+    ranked = boards.ranked_board(boards.rolling_board(_intervals(spark, sf_dir)))
+    return _rounded(boards.champion_path(ranked, "equal_weight"))
+
+
+def q_regime_leaderboard(spark, sf_dir):
+    return _rounded(stats.regime_leaderboard(_intervals(spark, sf_dir)))
+
+
+def _forecasts(spark, sf_dir):
+    """Momentum a session as forecast of the next interval's return."""
+    b = _bars(spark, sf_dir)
+    s = _schedule(b)
+    c = _candidates(spark, b, s).select("decision_idx", "ticker", F.round(F.col("momentum") / 63, 9).alias("predicted"))
+    actual = labels.interval_return(s, b, "close").select("decision_idx", F.col("decision_date").alias("date"), "ticker", F.round("ret", 9).alias("actual"))
+    return actual.join(c, ["decision_idx", "ticker"]).where("predicted is not null").select(F.lit("momentum").alias("model"), "date", "ticker", "predicted", "actual")
+
+
+def q_forecast_errors(spark, sf_dir):
+    return _rounded(evaluation.forecast_errors(evaluation.chrono_split(evaluation.naive_forecasts(_forecasts(spark, sf_dir)))))
+
+
+def q_rank_quality(spark, sf_dir):
+    return _rounded(evaluation.rank_quality(evaluation.naive_forecasts(_forecasts(spark, sf_dir))))
+
+
 QUERIES = {
     "bars": q_bars,
     "schedule": q_schedule,
@@ -156,6 +198,12 @@ QUERIES = {
     "strategy_weights": q_strategy_weights,
     "weight_paths": q_weight_paths,
     "performance": q_performance,
+    "rolling_board": q_rolling_board,
+    "ranked_board": q_ranked_board,
+    "champion_path": q_champion_path,
+    "regime_leaderboard": q_regime_leaderboard,
+    "forecast_errors": q_forecast_errors,
+    "rank_quality": q_rank_quality,
 }
 
 
@@ -260,3 +308,60 @@ m AS (SELECT strategy, sum(r) / sum(days) AS mu FROM v GROUP BY strategy),
 s AS (SELECT strategy, arg_min(value, date) AS i, arg_max(value, date) AS f, sum(days) AS n, min(value / peak - 1) AS dd, sum(pow(r - mu * days, 2)) / sum(days) AS var, any_value(mu) AS mu FROM v JOIN m USING (strategy) GROUP BY strategy)
 SELECT strategy, round((f / i - 1) * 100, 4) AS total_return, round((pow(f / i, 365.25 / n) - 1) * 100, 4) AS cagr, round(mu * 365.25 / sqrt(var * 365.25), 4) AS sharpe, round(sqrt(var * 365.25), 4) AS volatility, round(dd * 100, 4) AS max_drawdown, round(n, 4) AS elapsed_days FROM s""",
 }
+
+_BY = "PARTITION BY strategy ORDER BY decision_idx"
+_FACTS = f"""WITH {_TYPE}, {_TARGETS}, {_PATHS}, regimes AS ({SQL['market_regime']}),
+facts AS (SELECT v.*, coalesce(market_regime, 'UNKNOWN') AS market_regime FROM valued v LEFT JOIN regimes ON date = decision_date)"""
+_BOARD = f"""{_FACTS},
+b0 AS (SELECT *, coalesce(lag(value) OVER ({_BY}), 1.0) AS start FROM facts),
+b1 AS (SELECT *, ln(start / lag(start) OVER ({_BY})) AS r, CAST(decision_date - lag(decision_date) OVER ({_BY}) AS DOUBLE) AS d FROM b0),
+b2 AS (SELECT *, count(r) OVER w AS n, sum(r) OVER w / sum(d) OVER w AS mu, sum(d) OVER w AS days, list(r) OVER w AS rs, list(d) OVER w AS ds,
+  list(start) OVER ({_BY} ROWS 12 PRECEDING) AS lv, avg(turnover) OVER ({_BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS mt,
+  count(net) OVER p AS regime_count, avg(net) OVER p AS rm FROM b1
+  WINDOW w AS ({_BY} ROWS 11 PRECEDING), p AS (PARTITION BY strategy, market_regime ORDER BY decision_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b3 AS (SELECT *, list_sum(list_transform(range(1, len(rs) + 1), lambda i: pow(rs[i] - mu * ds[i], 2))) / days AS var,
+  list_min(list_transform(range(1, len(lv) + 1), lambda i: lv[i] / list_max(lv[1:i]) - 1)) AS dd FROM b2),
+board AS (SELECT strategy, decision_idx, decision_date, round(CASE WHEN n >= 2 THEN CASE WHEN var > 1e-18 THEN mu * 365.25 / sqrt(var * 365.25) ELSE 0 END END, 9) AS sharpe,
+  round(CASE WHEN n > 0 THEN dd END, 9) AS drawdown, round(mt, 9) AS turnover, round(CASE WHEN regime_count >= 4 THEN rm END, 9) AS regime_score, regime_count FROM b3)"""
+_RANKED = f"""{_BOARD},
+k0 AS (SELECT *, coalesce(sharpe IS NOT NULL AND drawdown >= -0.25 AND turnover <= 0.6, false) AS eligible FROM board),
+k1 AS (SELECT *, CASE WHEN eligible THEN sharpe END AS g, CASE WHEN eligible THEN regime_score END AS rg FROM k0),
+k2 AS (SELECT *, count(g) OVER w AS ng, count(rg) OVER w AS nr,
+  rank() OVER (PARTITION BY decision_idx ORDER BY g NULLS LAST) + (count(*) OVER (PARTITION BY decision_idx, g) - 1) / 2.0 AS kg,
+  rank() OVER (PARTITION BY decision_idx ORDER BY rg NULLS LAST) + (count(*) OVER (PARTITION BY decision_idx, rg) - 1) / 2.0 AS kr FROM k1 WINDOW w AS (PARTITION BY decision_idx)),
+k3 AS (SELECT *, CASE WHEN g IS NOT NULL THEN CASE WHEN ng = 1 THEN 1.0 ELSE CAST(kg - 1 AS DOUBLE) / (ng - 1) END END AS global_percentile,
+  CASE WHEN rg IS NOT NULL THEN CASE WHEN nr = 1 THEN 1.0 ELSE CAST(kr - 1 AS DOUBLE) / (nr - 1) END END AS regime_percentile FROM k2),
+k4 AS (SELECT *, round(CASE WHEN regime_percentile IS NOT NULL THEN CAST(0.6 AS DOUBLE) * global_percentile + CAST(0.4 AS DOUBLE) * regime_percentile ELSE global_percentile END, 9) AS score FROM k3),
+ranked AS (SELECT *, CASE WHEN eligible THEN CAST(row_number() OVER (PARTITION BY decision_idx, eligible ORDER BY score DESC, drawdown DESC, turnover, strategy) AS INT) END AS rank FROM k4)"""
+_FORECASTS = f"""WITH {_TYPE}, {_TARGETS},
+f0 AS (SELECT r.decision_date AS date, r.ticker, round(c.momentum / 63, 9) AS predicted, round(r.ret, 9) AS actual FROM ret r JOIN cand c USING (decision_idx, ticker) WHERE c.momentum IS NOT NULL),
+fc AS (SELECT 'momentum' AS model, * FROM f0 UNION ALL SELECT 'momentum:zero', date, ticker, 0.0, actual FROM f0
+  UNION ALL SELECT 'momentum:persistence', * FROM (SELECT date, ticker, lag(actual) OVER (PARTITION BY ticker ORDER BY date) AS predicted, actual FROM f0) WHERE predicted IS NOT NULL)"""
+SQL |= {
+    "rolling_board": f"{_BOARD} SELECT strategy, decision_idx, decision_date, {_round(['sharpe', 'drawdown', 'turnover', 'regime_score'])}, regime_count FROM board",
+    "ranked_board": f"{_RANKED} SELECT decision_idx, strategy, eligible, {_round(['global_percentile', 'regime_percentile', 'score'])}, rank FROM ranked",
+    "champion_path": _RANKED.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+days_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY decision_idx) AS k, decision_idx, any_value(decision_date) AS decision_date, max(CASE WHEN rank = 1 THEN strategy END) AS challenger, map_from_entries(list({'k': strategy, 'v': score}) FILTER (eligible)) AS scores FROM ranked GROUP BY decision_idx),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS k, -1 AS decision_idx, CAST(NULL AS DATE) AS decision_date, CAST(NULL AS VARCHAR) AS selected, CAST(NULL AS VARCHAR) AS challenger, CAST(NULL AS VARCHAR) AS switch_reason, CAST(NULL AS DOUBLE) AS score_margin, false AS switched
+  UNION ALL
+  SELECT k, decision_idx, decision_date, selected, challenger, reason, CASE WHEN reason IN ('challenger_exceeded_margin', 'challenger_below_margin') THEN lead_ END, coalesce(decision_idx >= 5 AND held <> selected, false) FROM (
+    SELECT *, CASE WHEN reason IN ('initialization_baseline', 'no_eligible_candidate') THEN 'equal_weight' WHEN reason IN ('incumbent_ineligible', 'challenger_exceeded_margin') THEN challenger ELSE coalesce(held, 'equal_weight') END AS selected FROM (
+      SELECT *, CASE WHEN decision_idx < 5 THEN 'initialization_baseline' WHEN dayofweek(decision_date) <> 5 THEN 'incumbent_held_until_selection_day' WHEN challenger IS NULL THEN 'no_eligible_candidate'
+        WHEN own IS NULL THEN 'incumbent_ineligible' WHEN held = challenger THEN 'incumbent_ranked_first' WHEN lead_ >= 0.1 THEN 'challenger_exceeded_margin' ELSE 'challenger_below_margin' END AS reason FROM (
+        SELECT d.*, w.selected AS held, d.scores[w.selected] AS own, d.scores[d.challenger] - d.scores[w.selected] AS lead_ FROM walk w JOIN days_ d ON d.k = w.k + 1))))
+SELECT decision_idx, decision_date, selected, challenger, switch_reason, round(score_margin, 6) AS score_margin, switched FROM walk WHERE k > 0""",
+    "regime_leaderboard": f"""{_FACTS}, c AS (SELECT *, exp(sum(ln(1 + gross)) OVER (PARTITION BY market_regime, strategy ORDER BY decision_idx)) AS level FROM facts),
+p AS (SELECT *, greatest(max(level) OVER (PARTITION BY market_regime, strategy ORDER BY decision_idx), 1.0) AS peak FROM c)
+SELECT market_regime, strategy, count(*) AS intervals, round(avg(CAST(gross > 0 AS INT)), 6) AS win_rate, round(avg(turnover), 6) AS mean_turnover, round(min(least(level / peak - 1, 0.0)), 6) AS max_drawdown FROM p GROUP BY ALL""",
+    "forecast_errors": f"""{_FORECASTS}, dk AS (SELECT model, date, row_number() OVER (PARTITION BY model ORDER BY date) AS k, count(*) OVER (PARTITION BY model) AS n FROM (SELECT DISTINCT model, date FROM fc)),
+dc AS (SELECT *, greatest(1, floor(n * CAST(0.6 AS DOUBLE))) AS a, floor(n * CAST(0.8 AS DOUBLE)) AS b FROM dk),
+sp AS (SELECT fc.*, CASE WHEN k <= a THEN 'train' WHEN k <= greatest(a + 1, b) THEN 'validation' ELSE 'holdout' END AS split FROM fc JOIN dc USING (model, date))
+SELECT model, split, count(*) AS n, round(avg(abs(predicted - actual)), 6) AS mae, round(sqrt(avg(pow(predicted - actual, 2))), 6) AS rmse, round(avg(CAST((predicted >= 0) = (actual >= 0) AS INT)), 6) AS hit
+FROM (SELECT * FROM sp UNION ALL SELECT * REPLACE ('all' AS split) FROM sp) GROUP BY ALL""",
+    "rank_quality": f"""{_FORECASTS}, rk AS (SELECT *, rank() OVER (PARTITION BY model, date ORDER BY predicted) + (count(*) OVER (PARTITION BY model, date, predicted) - 1) / 2.0 AS p,
+  rank() OVER (PARTITION BY model, date ORDER BY actual) + (count(*) OVER (PARTITION BY model, date, actual) - 1) / 2.0 AS a,
+  row_number() OVER (PARTITION BY model, date ORDER BY predicted DESC, ticker) AS kp, row_number() OVER (PARTITION BY model, date ORDER BY actual DESC, ticker) AS ka FROM fc),
+dy AS (SELECT model, date, CASE WHEN count(*) >= 2 AND min(p) < max(p) AND min(a) < max(a) THEN corr(p, a) END AS ic, max(CAST(kp = 1 AND ka = 1 AS INT)) AS hit FROM rk GROUP BY ALL)
+SELECT model, round(avg(ic), 6) AS mean_rank_ic, round(avg(hit), 6) AS top_hit_rate, count(*) AS dates FROM dy GROUP BY model""",
+}

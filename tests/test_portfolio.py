@@ -20,7 +20,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["bars", "schedule", "coverage", "base_features", "market_regime", "interval_vol", "asof_join", "performance"])
+@pytest.mark.parametrize("name", ["bars", "schedule", "coverage", "base_features", "market_regime", "interval_vol", "asof_join", "performance", "rolling_board", "ranked_board", "champion_path", "regime_leaderboard", "forecast_errors", "rank_quality"])
 def test_query_equals_sql(spark, duck, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.SQL[name]).df()
     cols = sorted(got.columns)
