@@ -310,7 +310,10 @@ SELECT strategy, round((f / i - 1) * 100, 4) AS total_return, round((pow(f / i,
 }
 
 _BY = "PARTITION BY strategy ORDER BY decision_idx"
-_FACTS = f"""WITH {_TYPE}, {_TARGETS}, {_PATHS}, regimes AS ({SQL['market_regime']}),
+_FACTS = f"""WITH {_TYPE}, {_TARGETS}, {_PATHS}, one AS MATERIALIZED (SELECT * FROM px WHERE ticker = (SELECT min(ticker) FROM bars)),
+seen AS (SELECT date, rn, close / lag(close, 63) OVER ({_F}) - 1 AS up, CASE WHEN count(r1) OVER {_frame(21)} = 21 THEN stddev_samp(r1) OVER {_frame(21)} END * sqrt(252) AS shaky, list(close) OVER {_frame(63)} AS l FROM one),
+deep AS (SELECT *, list_min(list_transform(range(1, len(l) + 1), lambda i: l[i] / list_max(l[1:i]) - 1)) AS low FROM seen),
+regimes AS MATERIALIZED (SELECT date, CASE WHEN rn < 64 THEN 'UNKNOWN' ELSE (CASE WHEN up > 0.03 THEN 'UP' WHEN up < -0.03 THEN 'DOWN' ELSE 'SIDE' END) || '_' || (CASE WHEN shaky < 0.18 THEN 'LOWVOL' ELSE 'HIGHVOL' END) || (CASE WHEN low <= -0.12 THEN '_STRESS' ELSE '' END) END AS market_regime FROM deep),
 facts AS (SELECT v.*, coalesce(market_regime, 'UNKNOWN') AS market_regime FROM valued v LEFT JOIN regimes ON date = decision_date)"""
 _BOARD = f"""{_FACTS},
 b0 AS (SELECT *, coalesce(lag(value) OVER ({_BY}), 1.0) AS start FROM facts),
