@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from pitfolio.llm import ann, embed_dedup, jaccard_join, langid, mixing, packing, pii, quality, suffix_tree_lm, toxicity
+from pitfolio.llm.common import connected_components
 from pitfolio.llm.textwords import arrow_bytes, word_hashes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, n int, spans string, score double, copies int, block int"
@@ -108,6 +109,15 @@ def test_jaccard_equals_brute_force(spark, k, percent):
     assert [got[i].component_id for i in range(len(sets))] == up
 
 
+@pytest.mark.parametrize("order", ["shuffled", "falling"])
+def test_components_of_long_paths(spark, order):
+    n = 2_000
+    ids = np.random.default_rng(8).permutation(n) if order == "shuffled" else np.r_[0, np.arange(n - 1, 0, -1)]
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids[:-1], ids[1:], strict=True)] + [(n + 1, n + 2), (n + 3, n + 3)], "src long, dst long")
+    got = dict(connected_components(edges).collect())
+    assert got == {i: 0 for i in range(n)} | {n + 1: n + 1, n + 2: n + 1}
+
+
 def test_packing_is_a_whole_cover(docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
