@@ -227,6 +227,14 @@ def test_base_spans_equal_re(spark):
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(b"").hexdigest()
 
 
+def test_addresses_with_zero_parts(spark):
+    odd = ["10.0.0.1", "0.0.0.0", "000.1.2.3", "1.2.3.00", "at 192.168.0.1, 127.0.0.1 and 203.0.113.5.", "0.0.0.256 0.0.0.0256 00.00.00.000255", "0" * 3_000 + ".1.2.3", "10.0.0"]
+    got = spark.createDataFrame(list(enumerate(odd)), "i long, text string").select("i", "text", pii.base_spans(pii.F.col("text")).alias("s")).collect()
+    for r in got:
+        want = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", r.text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [(s.start, s.end) for s in r.s if s.kind == "ip"] == want
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0
