@@ -25,6 +25,7 @@ own. An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -36,13 +37,15 @@ from .common import materialize, table
 WIDTH = 2048
 END_ID = 1
 _KEEP = 400_000
+#: A blank beside other white space: the run around it may be one pre-token. isprintable() is false for all white space but the blank.
+_RUN = re.compile(r" \s|\s ")
 
 
 class _ChunkIds(dict):
     """Ids (little-endian uint32 bytes) of a text chunk, worked out once and kept, within a bound.
 
-    A blank followed by no other blank always begins a pre-token of this vocabulary, so a
-    text without double blanks is the sum of its chunks.
+    A blank between two characters that are not white space always begins a pre-token of
+    this vocabulary, so a text that has blanks only there is the sum of its chunks.
     """
 
     def __init__(self, ranks_file: str, pattern: str):
@@ -76,7 +79,7 @@ def token_bytes(text: str, json_name: str = "byte_bpe_50k.json", ranks_name: str
 
             _made[json_name] = Tokenizer.from_file(files.path(json_name))
         return np.array(_made[json_name].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    if "  " in text or text.endswith(" "):
+    if "  " in text or text.endswith(" ") or (not text.isprintable() and _RUN.search(text)):
         return np.array(chunks.encode(text), "<u4").tobytes()
     first, *more = text.split(" ")
     return (chunks[first] if first else b"") + b"".join([chunks[" " + w] if "\n" not in w and "\t" not in w else np.array(chunks.encode(" " + w), "<u4").tobytes() for w in more])

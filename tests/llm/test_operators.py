@@ -140,6 +140,17 @@ def test_packing_is_a_whole_cover(docs):
         assert at <= packing.WIDTH
 
 
+def test_token_ids_of_white_space_equal_the_tokenizer_file():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    r = np.random.default_rng(6)
+    signs = list("   ab1.\n\r\t\x0b\x0c\x1c\x85\u00a0\u00a0\u2003\u2028\u202f\u3000\u200b")
+    for x in ["a \u00a0 \u00a0 b", "a \n \n b", "\u00a0 a", " \u00a0", *("".join(r.choice(signs, int(r.integers(1, 16)))) for _ in range(20_000))]:
+        assert packing.token_bytes(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
+
+
 def test_column_generation_beats_or_meets_greedy():
     r = np.random.default_rng(2)
     lengths = dict(zip(*[x.tolist() for x in np.unique(r.integers(1, 2049, 3000), return_counts=True)], strict=True))
