@@ -63,26 +63,50 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if path.rpartition("/")[2].startswith("pitfolio-"):
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable over the undirected edges (src, dst).
 
-    Hooking and shortcutting: each round a node takes the least of its label, its label's
-    own label and its neighbours' labels' labels, and the label it had is hooked to the
-    least of the latter. A path of n nodes takes about log n rounds, in any order of ids.
-    Labels only fall, so the loop ends by itself; it goes on until none changes, which is
-    when both ends of every edge have one label. Every round is three joins on the node;
-    labels live in the shared folder, and nothing but a flag reaches the driver.
+    Contraction. In each round every node hooks to its neighbour of least hash, if that is
+    below its own, and follows the hooks four steps; edges then join the nodes hooked to,
+    and those within one node go. Hashes differ by round, so chains are short and about
+    half of the nodes or more go in each round, whatever the ids or the shape; the loop
+    ends when no edge is left. A round reads only the edges left by the one before. The
+    hooks of all rounds, last round first, give each node its root, and the least node of
+    a root is the component. Nothing but a flag reaches the driver.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = materialize(both.where("src <> dst").distinct())
-    labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        up = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
-        near = both.join(up.select(F.col("node").alias("dst"), "up"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("up").alias("m"))
-        seen = materialize(up.join(near, "node"))
-        own = seen.select("node", F.col("label").alias("old"), F.least("label", "up", "m").alias("label"))
-        hooked = seen.select(F.col("label").alias("node"), F.lit(None).cast("long").alias("old"), F.col("m").alias("label"))
-        step = materialize(own.unionByName(hooked).groupBy("node").agg(F.max("old").alias("old"), F.min("label").alias("label")))
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    rest = materialize(edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).where("u <> v").distinct())
+    rounds: list[DataFrame] = []
+    while not rest.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))), F.col(c))  # noqa: E731, B023
+        both = rest.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(rest.select(F.col("v").alias("node"), F.col("u").alias("other")))
+        hook = both.groupBy("node").agg(F.min(rank("other")).alias("m"))
+        hook = materialize(hook.select("node", F.when(F.col("m") < rank("node"), F.col("m")["other"]).otherwise(F.col("node")).alias("up")))
+        step = hook
+        for _ in range(2):
+            step = step.select("node", F.col("up").alias("via")).join(step.select(F.col("node").alias("via"), "up"), "via").select("node", "up")
+        up = materialize(step)
+        moved = rest.join(up.select(F.col("node").alias("u"), F.col("up").alias("x")), "u").join(up.select(F.col("node").alias("v"), F.col("up").alias("y")), "v")
+        left = materialize(moved.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        discard(hook, rest)
+        rest = left
+        rounds.append(up)
+    if not rounds:
+        return rest.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = rounds.pop()
+    while rounds:
+        lower = rounds.pop()
+        above = materialize(lower.join(roots.select(F.col("node").alias("up"), F.col("up").alias("root")), "up", "left").select("node", F.coalesce("root", "up").alias("up")))
+        discard(lower, roots)
+        roots = above
+    least = roots.groupBy("up").agg(F.min("node").alias("component"))
+    return roots.join(least, "up").select("node", "component")

@@ -10,7 +10,8 @@ Two documents link when 100 * |x & y| >= percent * |x | y|. The work, in order:
    found by counting all shingles into 2**22 slots in each task; the bitmap of hot slots
    has that fixed size whatever the input. The order decides cost, never the result.
 3. *A similar set's answers.* Within an index list the sets are ordered by a hash of their
-   fingerprints; each is compared with the list's first set and the one before it only. Where
+   fingerprints; a set is compared with the first set of one list, and with the first sets of
+   the others and those before it only where the two have not met one partner. Where
    that links, a set shares the other's answers (it is in the same component), and no
    later pair inside that component is made.
 4. *Block skip.* What is left are pairs of one list whose components differ. A list is
@@ -31,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, table
+from .common import connected_components, discard, materialize, table
 from .textwords import arrow_bytes, mix, shingles, word_hashes
 
 _SLOTS = 1 << 22
@@ -158,10 +159,9 @@ def _within(percent: int):
     return size, room
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (src, dst) of ``pairs`` (a, b) that truly link."""
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of the ``pairs`` (a, b) whose sizes and histograms let them link."""
     bins = classes.select("fp", "n", "bins")
-    _, room = _within(percent)
     both = pairs.join(bins.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("bins").alias("ba")), "a").join(bins.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bb")), "b")
 
     def close(batches):
@@ -176,12 +176,44 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
                 yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
     size, _ = _within(percent)
-    left = materialize(both.where(size).select("a", "b", "na", "nb", "ba", "bb").mapInArrow(close, "a long, b long, na long, nb long"))
+    return both.where(size).select("a", "b", "na", "nb", "ba", "bb").mapInArrow(close, "a long, b long, na long, nb long")
+
+
+def _verified(docs: DataFrame, left: DataFrame, k: int, percent: int) -> DataFrame:
+    """The (src, dst) of the close pairs ``left`` (a table; a, b, na, nb) that truly link."""
     wanted = left.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = materialize(_wanted_sets(docs, wanted, k))
     x, y = sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), sets.select(F.col("fp").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
-    return left.join(x, "a").join(y, "b").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    out = materialize(left.join(x, "a").join(y, "b").where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    discard(sets)
+    return out
+
+
+def _likely_links(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Close pairs (a, b, na, nb) of sets with the first set of a list or the one before them.
+
+    Most sets have the same first set in all their lists. So each is tried with one partner
+    alone, the first set of least hash; the other partners are tried only where the two sides
+    have not met the same partner so far. What is not tried here is left to the block skip.
+    """
+    size, room = _within(percent)
+    near = F.explode(F.array(F.struct(F.col("lead").alias("o"), F.lit(0).alias("kind")), F.struct(F.col("before").alias("o"), F.lit(1).alias("kind")))).alias("p")
+    star = entries.where("before is not null").select("token", "fp", F.col("n").alias("na"), "pos", near).select("token", "fp", "na", "pos", "p.o", "p.kind").withColumn("nb", F.col("o.n"))
+    star = star.where("fp <> o.fp").where(size & ((F.col("pos") + F.col("o.pos")).cast("long") * (100 + percent) <= room))
+    rank = F.struct("kind", F.xxhash64("o.fp", F.pmod("token", F.lit(4))))
+    star = materialize(star.groupBy("fp", F.col("o.fp").alias("other")).agg(F.min(rank).alias("rank")))
+    pair = [F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")]
+    one = materialize(star.groupBy("fp").agg(F.min_by("other", "rank").alias("other")))
+    met = materialize(_close(one.select(*pair).distinct(), classes, percent))
+    hub = one.select(*pair, "fp", "other").join(met, ["a", "b"]).select("fp", F.col("other").alias("hub"))
+    hub = materialize(hub)
+    more = star.join(hub.withColumnRenamed("hub", "h1"), "fp", "left").join(hub.select(F.col("fp").alias("other"), F.col("hub").alias("h2")), "other", "left")
+    same = F.coalesce(F.col("h1") == F.col("h2"), F.lit(False)) | F.coalesce(F.col("h1") == F.col("other"), F.lit(False)) | F.coalesce(F.col("h2") == F.col("fp"), F.lit(False))
+    more = more.where(~same).select(*pair).distinct().join(one.select(*pair), ["a", "b"], "left_anti")
+    out = materialize(met.unionByName(_close(more, classes, percent)))
+    discard(star, one, met, hub)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -191,13 +223,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     """
     spark = docs.sparkSession
     first = materialize(shingle_classes(docs, k))
-    rows = first.where("slot is null").select("doc_id", "n", "fp", "bins", "coarse")
-    classes = materialize(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.any_value("n").alias("n"), F.any_value("bins").alias("bins"), F.any_value("coarse").alias("coarse")))
+    rows = materialize(first.where("slot is null").select("doc_id", "n", "fp"))
+    classes = materialize(first.where("slot is null").where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.any_value("n").alias("n"), F.any_value("bins").alias("bins"), F.any_value("coarse").alias("coarse")))
     least = 16 + classes.count() // 2000
     slots = first.where("slot is not null").groupBy("slot").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).select("slot")
     bits = np.zeros(_SLOTS, np.uint8)
     bits[[r.slot for r in slots.toLocalIterator()]] = 1
     hot = spark.sparkContext.broadcast(np.packbits(bits))
+    discard(first)
 
     # Four orders, by token: a set meets several firsts and predecessors over its lists.
     by = Window.partitionBy("token").orderBy(F.xxhash64("fp", F.pmod("token", F.lit(4))), "fp")
@@ -208,12 +241,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     by_size = Window.partitionBy("token").orderBy("n", "fp")
     near = (100 * F.lag("n").over(by_size).cast("long") >= percent * F.col("n")) | (100 * F.col("n").cast("long") >= percent * F.lead("n").over(by_size))
     entries = materialize(entries.withColumn("near", near).where("near").drop("near"))
-    size, room = _within(percent)
-    star = entries.where("before is not null").select("fp", F.col("n").alias("na"), "pos", F.explode(F.array("before", "lead")).alias("o")).withColumn("nb", F.col("o.n"))
-    star = star.where("fp <> o.fp").where(size & ((F.col("pos") + F.col("o.pos")).cast("long") * (100 + percent) <= room))
-    star = materialize(star.select(F.least("fp", "o.fp").alias("a"), F.greatest("fp", "o.fp").alias("b")).distinct())
-    links = materialize(_verified(docs, star, classes, k, percent))
-    label = connected_components(links)
+    likely = _likely_links(entries, classes, percent)
+    links = _verified(docs, likely, k, percent)
+    label = materialize(connected_components(links))
 
     # Pairs of one list that are not yet in one component, by blocks of size.
     step = float(np.log(100 / percent))
@@ -227,17 +257,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     a = known.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"), F.col("coarse").alias("xa"), F.explode(F.array_compact(F.array(F.when(F.col("same"), F.col("block")), F.when(F.col("up"), F.col("block") + 1)))).alias("block"), F.col("block").alias("own"))
     b = known.where("same or down").select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"), F.col("coarse").alias("xb"), "block")
     meet = (a["token"] == b["token"]) & (a["block"] == b["block"]) & (F.col("ca") != F.col("cb"))
+    size, room = _within(percent)
     once = (F.col("own") != b["block"]) | (F.col("a") < F.col("b"))
     apart = (F.col("pa") + F.col("pb")).cast("long") * (100 + percent) <= room
     far = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     rest = a.join(b, meet & once & size & apart & (far.cast("long") * (100 + percent) <= room)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(_verified(docs, rest.join(star, ["a", "b"], "left_anti"), classes, k, percent))
+    rest = materialize(_close(rest.join(likely, ["a", "b"], "left_anti"), classes, percent))
+    more = _verified(docs, rest, k, percent)
     joined = label.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)
-    final = connected_components(joined)
+    final = materialize(connected_components(joined))
 
     named = classes.select("fp", "least_id").join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of = named.join(ids, "component").select("fp", "component_id")
+    of = materialize(of)
+    discard(entries, likely, links, label, known, rest, more, final, classes)
     return rows.join(of, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
