@@ -4,13 +4,19 @@
 numbers (9 to 15 digits), leftmost and non-overlapping for each kind; a match that fails
 its test is dropped and not retried. Positions are code points, ends exclusive.
 
-*Revealing terms.* The letters-only words within ``reach`` code points of a base span are
-its context. Over the whole corpus, a term t and a kind of entity c have the pointwise
-mutual information PMI = log2(p(t | context of c) / p(t)); what t tells about c at most is
-the information content IC(c) = -log2 p(context of c). A term whose PMI exceeds
-``disclose`` times IC(c), seen in at least ``support`` contexts of c, gives c away: its
-occurrences in those contexts become spans of kind ``term``. ``redact`` replaces base
-spans by their kind in brackets and generalises revealing terms to ``[TERM]``.
+*Revealing terms.* Protected are the entities found (a kind and its normalised value, such
+as one address) and the kinds themselves. The letters-only words that lie whole within
+``reach`` code points of a base span are its context. With counts over the whole corpus a
+term t and a protected x have the pointwise mutual information PMI = log2(p(t | context of
+x) / p(t)); what t tells about x at most, if it is found nowhere else, is the information
+content IC(x) = -log2 p(context of x). A term with PMI of at least ``disclose`` times IC(x),
+seen in at least ``support`` contexts of x, gives x away. All its occurrences, in whatever
+document, become spans of kind ``term``, but for those inside a base span. ``redact``
+replaces base spans by their kind in brackets and generalises revealing terms to ``[TERM]``.
+
+Terms meet documents by a join on the term; documents with revealing terms get them by a
+digest of the text, so copies share one row. No text is shuffled unless the table of
+documents with terms is too large for Spark to broadcast.
 
 All of it is DataFrame functions. Patterns are possessive and anchored where that leaves
 the matches unchanged, so a long run of word characters or digits costs linear time.
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 #: Kinds in the order that breaks ties of start; "term" is the method's own, last.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -33,7 +39,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _IP_OK = rf"^{_PART}(?:\.{_PART}){{3}}$"
-_SPAN = "array<struct<start:int,end:int,rank:int,kind:string>>"
+#: Sorted spans come by start, then kind.
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def _digits(m: Column) -> Column:
@@ -68,7 +75,7 @@ def _spans(text: Column, kind: str, pattern: str, hint: Column) -> Column:
         ),
         lambda a: a["out"],
     )
-    spans = F.transform(at, lambda x: F.struct(x["s"].alias("start"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind")))
+    spans = F.transform(at, lambda x: F.struct(x["s"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(kind).alias("kind")))
     return F.when(hint, spans).otherwise(F.array().cast(_SPAN))
 
 
@@ -84,57 +91,91 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts).cast(_SPAN))
 
 
+def _entity(kind: Column, match: Column) -> Column:
+    """Normalised value: digits of cards and phones, other kinds in lower case."""
+    return F.when(kind.isin("card", "phone"), _digits(match)).otherwise(F.lower(match))
+
+
 def _context_terms(text: Column, spans: Column, reach: int) -> Column:
-    """Letters-only words that lie whole within reach code points of a span:
-    array of (term, start, end, kind)."""
-
-    def side(s: Column, left: bool) -> Column:
-        lo = F.greatest(s["start"] - reach, F.lit(0)) if left else s["end"]
-        piece = F.substring(text, lo + 1, s["start"] - lo) if left else F.substring(text, lo + 1, F.lit(reach))
-        words = F.regexp_extract_all(piece, F.lit(r"\p{L}++"), F.lit(0))
-        gaps = F.split(piece, r"\p{L}++", -1)
-        n = F.size(words)
-        pairs = F.arrays_zip(words.alias("m"), F.slice(gaps, 1, F.greatest(n, F.lit(0))).alias("g"))
-        return F.aggregate(
-            pairs,
-            F.struct(lo.alias("pos"), F.array().cast("array<struct<term:string,start:int,end:int,kind:string>>").alias("out")),
-            lambda a, x: F.struct(
-                (a["pos"] + F.length(x["g"]) + F.length(x["m"])).alias("pos"),
-                F.concat(a["out"], F.array(F.struct(F.lower(x["m"]).alias("term"), (a["pos"] + F.length(x["g"])).alias("start"), (a["pos"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), s["kind"].alias("kind")))).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
-
-    return F.flatten(F.transform(spans, lambda s: F.concat(side(s, True), side(s, False))))
-
-
-def revealing_terms(docs: DataFrame, contexts: DataFrame, disclose: float, support: int) -> DataFrame:
-    """(kind, term) over the disclosure threshold. contexts: (kind, term), one row an occurrence."""
-    near = contexts.groupBy("kind", "term").agg(F.count("*").alias("near"))
-    per_kind = contexts.groupBy("kind").agg(F.count("*").alias("kind_n"))
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]++")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").alias("wid")).agg(F.count("*").alias("n"))
+    """For each span its kind, its entity and the different words that lie whole within reach of it."""
+
+    def words(piece: Column) -> Column:
+        return F.regexp_extract_all(F.lower(piece), F.lit(r"\p{L}++"), F.lit(0))
+
+    def near(s: Column) -> Column:
+        # one code point more than reach: a word that reaches it is cut and goes
+        lo = F.greatest(s["start"] - reach - 1, F.lit(0))
+        left = F.substring(text, lo + 1, s["start"] - lo)
+        left = F.when(s["start"] > reach, F.regexp_replace(left, r"^\p{L}++", "")).otherwise(left)
+        right = F.substring(text, s["end"] + 1, F.lit(reach + 1))
+        right = F.when(F.length(right) > reach, F.regexp_replace(right, r"(?<!\p{L})\p{L}++$", "")).otherwise(right)
+        match = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        return F.struct(s["kind"].alias("kind"), _entity(s["kind"], match).alias("entity"), F.array_distinct(F.concat(words(left), words(right))).alias("terms"))
+
+    return F.transform(spans, near)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]++"), lambda w: w != "")
+
+
+def contexts(docs: DataFrame, reach: int = 40) -> DataFrame:
+    """(protected, term): one row for a term in a context; protected is a kind or a kind and an entity."""
+    seen = docs.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    seen = seen.select(F.explode(_context_terms(F.col("text"), F.col("spans"), reach)).alias("c")).select("c.kind", "c.entity", F.explode("c.terms").alias("term"))
+    return seen.select(F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", "entity"))).alias("protected"), "term")
+
+
+def revealing_terms(docs: DataFrame, near: DataFrame, disclose: float, support: int) -> DataFrame:
+    """The different terms over the disclosure threshold. near: (protected, term), one row a context."""
+    near = materialize(near.groupBy("protected", "term").agg(F.count("*").alias("near")))
+    counts = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy(F.xxhash64("term").alias("wid")).agg(F.count("*").alias("n"))
     counts = materialize(counts)
-    total = counts.agg(F.sum("n").alias("total"))
-    rated = near.where(F.col("near") >= support).join(per_kind, "kind").withColumn("wid", F.xxhash64("term")).join(counts, "wid").crossJoin(F.broadcast(total))
-    pmi = F.log2((F.col("near") / F.col("kind_n")) / (F.col("n") / F.col("total")))
-    ic = -F.log2(F.least(F.col("kind_n") / F.col("total"), F.lit(1.0)))
-    return rated.where(pmi > disclose * ic).select("kind", "term")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    per = near.groupBy("protected").agg(F.sum("near").alias("all"))
+    rated = near.where(F.col("near") >= support).join(per, "protected").withColumn("wid", F.xxhash64("term")).join(counts, "wid")
+    ic = -F.log2(F.least(F.col("all") / F.lit(total), F.lit(1.0)))
+    pmi = ic + F.log2(F.least(F.col("near") / F.col("n"), F.lit(1.0)))
+    out = materialize(rated.where((ic > 0) & (pmi >= disclose * ic)).select("term").distinct())
+    discard(near, counts)
+    return out
+
+
+def _term_spans(text: Column, terms: Column, spans: Column) -> Column:
+    """Occurrences of the terms as spans; none that overlap a base span."""
+    found = F.regexp_extract_all(text, F.lit(r"\p{L}++"), F.lit(0))
+    both = F.arrays_zip(found.alias("m"), F.slice(F.split(text, r"\p{L}++", -1), 1, F.size(found)).alias("g"))
+    one = lambda a, x: F.struct((a["pos"] + F.length(x["g"])).alias("start"), F.lit(KINDS.index("term")).alias("rank"), (a["pos"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), F.lit("term").alias("kind"))
+    at = F.aggregate(
+        both,
+        F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out")),
+        lambda a, x: F.struct(
+            (a["pos"] + F.length(x["g"]) + F.length(x["m"])).alias("pos"),
+            F.when(F.array_contains(terms, F.lower(x["m"])), F.concat(a["out"], F.array(one(a, x)))).otherwise(a["out"]).cast(_SPAN).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    return F.filter(at, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
 
 
 def _annotated(docs: DataFrame, carry, reach: int, disclose: float, support: int) -> DataFrame:
     """(carried struct, text, spans); a struct, so that no name of docs can clash."""
+    texts = docs.select("text")
+    bad = revealing_terms(texts, contexts(texts, reach), disclose, support)
     rows = docs.select(F.struct(*carry).alias("carried"), "text").withColumn("spans", base_spans(F.col("text")))
-    rows = rows.withColumn("context", F.when(F.size("spans") > 0, _context_terms(F.col("text"), F.col("spans"), reach)))
-    rows = rows.withColumn("row_id", F.when(F.size("context") > 0, F.monotonically_increasing_id()))
-    rows = materialize(rows.select("row_id", "carried", *["text"] * ("text" in carry), "spans", "context"))
-    seen = rows.where("row_id is not null").select("row_id", F.explode("context").alias("c")).select("row_id", "c.*")
-    bad = revealing_terms(docs, seen.select("kind", "term"), disclose, support)
-    more = seen.join(bad, ["kind", "term"]).groupBy("row_id").agg(F.collect_set(F.struct("start", "end", F.lit(KINDS.index("term")).alias("rank"), F.lit("term").alias("kind"))).alias("extra"))
-    return rows.join(more, "row_id", "left").withColumn("spans", F.array_sort(F.concat("spans", F.coalesce("extra", F.array().cast(_SPAN)))))
-
-
-def annotate(docs: DataFrame, carry=("doc_id",), reach: int = 40, disclose: float = 0.8, support: int = 5) -> DataFrame:
+    if bad.isEmpty():
+        discard(bad)
+        return rows
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    words = texts.select(digest.alias("digest"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    hits = materialize(words.join(bad, "term").groupBy("digest").agg(F.collect_set("term").alias("terms")))
+    discard(bad)
+    rows = rows.withColumn("digest", digest).join(hits, "digest", "left")
+    extra = F.when(F.col("terms").isNotNull(), _term_spans(F.col("text"), F.col("terms"), F.col("spans")))
+    return rows.select("carried", "text", F.array_sort(F.concat("spans", F.coalesce(extra, F.array().cast(_SPAN)))).alias("spans"))
+
+
+def annotate(docs: DataFrame, carry=("doc_id",), reach: int = 40, disclose: float = 0.95, support: int = 5) -> DataFrame:
     """docs' ``carry`` columns and ``spans`` (instead of a column of that name): base spans and those of revealing terms."""
     carry = [c for c in carry if c != "spans"]
     return _annotated(docs, carry, reach, disclose, support).select("carried.*", "spans")
@@ -154,9 +195,9 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, out).otherwise(text)
 
 
-def sanitise(docs: DataFrame, reach: int = 40, disclose: float = 0.8, support: int = 5) -> DataFrame:
+def sanitise(docs: DataFrame, reach: int = 40, disclose: float = 0.95, support: int = 5) -> DataFrame:
     """docs with personal data and revealing terms replaced; a null text stays null."""
-    rows = _annotated(docs, docs.columns, reach, disclose, support)
+    rows = _annotated(docs, [c for c in docs.columns if c != "text"] or [F.lit(0).alias("none")], reach, disclose, support)
     return rows.select(*[redact(F.col("text"), F.col("spans")).alias(c) if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns])
 
 
