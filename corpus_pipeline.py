@@ -7,11 +7,11 @@ Parquet in the shared folder and read again, so a lost executor repeats one stag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitfolio.llm import jaccard_join, mixing, packing, pii, quality
-from pitfolio.llm.common import materialize, table
+from pitfolio.llm.common import discard, materialize, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,17 +21,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") >= quality.THRESHOLD).select("doc.*")
 
 
+def _row_key(text) -> Column:
+    """64 bits of a row's id and text; the join below compares texts by such hashes too."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8, the one with the smallest id.
+    """Of each group of documents linked by five-word shingles at 0.8, the row of the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id stay as they are.
+    Rows are told apart by id and text: of rows equal in both one stays, that with the least
+    other columns, and rows of one id stay all if their texts do not link. A row without id
+    counts as the largest id. Rows without words link with nothing and stay.
     """
-    groups = jaccard_join.jaccard_components(docs.select("doc_id", "text"), k=5, percent=80)
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id").join(first, "doc_id")
-    once = kept.where("rows = 1").select("doc.*")
-    again = kept.where("rows > 1").dropDuplicates(["doc_id"]).select("doc.*")
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    slim = docs.select(_row_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
+    linked = materialize(jaccard_join.jaccard_components(slim.select(F.col("key").alias("doc_id"), "text"), k=5, percent=80))
+    group = linked.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("group"))
+    own = slim.select("key", "id").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("rows")).join(group, "key")
+    first = own.groupBy("group").agg(F.min_by(F.struct("key", "rows"), F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("f"))
+    stay = materialize(first.select("f.key", "f.rows"))
+    discard(linked)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), _row_key(F.col("text")).alias("key"), (mixing.n_words(F.col("text")) > 0).alias("words"))
+    kept = whole.where("words").join(stay, "key")
+    again = kept.where("rows > 1").groupBy("key").agg(F.min("doc").alias("doc"))
+    return kept.where("rows = 1").select("doc.*").unionByName(again.select("doc.*")).unionByName(whole.where("not words").select("doc.*"))
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +53,13 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a copy is a row."""
-    size = mixing.n_words(F.col("text")).alias("size")
-    keys = [F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_i"), F.coalesce("source", F.lit("\0")).alias("_s"), F.col("size").alias("_n")]
-    plan = mixing.mixed(docs).select(*keys, "copies").groupBy("_i", "_s", "_n").agg(F.array_sort(F.collect_list("copies")).alias("copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", size).select("doc", *keys).join(plan, ["_i", "_s", "_n"])
-    k = F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(F.lit(1)))
-    rows = rows.withColumn("_k", F.element_at("copies", k)).where("_k > 0")
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select("doc.*")
+    size = mixing.n_words(F.col("text"))
+    plan = mixing.mixed(docs).groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n")).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("source_"), size.alias("size"))
+    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("i")) & F.col("source_").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")))
+    k = F.row_number().over(Window.partitionBy("i", "s", "n").orderBy(F.xxhash64("doc")))
+    both = rows.withColumn("c", F.element_at("copies", k)).where("c > 0")
+    return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("copy")).select("doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
