@@ -8,7 +8,6 @@ import zlib
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from pitfolio.llm import ann, embed_dedup, jaccard_join, langid, mixing, packing, pii, quality, suffix_tree_lm, toxicity
 from pitfolio.llm.common import connected_components
 from pitfolio.llm.textwords import arrow_bytes, word_hashes
@@ -246,6 +245,3 @@ def test_addresses_with_zero_parts(spark):
         assert [(s.start, s.end) for s in r.s if s.kind == "ip"] == want
 
 
-def test_pipeline_runs(spark):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 0
