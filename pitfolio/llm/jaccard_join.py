@@ -253,15 +253,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     known = known.withColumn("block", F.floor(F.log("n") / step).cast("int"))
     known = known.withColumn("lo", F.min("part").over(of_list)).withColumn("hi", F.max("part").over(of_list)).where("lo <> hi").drop("lo", "hi")
     known = known.withColumn("same", at(0) > 1).withColumn("up", at(1) > 0).withColumn("down", at(-1) > 0).where("same or up or down")
-    known = materialize(known.join(classes.select("fp", "coarse"), "fp"))
-    a = known.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"), F.col("coarse").alias("xa"), F.explode(F.array_compact(F.array(F.when(F.col("same"), F.col("block")), F.when(F.col("up"), F.col("block") + 1)))).alias("block"), F.col("block").alias("own"))
-    b = known.where("same or down").select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"), F.col("coarse").alias("xb"), "block")
+    # A pair that meets in several lists is taken in the first: not where the last lists of both have one in common.
+    met = Window.partitionBy("fp").orderBy("pos").rowsBetween(-8, -1)
+    known = materialize(known.withColumn("met", F.collect_list("token").over(met)).join(classes.select("fp", "coarse"), "fp"))
+    a = known.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("ca"), F.col("coarse").alias("xa"), F.col("met").alias("ma"), F.explode(F.array_compact(F.array(F.when(F.col("same"), F.col("block")), F.when(F.col("up"), F.col("block") + 1)))).alias("block"), F.col("block").alias("own"))
+    b = known.where("same or down").select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("cb"), F.col("coarse").alias("xb"), F.col("met").alias("mb"), "block")
     meet = (a["token"] == b["token"]) & (a["block"] == b["block"]) & (F.col("ca") != F.col("cb"))
     size, room = _within(percent)
     once = (F.col("own") != b["block"]) | (F.col("a") < F.col("b"))
     apart = (F.col("pa") + F.col("pb")).cast("long") * (100 + percent) <= room
     far = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-    rest = a.join(b, meet & once & size & apart & (far.cast("long") * (100 + percent) <= room)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    again = F.arrays_overlap("ma", "mb")
+    rest = a.join(b, meet & once & size & apart & ~again & (far.cast("long") * (100 + percent) <= room)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = materialize(_close(rest.join(likely, ["a", "b"], "left_anti"), classes, percent))
     more = _verified(docs, rest, k, percent)
     joined = label.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)
