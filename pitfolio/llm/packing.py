@@ -4,16 +4,16 @@ A document's tokens (and one end id) are cut in pieces of ``width`` ids; the res
 is one piece of its own. What has to be packed is a histogram over at most ``width``
 piece lengths, whatever the number of documents.
 
-1. Lengths are put in classes, exact for short pieces and coarser (at most 1 in 128) for
+1. Lengths are put in classes, exact for short pieces and coarser (at most 1 in 256) for
    longer ones, each class counting as its longest length.
 2. *Column generation.* A pattern says how many pieces of each class share a sequence. A
    linear program over patterns covers the histogram with the fewest sequences; its dual
    prices go to an unbounded-knapsack dynamic program over the width, which gives the
    pattern with the best price; patterns enter until none is worth more than 1.
-3. *Rounding.* Pattern counts are rounded down, what is left of the histogram is filled
-   greedily from the longest class down; if the greedy filling alone needs fewer
-   sequences (small inputs), that is taken. All of this is on the driver, on histograms of
-   fixed size.
+   The first basis fills sequences with the longest pieces that fit, which is triangular.
+3. *Rounding.* Pattern counts are rounded down and the rest of the histogram is solved
+   again, until nothing is placed; the last pieces are filled in from the longest class
+   down. All of this is on the driver, on histograms of fixed size.
 4. *Assignment.* The pieces of a class are ranked (by salted partial counts, so that a
    length that a third of all documents has is no single task) and take the places of
    their class in the patterns, found by a join with the table of places.
@@ -110,11 +110,11 @@ def pieces(docs: DataFrame, width: int = WIDTH, end_id: int = END_ID, keep_ids:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def class_tops(width: int) -> np.ndarray:
+def class_tops(width: int, fine: int = 256) -> np.ndarray:
     """The longest length of each class."""
     tops, at, step = [], 0, 1
     while at < width:
-        while step * 128 <= at:
+        while step * fine <= at:
             step *= 2
         at = min(at + step, width)
         tops.append(at)
@@ -151,23 +151,97 @@ def _pattern(sizes, last, c) -> dict[int, int]:
     return out
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, width: int, rounds: int = 120) -> list[tuple[dict[int, int], float]]:
+def _start(sizes: np.ndarray, demand: np.ndarray, width: int) -> tuple[list[dict[int, int]], np.ndarray]:
+    """A first basis: patterns that fill up with the longest pieces, and how often each is used.
+
+    A pattern is used, in fractions too, until one of its classes is used up; no later one
+    holds that class, so the basis is triangular.
+    """
+    left, live = demand.astype(float), np.ones(len(sizes), bool)
+    basis, times = [], []
+    while live.any():
+        room, items = width, {}
+        while True:
+            fit = np.flatnonzero(live & (sizes <= room) & (left >= 1))
+            if not len(fit):
+                fit = np.flatnonzero(live & (sizes <= room)) if not items else fit
+            if not len(fit):
+                break
+            j = int(fit[-1])
+            items[j] = int(max(1, min(room // sizes[j], left[j])))
+            room -= items[j] * int(sizes[j])
+            live[j] = False
+        for j in items:
+            live[j] = True
+        k, j = min((left[j] / c, j) for j, c in items.items())
+        for i, c in items.items():
+            left[i] = max(left[i] - k * c, 0.0)
+        left[j], live[j] = 0.0, False
+        basis.append(items)
+        times.append(k)
+    return basis, np.array(times)
+
+
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, width: int, rounds: int = 40, gap: float = 1e-5) -> list[tuple[dict[int, int], float]]:
     """Patterns and their LP counts by the revised simplex method with knapsack pricing.
 
     One run of the knapsack gives, for each class, the best pattern that holds it; those
-    that still pay enter the basis one after the other before prices are made anew.
+    that still pay enter the basis one after the other before prices are made anew. It ends
+    when no pattern pays, or the value is within ``gap`` of the bound by prices.
     """
     m = len(sizes)
-    basis = [{i: int(width // sizes[i])} for i in range(m)]
-    inverse = np.diag([1.0 / (width // s) for s in sizes])
-    x = inverse @ demand
-    least = float(sizes @ demand) / width  # no cover has fewer sequences
-    for _ in range(rounds):
-        if x.sum() <= 1.0005 * least:
+    basis, x = _start(sizes, demand, width)
+
+    def inverted():
+        full = np.zeros((m, m))
+        for r, p in enumerate(basis):
+            full[list(p), r] = list(p.values())
+        return np.linalg.inv(full)  # pivots are never small, so it is regular
+
+    inverse = inverted()
+    bound = float(sizes @ demand) / width  # no cover has fewer sequences
+
+    def enter(new: dict[int, int]) -> bool:
+        """One pivot, if the pattern pays at the prices of the basis as it is."""
+        nonlocal inverse
+        column = np.zeros(m)
+        column[list(new)] = list(new.values())
+        d = inverse @ column
+        if d.sum() <= 1 + 1e-6:
+            return False
+        up = d > 1e-7
+        ratio = np.full(m, np.inf)
+        ratio[up] = np.maximum(x[up], 0) / d[up]
+        least = ratio.min()
+        r = int(np.where(ratio <= least + 1e-9 * (1 + least), d, 0).argmax())  # of equal steps the largest pivot
+        if d[r] < 1e-6:
+            return False
+        step = ratio[r]
+        x[:] -= step * d
+        x[r] = step
+        basis[r] = new
+        row = inverse[r] / d[r]
+        inverse -= np.outer(d, row)
+        inverse[r] = row
+        return True
+
+    # Whole patterns that fill up from the longest piece down are columns from the start.
+    ready = [dict(items) for _, items in _greedy(sizes, demand.astype(np.int64), width)]
+    known = np.zeros((len(ready), m))
+    for i, p in enumerate(ready):
+        known[i, list(p)] = list(p.values())
+    for _ in range(2 * m):
+        worth = known @ inverse.sum(axis=0)
+        if not len(ready) or worth.max() <= 1 + 1e-6 or not enter(ready[int(worth.argmax())]):
             break
+    for turn in range(rounds):
+        if turn % 10 == 9:
+            inverse = inverted()
+            x[:] = np.maximum(inverse @ demand, 0)
         price = inverse.sum(axis=0)
         best, last = _knapsack(sizes, price, width)
-        if best[width] <= 1 + 1e-6:
+        bound = max(bound, float(np.maximum(price, 0) @ demand) / max(best[width], 1.0))
+        if best[width] <= 1 + 1e-6 or x.sum() <= (1 + gap) * bound:
             break
         worth = price + best[width - sizes]
         entered = False
@@ -176,49 +250,38 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, width: int, rounds: in
                 break
             new = _pattern(sizes, last, int(width - sizes[j]))
             new[int(j)] = new.get(int(j), 0) + 1
-            column = np.zeros(m)
-            column[list(new)] = list(new.values())
-            if inverse.sum(axis=0) @ column <= 1 + 1e-6:
-                continue
-            d = inverse @ column
-            up = d > 1e-9
-            ratio = np.full(m, np.inf)
-            ratio[up] = np.maximum(x[up], 0) / d[up]
-            r = int(ratio.argmin())
-            step = ratio[r]
-            x -= step * d
-            x[r] = step
-            basis[r] = new
-            row = inverse[r] / d[r]
-            inverse -= np.outer(d, row)
-            inverse[r] = row
-            entered = True
+            entered |= enter(new)
         if not entered:
             break
     return [(p, float(max(v, 0))) for p, v in zip(basis, x, strict=True)]
 
 
 def plan(histogram: dict[int, int], width: int = WIDTH) -> tuple[np.ndarray, list[tuple[int, list[tuple[int, int]]]]]:
-    """(class tops, [(sequences, [(class, pieces)])]) that hold the histogram of lengths."""
+    """(class tops, [(sequences, [(class, pieces)])]) that hold the histogram of lengths.
+
+    The LP's counts are rounded down; what is left of the histogram is solved and rounded
+    again as long as that places something, and the last pieces are filled in from the longest down.
+    """
     tops = class_tops(width)
-    need = np.zeros(len(tops), np.int64)
+    left = np.zeros(len(tops), np.int64)
     for length, n in histogram.items():
-        need[np.searchsorted(tops, length)] += n
-    have = np.flatnonzero(need)
-    rounded, left = [], need.copy()
-    if len(have):
-        for p, v in sorted(solve_patterns(tops[have], need[have].astype(float), width), key=lambda t: -t[1]):
-            k = int(v + 1e-9)
+        left[np.searchsorted(tops, length)] += n
+    rounded, placed = [], 1
+    while placed and left.any():
+        have, placed = np.flatnonzero(left), 0
+        for p, v in sorted(solve_patterns(tops[have], left[have].astype(float), width), key=lambda t: -t[1]):
+            k = int(v + 1e-6)
             for j, c in p.items():
                 k = min(k, int(left[have[j]] // c))
             if k:
-                items = sorted((int(have[j]), c) for j, c in p.items())
-                rounded.append((k, items[::-1]))
+                items = sorted(((int(have[j]), c) for j, c in p.items()), reverse=True)
+                rounded.append((k, items))
                 for j, c in items:
                     left[j] -= k * c
-    rounded += _greedy(tops, left, width)
-    plain = _greedy(tops, need.copy(), width)
-    return tops, min(rounded, plain, key=lambda x: sum(k for k, _ in x))
+                placed += k
+        if placed < 8:
+            break
+    return tops, rounded + _greedy(tops, left, width)
 
 
 def _greedy(tops: np.ndarray, left: np.ndarray, width: int) -> list:

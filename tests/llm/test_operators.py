@@ -150,13 +150,37 @@ def test_token_ids_of_white_space_equal_the_tokenizer_file():
         assert packing.token_bytes(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes(), repr(x)
 
 
-def test_column_generation_beats_or_meets_greedy():
+def test_the_plan_holds_patterns_of_the_linear_program():
     r = np.random.default_rng(2)
-    lengths = dict(zip(*[x.tolist() for x in np.unique(r.integers(1, 2049, 3000), return_counts=True)], strict=True))
+    lengths = {300: 4000, 700: 3000, 750: 900, 1100: 2500, 41: 100} | {int(x): 50 for x in r.integers(100, 1500, 20)}
     tops, patterns = packing.plan(lengths)
     assert all(sum(int(tops[j]) * c for j, c in items) <= 2048 for _, items in patterns)
-    held = sum(n * c for n, items in patterns for _, c in items)
-    assert held == 3000 and sum(n for n, _ in patterns) <= 1.02 * sum(k * v for k, v in lengths.items()) / 2048 + 1
+    need = np.zeros(len(tops), np.int64)
+    for length, n in lengths.items():
+        need[np.searchsorted(tops, length)] += n
+    held = np.zeros(len(tops), np.int64)
+    for n, items in patterns:
+        for j, c in items:
+            held[j] += n * c
+    assert (held == need).all()
+    have = np.flatnonzero(need)
+    solved = packing.solve_patterns(tops[have], need[have].astype(float), 2048)
+    value = sum(v for _, v in solved)
+    greedy = packing._greedy(tops, need.copy(), 2048)
+    used, plain = sum(n for n, _ in patterns), sum(n for n, _ in greedy)
+    assert value <= used <= value + len(have) / 4 and used < plain
+    priced = {tuple(sorted(((int(have[j]), c) for j, c in p.items()), reverse=True)) for p, v in solved if v >= 1}
+    own = {tuple(items) for _, items in patterns} & priced - {tuple(items) for _, items in greedy}
+    assert sum(n for n, items in patterns if tuple(items) in own) > 0.1 * used
+
+
+def test_linear_program_values_by_hand():
+    # 100 pieces of 1366 and 200 of 341: one long and two short a sequence
+    solved = packing.solve_patterns(np.array([341, 1366]), np.array([200.0, 100.0]), 2048)
+    assert sum(v for _, v in solved) == pytest.approx(100)
+    # thirds: three of 700 do not fit, two do; the rest takes 640
+    solved = packing.solve_patterns(np.array([640, 700]), np.array([90.0, 180.0]), 2048)
+    assert sum(v for _, v in solved) == pytest.approx(90)
 
 
 def test_mixing_meets_targets(spark):
