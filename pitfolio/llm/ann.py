@@ -4,7 +4,7 @@ Codebooks: the space is cut in subspaces of two dimensions with 16 centres each.
 matters for a large inner product is the residual along the vector itself, so the loss
 is |r|^2 + (eta - 1) (u . r)^2 with u the vector's direction: parallel error costs eta
 times orthogonal error. Codebooks are learned by alternating assignment and weighted
-least squares on a sample of at most ``max_train`` vectors (by a hash of the id); codes
+least squares on a sample of about ``max_train`` vectors (by a hash of the row); codes
 minimise the same loss by coordinate descent over the subspaces. Every row is indexed.
 
 Search: queries and codes meet in blocks. A query block has one table of 16 scores a
@@ -13,7 +13,7 @@ subspace; tables of neighbouring subspaces are added to tables of 256, so that a
 the last of them, are scored exactly in double precision; blocks' best k are merged.
 
 Vectors that are null, zero or not finite take no part, nor do vectors of another than
-the most frequent dimension. Ties go to the smaller vec_id. Repeated rows of a vec_id
+the most frequent dimension, nor rows without a vec_id (a neighbour could not be named). Ties go to the smaller vec_id. Repeated rows of a vec_id
 are candidates one by one, but a query never meets rows of its own id.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
-from .vectors import as_bytes, block, dimension, usable
+from .vectors import as_bytes, block, dimension, sampled, usable
 
 MAX_TRAIN = 10_000
 ETA = 4.0
@@ -85,8 +85,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, depth: int = 800, m
     d = dimension(good)
     rows = materialize(as_bytes(good, d or 1))
     n = rows.count()
-    part = min(1.0, max_train / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 20)) < int(part * (1 << 20))).orderBy("vec_id").toPandas()
+    # repeated rows fall in or out together; different ones are what books are learned from
+    sample = sampled(rows, max_train, "vec_id", "v").distinct().orderBy("vec_id", "v").toPandas()
     x = _padded(np.frombuffer(b"".join(sample["v"]), "<f8").reshape(-1, d or 1)) if len(sample) else np.zeros((1, 4 * -(-(d or 1) // 4)))
     books = learn_books(np.ascontiguousarray(x))
     shared = spark.sparkContext.broadcast(books)
@@ -131,7 +131,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, depth: int = 800, m
                     approx += lut[i, j][code[j]]
                 take = np.flatnonzero(approx >= np.partition(approx, len(ids) - near)[len(ids) - near])
                 take = take[ids[take] != qid[i]]
-                score = v[take] @ qv[i]
+                score = (v[take] * qv[i]).sum(axis=1)  # equal rows give equal sums wherever they stand
                 best = np.lexsort((ids[take], -score))[:k]
                 out[0].append(np.full(len(best), qid[i]))
                 out[1].append(ids[take][best])

@@ -12,7 +12,9 @@ original vectors in double precision.
 A task returns, for each vector, the copies it is linked to, and a spanning forest of its
 links: at most two rows a vector however dense a group is. Sums give n_links, connected
 components the rest. Vectors that are null, zero or not finite, or of another than the
-most frequent dimension, link with nothing. Repeated vec_ids are rows of their own.
+most frequent dimension, link with nothing. Repeated vec_ids are rows of their own, linked
+or not by their vectors. A null vec_id is a row as any other, but no component's id unless
+its group has no other: then component_id is null and the row is kept.
 """
 
 from __future__ import annotations
@@ -47,22 +49,21 @@ def principal_axes(rows: DataFrame, d: int) -> np.ndarray:
     return np.ascontiguousarray(axes[:, np.argsort(-value)])
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Positions of the pairs that join two trees."""
-    up, keep = np.arange(n), []
-
-    def top(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for i in range(len(a)):
-        x, y = top(a[i]), top(b[i])
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            keep.append(i)
-    return np.array(keep, int)
+def _forest(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of pairs that join two trees of ``up`` (parents, never larger), which then has them joined."""
+    keep, live = [np.zeros(0, np.int64)], np.arange(len(a))
+    while len(live):
+        while (up[up] != up).any():
+            up[:] = up[up]
+        x, y = up[a[live]], up[b[live]]
+        live, x, y = live[x != y], x[x != y], y[x != y]
+        if not len(live):
+            break
+        hi, lo = np.maximum(x, y), np.minimum(x, y)
+        np.minimum.at(up, hi, lo)
+        took = np.flatnonzero(up[hi] == lo)
+        keep.append(live[took[np.unique(hi[took], return_index=True)[1]]])  # one pair for each root that was hooked
+    return np.concatenate(keep)
 
 
 def linked_pairs(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, least: float, same: bool, lead: int = 16):
@@ -99,7 +100,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tile: int = TILE) -
     good = usable(ids)
     d = dimension(good) or 1
     rows = materialize(as_bytes(good, d))
-    classes = materialize(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    # A class is its vector; the number it gets is as good as any, once it is written.
+    classes = materialize(rows.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
     axes = spark.sparkContext.broadcast(principal_axes(classes, d))
     reach = float(np.sqrt(2 - 2 * least)) + 1e-6
 
@@ -111,16 +113,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tile: int = TILE) -
             c = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes.value[:, 0] if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c)], names=[*b.schema.names, "c"])
 
-    placed = materialize(classes.mapInArrow(first, "v binary, rep long, copies long, c double"))
+    placed = materialize(classes.select("v", "rep", "copies").mapInArrow(first, "v binary, rep long, copies long, c double"))
     n = placed.count()
     tiles = max(1, -(-n // tile))
     edges = placed.approxQuantile("c", [i / tiles for i in range(1, tiles)], 0.25 / tiles) if tiles > 1 else []
     cuts = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
     placed = placed.withColumn("tile", F.size(F.filter(cuts, lambda e: F.col("c") >= e)))
     bounds = {r["tile"]: (r["lo"], r["hi"]) for r in placed.groupBy("tile").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).collect()}
-    meet = [(i, j) for i in bounds for j in bounds if i <= j and bounds[j][0] - bounds[i][1] <= reach]
-    pairs = spark.createDataFrame([(t, i, j) for i, j in meet for t in {i, j}] or [(0, 0, 0)], "tile int, ti int, tj int")
-    dealt = placed.select("tile", "rep", "copies", "v").join(F.broadcast(pairs), "tile")
+    # Tiles are in order of c, so those that a tile meets are a run: it meets j from ``lo`` to ``hi``.
+    at = sorted(bounds)
+    low, high = np.array([bounds[t][0] for t in at]), np.array([bounds[t][1] for t in at])
+    last = np.searchsorted(low, high + reach, "right") - 1
+    begin = np.searchsorted(high, low - reach, "left")
+    runs = spark.createDataFrame([(t, at[i], at[j]) for t, i, j in zip(at, begin.tolist(), last.tolist(), strict=True)] or [(0, 0, 0)], "tile int, lo int, hi int")
+    runs = runs.select("tile", F.explode(F.sequence("lo", "hi")).alias("o")).select("tile", F.least("tile", "o").alias("ti"), F.greatest("tile", "o").alias("tj"))
+    dealt = placed.select("tile", "rep", "copies", "v").join(runs, "tile")
 
     def compare(t):
         import pyarrow as pa
@@ -132,25 +139,25 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tile: int = TILE) -
         r = (v @ axes.value).astype(np.float32)
         rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        links, from_, to = np.zeros(len(v), np.int64), [], []
+        links, from_, to, up = np.zeros(len(v)), [], [], np.arange(len(v))
         for x, y in linked_pairs(v[a], v[b], r[a], r[b], least, i == j):
             x, y = a[x], b[y]
-            np.add.at(links, x, copies[y])
-            np.add.at(links, y, copies[x])
-            keep = _forest(len(v), x, y)
+            links += np.bincount(x, copies[y], len(v)) + np.bincount(y, copies[x], len(v))
+            keep = _forest(up, x, y)
             from_.append(x[keep])
             to.append(y[keep])
-        x, y = (np.concatenate(z) if z else np.zeros(0, int) for z in (from_, to))
-        keep = _forest(len(v), x, y)
+        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (from_, to))
+        links = links.astype(np.int64)
         got = np.flatnonzero(links)
         none = pa.nulls(len(got), pa.int64())
-        return pa.concat_tables([pa.table({"rep": pa.array(rep[got]), "links": pa.array(links[got]), "other": none}), pa.table({"rep": pa.array(rep[x[keep]]), "links": pa.nulls(len(keep), pa.int64()), "other": pa.array(rep[y[keep]])})])
+        return pa.concat_tables([pa.table({"rep": pa.array(rep[got]), "links": pa.array(links[got]), "other": none}), pa.table({"rep": pa.array(rep[x]), "links": pa.nulls(len(x), pa.int64()), "other": pa.array(rep[y])})])
 
     found = materialize(dealt.groupBy("ti", "tj").applyInArrow(compare, "rep long, links long, other long"))
     component = connected_components(found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     counts = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.join(counts, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep"))
+    smallest = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "group").join(counts, "rep", "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = rows.join(named, "v").select("vec_id", "n_links", "component_id")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     apart = ids.where(F.col("embedding").isNull() | bad | ~F.exists("embedding", lambda x: x != 0) | (F.size("embedding") != d))

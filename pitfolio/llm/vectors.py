@@ -35,6 +35,14 @@ def as_bytes(df: DataFrame, d: int, column: str = "embedding", ids: str = "vec_i
     return df.where(F.size(column) == d).select(F.col(ids).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, v binary")
 
 
+def sampled(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """About ``most`` of the rows by a hash of ``columns`` (all, if there are no more): a rate
+    of 64 bits, so the sample is as large on any table."""
+    n = rows.count()
+    top = -(1 << 63) + int((1 << 64) * min(1.0, most / max(n, 1)))
+    return rows if n <= most else rows.where(F.xxhash64(*columns, F.lit(3)) < F.lit(min(top, (1 << 63) - 1)))
+
+
 def block(column, dtype="<f8") -> np.ndarray:
     """A binary column as a matrix, one row a value."""
     values = column.to_pylist()

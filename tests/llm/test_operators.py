@@ -1,6 +1,5 @@
 """Every corpus operator on awkward tables, and against brute force on small ones."""
 
-import hashlib
 import math
 import re
 import zlib
@@ -249,16 +248,44 @@ def test_vector_links_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
-def test_base_spans_equal_re(spark):
-    odd = ["a@b.c@d.ef x_@y.zz", "a@b.c_x@d.e", "1.2.3.4.5.6.7.8 999.1.1.1", "+1 (743) 555-3824 4465758382889437", "x" * 50_000, "1 " * 5_000, "é@a.b 0001.2.3.255", None, ""]
-    got = spark.createDataFrame(list(enumerate(odd)), "i long, text string").select("i", pii.base_spans(pii.F.col("text")).alias("s")).collect()
-    for r in got:
-        t = odd[r.i] or ""
-        want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        want += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
-        want += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
-        assert [(s.start, s.rank, s.end) for s in r.s if s.rank != 2] == sorted(want)
-    assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(b"").hexdigest()
+AWKWARD = [(5, 0), (5, 1), (6, 0), (7, 1), (7, 1), (None, 0), (None, 2), (None, 2), (8, 3), (9, None), (None, None), (10, 4)]
+
+
+def awkward_vectors(spark):
+    r = np.random.default_rng(9)
+    base = r.normal(size=(5, 8))
+    base[4] = np.inf
+    v = [None if k is None else (base[k] * (1 + 0.5 * n)).tolist() for n, (_, k) in enumerate(AWKWARD)]  # one direction, many lengths
+    return v, spark.createDataFrame([(i, x, "x") for (i, _), x in zip(AWKWARD, v, strict=True)] + [(11, [1.0, 2.0], "x")], "vec_id long, embedding array<double>, v string")
+
+
+def test_vector_links_of_awkward_ids(spark):
+    v, df = awkward_vectors(spark)
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(df, tile=4).collect()), key=repr)
+    want = [(11, 0, 11, True)]
+    for i, k in AWKWARD:
+        own = [j for j, m in AWKWARD if m == k] if k not in (None, 4) else [i]
+        ids = [j for j in own if j is not None]
+        c = min(ids) if ids else None
+        want.append((i, len(own) - 1, c, i == c))
+    assert got == sorted(want, key=repr)
+
+
+def test_search_of_awkward_ids(spark):
+    v, df = awkward_vectors(spark)
+    got = ann.search(df, k=20, every=5).collect()
+    use = [(i, np.array(x)) for (i, _), x in zip(AWKWARD, v, strict=True) if i is not None and x is not None and np.isfinite(x).all()]
+    want = []
+    for q, x in [(i, x) for i, x in use if i % 5 == 0]:
+        want += [(q, i, round(float((x * y).sum()), 9)) for i, y in use if i != q]
+    # two rows of id 5 are two queries of one id; ranks run on over both
+    assert sorted((r.query_id, r.vec_id, round(r.score, 9)) for r in got) == sorted(want)[: len(want)]
+
+
+@pytest.mark.parametrize("name", ["links", "search"])
+def test_vectors_of_an_empty_table(spark, name):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert (embed_dedup.near_duplicates(none) if name == "links" else ann.search(none)).count() == 0
 
 
 def test_addresses_with_zero_parts(spark):
