@@ -2,9 +2,9 @@
 
 Model, from documents with a text and a language outside the held-out fold: for each
 language the counts of words, and of the character n-grams (5 down to 1, with word ends
-marked) of its different words. Counting runs over a sample bounded by ``max_train``
-documents, picked by a hash of the id, so the model's size has a bound that does not
-grow with the corpus; every document is scored.
+marked) of its different words. Counting runs over a sample of about ``max_train``
+documents of each language, picked by a hash of id and text, so no language is too rare to
+be learned and the model does not grow with the corpus; every document is scored.
 
 Score of a text: every word adds, for each language, the log of the word's smoothed
 relative frequency there, if the model knows the word; otherwise the mean over the
@@ -26,9 +26,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, materialize, table
 
-MAX_TRAIN = 2_000
+#: About so many training documents a language.
+MAX_TRAIN = 600
 _WORD = regex.compile(r"\p{L}+")
 _LONGEST = 5
 _CACHE = 300_000
@@ -42,8 +43,10 @@ def _grams(word: str, n: int) -> list[str]:
 def learn(docs: DataFrame, max_train: int = MAX_TRAIN):
     """(languages, word scores, [n-gram scores by length]): dicts to tuples of log frequencies."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).where(fold(F.col("doc_id"), 4) != 2)
-    part = min(1.0, max_train / max(known.select("doc_id", "lang", "text").count(), 1))
-    sample = known.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)), F.lit(1 << 20)) < int(part * (1 << 20)))
+    per = materialize(known.groupBy("lang").agg(F.count("*").alias("n")))  # one row a language
+    place = (F.xxhash64("doc_id", "text", F.lit(5)) / F.lit(2.0**64)) + 0.5
+    sample = known.select("doc_id", "lang", "text").join(per, "lang").where((place < max_train / F.col("n")) | (F.col("n") <= max_train))
+    sample = sample.groupBy("doc_id", "lang", F.md5("text").alias("digest")).agg(F.any_value("text").alias("text"))  # repeated rows count once
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}++"), F.lit(0))).alias("w"))
     got = words.groupBy("lang", "w").agg(F.count("*").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())

@@ -60,13 +60,17 @@ NAMES = ("chars", "words", "word_length", "distinct_words", "distinct_lines", "l
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, most: int) -> DataFrame:
-    """Labelled documents outside the held-out fold, of at most ``most`` ids, by a hash of the id.
+    """Labelled documents outside the held-out fold: at most ``most`` rows, ids taken by a hash.
 
-    The ids are at most ``most`` rows of two numbers, so they are broadcast and no text is shuffled.
+    The ids are at most ``most`` rows of two numbers, so they are broadcast and no text of
+    other rows is shuffled. An id that several rows have is one row of the sample, with the
+    text of the least digest.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), modulus) != left_out).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     picked = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")).alias("d"))
+    return one.select("doc_id", "d.text", "label")
 
 
 def _tree(x, g, h, cuts, depth, path, rules, lam=1.0, least=15):
