@@ -3,28 +3,31 @@
 Training documents: those whose crc32(id) % 7 is not 2. Tokens are words (A-Z lower-cased)
 and one end token a document.
 
-*Counts.* All training words are counted by a shuffle; the table grows with the corpus and
-stays distributed. Contexts are runs of one to ``depth`` words. A context is a candidate
-if it makes up at least ``p_min`` of all tokens, so there are at most 1 / p_min of them
-at each length, whatever the corpus; a next symbol is listed if it makes up ``p_symbol``
-of all tokens and ``gamma`` of what follows the context. These bounds hold for what is
-broadcast; the counting itself covers every training document.
-
-*Divergence test.* A candidate is kept as a state if coding what follows it with its own
-distribution rather than with that of its longest kept suffix saves more bits (count
-times Kullback-Leibler divergence over the listed symbols and the rest) than its listed
-symbols cost (half of log2 N each).
+*Counts.* All training words are counted. Then, level by level, runs of two words, three
+and so on up to ``depth`` + 1: a run is counted if the runs one word shorter that begin and
+end it were seen ``least`` times, and listed if it was seen ``least`` times itself. The
+threshold is absolute, so the tree grows with the corpus; it stays a distributed table.
+Tests for "seen often enough" on the way use a bitmap of fixed size, which lets through a
+few more, never less, and a join drops those.
+
+*Divergence test.* A run of one to ``depth`` words is kept as a state if coding what follows
+it with its own distribution rather than with that of the state for its suffix saves more
+bits (count times Kullback-Leibler divergence over the listed symbols and the rest) than
+its listed symbols cost (half of log2 N each).
 
 *Smoothing.* Each listed count is discounted by ``discount``; what is left of a state's
 mass goes to its suffix's distribution, down to the root, which is the add-one unigram
 with one unseen word. So every state's distribution sums to one over known words and
 the unseen word. A token is scored in the longest kept state that ends before it.
 
-*Scoring.* Documents are dealt in blocks by a hash of the id; a block asks for the counts
-of its own rare words by a join and gets them in one task with its documents.
+*Scoring.* The model is one table: a run's hash with the count of a word, the mass of the
+run's last word after the words before, and the mass that the run leaves as a state. Rows
+that hold ``p_top`` of all tokens (at most (depth + 1) / p_top) are broadcast. Documents are
+dealt in blocks of about ``block_bytes``; a block asks for the other rows that its texts
+may need by a join and gets them in one task with its documents.
 
-Words are compared as 64-bit hashes. Nulls: a null text is empty and has the end token
-only. Repeated rows count and are scored one by one.
+Words and runs are compared as 64-bit hashes. Nulls: a null text is empty and has the end
+token only. Repeated rows count and are scored one by one.
 """
 
 from __future__ import annotations
@@ -33,11 +36,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, table
-from .textwords import arrow_bytes, word_hashes
+from .common import discard, fold, materialize, table
+from .textwords import arrow_bytes, mix, word_hashes
 
 _END = np.uint64(0x5EED0FE2D0FD0C5)
-_ROWS, _FLUSH = 512, 1 << 21
+_FLUSH, _SLICE = 1 << 22, 1 << 21
+_BITS = 26
+_STEP = np.uint64(0xA24BAED4963EE407)
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -48,218 +53,234 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at, _END), np.insert(d, at, np.arange(n))
 
 
-def _slices(batches):
+def slices(batches):
+    """Parts of batches with a text column, of about _SLICE bytes of text, or one row."""
     for b in batches:
-        for at in range(0, b.num_rows, _ROWS):
-            yield b.slice(at, _ROWS)
+        if b.num_rows:
+            _, offsets = arrow_bytes(b.column("text"))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, "right")) - 1)
+                yield b.slice(at, to - at)
+                at = to
+
+
+def runs(h: np.ndarray, d: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the hash of the run that ends at each token, and whether it lies in one text."""
+    out = [(h, np.ones(len(h), bool))]
+    for m in range(2, longest + 1):
+        g, ok = np.zeros(len(h), np.uint64), np.zeros(len(h), bool)
+        g[1:] = mix(out[-1][0][:-1] * _STEP + h[1:] + np.uint64(m))
+        ok[1:] = out[-1][1][:-1] & (d[1:] == d[:-1])
+        out.append((g, ok))
+    return out
 
 
-def _counted(batches, codes):
-    """Unique codes and counts of the slices, flushed before they grow large."""
-    import pyarrow as pa
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """2**_BITS bits, set where a key k falls; the driver gets at most 2**(_BITS - 6) rows."""
+    slot = F.shiftrightunsigned("k", 64 - _BITS)
+    words = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (_BITS - 6), np.uint64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return out
 
-    held, size = [], 0
 
-    def out():
-        k, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
+def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys >> np.uint64(64 - _BITS)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
-    for part in _slices(batches):
-        c = codes(part.column("text"))
-        held.append(c)
-        size += len(c)
-        if size >= _FLUSH:
-            yield out()
-            held, size = [], 0
-    if size:
-        yield out()
-
-
-class Tree:
-    """Symbols (hashes in order, counts) and levels; a level has the codes of its contexts
-    (state of one level below, at the word before, times symbols + the last symbol), which of
-    them are kept, and their listed next symbols."""
-
-    def __init__(self, symbols, counts, total, kinds):
-        self.symbols, self.counts, self.total, self.kinds = symbols, counts, total, kinds
-        self.levels: list[dict] = []
-        self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[(symbols & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-
-    def symbol(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        if len(self.symbols):
-            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 18) - 1)).astype(np.int64)])
-            i = np.minimum(np.searchsorted(self.symbols, h[at]), len(self.symbols) - 1)
-            ok = self.symbols[i] == h[at]
-            out[at[ok]] = i[ok]
-        return out
-
-    def states(self, s: np.ndarray, d: np.ndarray, deep: int) -> list[np.ndarray]:
-        """For each level the index of the context that ends at each token, or -1."""
-        out, m = [], len(self.symbols)
-        for level in self.levels[:deep]:
-            if not out:
-                code = s
-            else:
-                before = np.full(len(s), -1, np.int64)
-                before[1:] = np.where(d[1:] == d[:-1], out[-1][:-1], -1)
-                code = np.where((before >= 0) & (s >= 0), before * m + s, -1)
-            out.append(find(level["codes"], code))
-        return out
-
-
-def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index in the sorted keys, -1 where missing or where x is negative."""
-    out = np.full(len(x), -1, np.int64)
-    at = np.flatnonzero(x >= 0)
-    if len(keys) and len(at):
-        i = np.minimum(np.searchsorted(keys, x[at]), len(keys) - 1)
-        ok = keys[i] == x[at]
-        out[at[ok]] = i[ok]
-    return out
 
+def _level(train: DataFrame, m: int, least: int, own, longer: bool) -> DataFrame:
+    """(m, k, n, ctx, suf): counts of runs of m + 1 words whose parts are in the bitmap ``own``
+    (of runs of m words), if ``longer``, and for the runs of m words in it the runs that begin and end them."""
+    spark = train.sparkSession
+    bits = spark.sparkContext.broadcast(own)
+
+    def run(batches):
+        import pyarrow as pa
 
-def _root(tree: Tree, s: np.ndarray) -> np.ndarray:
-    return (tree.counts[s] + 1) / (tree.total + tree.kinds + 1)
+        ahead, parts, size = [], [], 0
 
+        def out():
+            k, n = np.unique(np.concatenate(ahead), return_counts=True)
+            x = np.concatenate(parts) if parts else np.zeros((0, 3), np.uint64)
+            x = x[np.unique(x[:, 0], return_index=True)[1]]
+            for width, cols in ((m + 1, (k.view(np.int64), n.astype(np.int64), None, None)), (m, (x[:, 0].view(np.int64), None, x[:, 1].view(np.int64), x[:, 2].view(np.int64)))):
+                rows = len(cols[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, width, np.int32)), *[pa.nulls(rows, pa.int64()) if c is None else pa.array(c) for c in cols]], names=["m", "k", "n", "ctx", "suf"])
+
+        for part in slices(batches):
+            g = runs(*tokens(part.column("text")), m + longer)
+            here = g[m - 1][1] & held(bits.value, g[m - 1][0])
+            at = np.flatnonzero(g[m][1] & here & np.concatenate([[False], here[:-1]])) if longer else []
+            ahead.append(g[m][0][at] if longer else np.zeros(0, np.uint64))
+            if m > 1:
+                at = np.flatnonzero(here)
+                at = at[np.unique(g[m - 1][0][at], return_index=True)[1]]
+                parts.append(np.stack([g[m - 1][0][at], g[m - 2][0][at - 1], g[m - 2][0][at]], axis=1))
+            size += len(here)
+            if size >= _FLUSH:
+                yield from out()
+                ahead, parts, size = [], [], 0
+        if size:
+            yield from out()
 
-def _suffix_probability(tree: Tree, words: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """P(s | longest kept suffix of words[1:]); words: one row of symbols a context."""
-    p = _root(tree, s)
-    for length in range(1, words.shape[1]):
-        level = tree.levels[length - 1]
-        state = np.full(len(words), -1, np.int64)
-        for i in range(length):
-            w = words[:, words.shape[1] - length + i]
-            code = w if i == 0 else np.where(state >= 0, state * len(tree.symbols) + w, -1)
-            state = find(tree.levels[i]["codes"], code)
-        p = _step(level, state, s, len(tree.symbols), p)
-    return p
+    seen = train.select("text").mapInArrow(run, "m int, k long, n long, ctx long, suf long")
+    return materialize(seen.groupBy("m", "k").agg(F.sum("n").alias("n"), F.max("ctx").alias("ctx"), F.max("suf").alias("suf")).where(F.coalesce("n", F.lit(least)) >= least))
 
 
-def _step(level: dict, state: np.ndarray, s: np.ndarray, m: int, p: np.ndarray) -> np.ndarray:
-    """One level up: where the state is kept, its listed mass plus what it leaves times p."""
-    at = np.flatnonzero((state >= 0) & level["kept"][state])
-    if not len(at):
-        return p
-    p = p.copy()
-    own = find(level["next"], np.where(s[at] >= 0, state[at] * m + s[at], -1))
-    mass = np.where(own >= 0, level["mass"][own], 0.0) if len(level["mass"]) else 0.0
-    p[at] = mass + level["left"][state[at]] * p[at]
-    return p
+def _words(train: DataFrame) -> DataFrame:
+    """(k, n) of all tokens."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def grow(train: DataFrame, depth: int = 3, p_min: float = 1e-4, p_symbol: float = 1e-5, gamma: float = 1e-3, discount: float = 0.75) -> tuple[Tree, DataFrame]:
-    """(tree, word counts (k, n)) of the training texts."""
-    spark = train.sparkSession
-    vocab = materialize(train.select("text").mapInArrow(lambda it: _counted(it, lambda c: tokens(c)[0]), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
-    total, kinds = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = vocab.where(F.col("n") >= max(2, p_symbol * total)).toPandas()
-    h, n = top["k"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    tree = Tree(h[order], n[order], int(total), int(kinds))
-    m = len(order)
-    codes = np.flatnonzero(tree.counts >= max(2, p_min * total))
-    counts = tree.counts[codes]
-    words = codes[:, None]
-    for length in range(1, depth + 1):
-        if not len(codes):
-            break
-        level = {"codes": codes, "kept": np.zeros(len(codes), bool), "next": np.zeros(0, np.int64), "mass": np.zeros(0), "left": np.ones(len(codes))}
-        tree.levels.append(level)
-        shared = spark.sparkContext.broadcast(tree)
-
-        def following(column, shared=shared, length=length):
-            t = shared.value
-            h, d = tokens(column)
-            s = t.symbol(h)
-            state = t.states(s, d, length)[-1]
-            ok = (state[:-1] >= 0) & (s[1:] >= 0) & (d[1:] == d[:-1])
-            return state[:-1][ok] * len(t.symbols) + s[1:][ok]
-
-        seen = train.select("text").mapInArrow(lambda it, f=following: _counted(it, f), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        per = spark.createDataFrame([(i, float(max(3, gamma * c))) for i, c in enumerate(counts.tolist())], "state long, least double")
-        listed = seen.withColumn("state", F.floor(F.col("k") / m)).join(F.broadcast(per), "state").where(F.col("n") >= F.least("least", F.lit(max(3.0, p_min * total)))).select("k", "n", "least").toPandas().sort_values("k")
-        k, c = listed["k"].to_numpy(np.int64), listed["n"].to_numpy(float)
-        state, nxt = k // m, k % m
-        q = c / counts[state]
-        use = c >= listed["least"].to_numpy()
-        lower = _suffix_probability(tree, words[state], nxt) if len(k) else np.zeros(0)
-        gain = np.bincount(state[use], (q * np.log2(q / lower))[use], len(codes))
-        rest = np.maximum(1 - np.bincount(state[use], q[use], len(codes)), 1e-12)
-        rest_low = np.maximum(1 - np.bincount(state[use], lower[use], len(codes)), 1e-12)
-        gain += rest * np.log2(rest / rest_low)
-        kept = counts * gain > 0.5 * np.log2(max(total, 2)) * np.bincount(state[use], minlength=len(codes))
-        take = use & kept[state]
-        mass = np.maximum(c - discount, 0) / counts[state]
-        left = 1 - np.bincount(state[take], mass[take], len(codes))
-        tree.levels[-1] = {"codes": codes, "kept": kept, "next": k[take], "mass": mass[take], "left": np.where(kept, left, 1.0)}
-        more = c >= max(2, p_min * total)
-        codes, counts, words = k[more], c[more].astype(np.int64), np.hstack([words[state[more]], nxt[more, None]])
-    return tree, vocab
-
-
-def scores(docs: DataFrame, tree: Tree, vocab: DataFrame, block_rows: int = 4096) -> DataFrame:
+        kept, size = [], 0
+
+        def out():
+            k, n = np.unique(np.concatenate(kept), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
+
+        for part in slices(batches):
+            kept.append(tokens(part.column("text"))[0])
+            size += len(kept[-1])
+            if size >= _FLUSH:
+                yield out()
+                kept, size = [], 0
+        if size:
+            yield out()
+
+    return materialize(train.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+
+
+class Model:
+    """rows: table (k, n, mass, left, w); w: how often the run was seen. total and kinds of training words."""
+
+    def __init__(self, rows: DataFrame, total: int, kinds: int, depth: int):
+        self.rows, self.total, self.kinds, self.depth = rows, total, kinds, depth
+
+
+def _states(grams: DataFrame, lower: DataFrame, total: int, discount: float) -> DataFrame:
+    """grams (k, n, ctx, suf) with the state test of their ctx: p_low, mass, kept, left.
+
+    lower: (k, n, p) of runs one word shorter, p the probability of their last word.
+    """
+    g = grams.join(lower.select(F.col("k").alias("suf"), F.col("p").alias("p_low")), "suf").join(lower.select(F.col("k").alias("ctx"), F.col("n").alias("n_ctx")), "ctx")
+    g = g.withColumn("q", F.col("n") / F.col("n_ctx")).withColumn("mass", F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("n_ctx"))
+    per = g.groupBy("ctx").agg(
+        F.sum(F.col("q") * F.log2(F.col("q") / F.col("p_low"))).alias("gain"), F.greatest(1 - F.sum("q"), F.lit(1e-12)).alias("rest"),
+        F.greatest(1 - F.sum("p_low"), F.lit(1e-12)).alias("rest_low"), F.count("*").alias("listed"), F.max("n_ctx").alias("n_"), (1 - F.sum("mass")).alias("left"),
+    )
+    saved = F.col("n_") * (F.col("gain") + F.col("rest") * F.log2(F.col("rest") / F.col("rest_low")))
+    per = per.select("ctx", "left", (saved > 0.5 * float(np.log2(max(total, 2))) * F.col("listed")).alias("kept"))
+    return g.join(per, "ctx")
+
+
+def grow(train: DataFrame, depth: int = 2, least: int = 8, discount: float = 0.75) -> Model:
+    """The model of the training texts."""
+    words = _words(train)
+    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    lower = words.where(F.col("n") >= least).select("k", "n", ((F.col("n") + 1) / (total + kinds + 1)).alias("p"))
+    none = F.lit(None).cast("double")
+    parts = [words.select("k", "n", none.alias("mass"), none.alias("left"), F.col("n").alias("w"))]
+    bits, written, counted = bitmap(lower), [words], None
+    for m in range(1, depth + 2):
+        level = _level(train, m, least, bits, m <= depth)
+        written.append(level)
+        if m > 1:
+            listed = counted.join(level.where(F.col("m") == m).select("k", "ctx", "suf"), "k")
+            g = materialize(_states(listed, lower, total, discount))
+            written.append(g)
+            parts.append(g.where("kept").select("k", F.lit(None).cast("long").alias("n"), "mass", none.alias("left"), F.col("n").alias("w")))
+            parts.append(g.where("kept").groupBy(F.col("ctx").alias("k")).agg(F.lit(None).cast("long").alias("n"), none.alias("mass"), F.max("left").alias("left"), F.max("n_ctx").alias("w")))
+            lower = g.select("k", "n", F.when(F.col("kept"), F.col("mass") + F.col("left") * F.col("p_low")).otherwise(F.col("p_low")).alias("p"))
+        counted = level.where(F.col("m") == m + 1).select("k", "n")
+        if m <= depth:
+            bits = bitmap(counted)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    rows = materialize(every.groupBy("k").agg(F.max("n").alias("n"), F.max("mass").alias("mass"), F.max("left").alias("left"), F.max("w").alias("w")))
+    discard(*written)
+    return Model(rows, int(total), int(kinds), depth)
+
+
+class _Rows:
+    """Model rows by key, in memory: counts, masses and left masses; the last row stands for none."""
+
+    def __init__(self, k, n, mass, left):
+        import pandas as pd
+
+        self.index = pd.Index(k)
+        self.n, self.mass, self.left = np.append(np.nan_to_num(n), 0.0), np.append(np.nan_to_num(mass), 0.0), np.append(left, np.nan)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return self.index.get_indexer(keys.view(np.int64))
+
+
+def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 12 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
-    blocks = max(1, -(-docs.count() // block_rows))
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+    spark, depth = docs.sparkSession, model.depth
+    often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).toPandas()
+    top = spark.sparkContext.broadcast(tuple(often[c].to_numpy(t) for c, t in (("k", np.int64), ("n", float), ("mass", float), ("left", float))))
+    rare = model.rows.where(F.col("w") < max(2.0, p_top * model.total))
+    bits = spark.sparkContext.broadcast(bitmap(rare.where("mass is not null or left is not null")))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-size // block_bytes), -(-rows // 50_000))
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")  # by row: ids may repeat
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block).repartition(int(blocks), "block")
 
     def ask(batches):
         import pyarrow as pa
 
-        t, held, size = shared.value, [], 0
+        known, kept, size = _Rows(*top.value), {}, 0
 
         def out():
-            x = np.unique(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(x["k"]), pa.array(x["b"])], names=["k", "block"])
+            for b, keys in kept.items():
+                k = np.unique(np.concatenate(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), b, np.int32))], names=["k", "block"])
 
-        for part in _slices(batches):
+        for part in slices(batches):
             h, d = tokens(part.column("text"))
-            rare = t.symbol(h) < 0
-            x = np.empty(int(rare.sum()), [("k", np.int64), ("b", np.int32)])
-            x["k"], x["b"] = h[rare].view(np.int64), part.column("block").to_numpy()[d[rare]]
-            x.sort()
-            x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
-            held.append(x)
-            size += len(x)
+            of = part.column("block").to_numpy()[d]
+            for m, (g, ok) in enumerate(runs(h, d, depth + 1)):
+                at = np.arange(len(g)) if not m else np.flatnonzero(ok & held(bits.value, g))
+                at = at[known.find(g[at]) < 0]
+                for b in np.unique(of[at]).tolist():
+                    kept.setdefault(b, []).append(np.unique(g[at][of[at] == b]))
+                    size += len(kept[b][-1])
             if size >= _FLUSH:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+                yield from out()
+                kept, size = {}, 0
+        yield from out()
 
-    answers = dealt.select("text", "block").mapInArrow(ask, "k long, block int").join(vocab, "k")
+    # The same columns as below, so that the exchange of the texts is made once.
+    asked = dealt.mapInArrow(ask, "k long, block int")
+    answers = asked.join(rare.select("k", "n", "mass", "left"), "k").select("block", "k", "n", "mass", "left")
+    total, unit = model.total, model.total + model.kinds + 1
 
-    def rate(mine, known):
+    def rate(mine, told):
         import pyarrow as pa
 
-        t = shared.value
-        k, n = known.column("k").to_numpy().view(np.uint64), known.column("n").to_numpy()
-        order = np.argsort(k)
-        k, n = k[order], n[order]
-        unit, parts = t.total + t.kinds + 1, []
-        for at in range(0, mine.num_rows, _ROWS):
-            part = mine.slice(at, _ROWS).combine_chunks()
-            col = part.column("text")
-            col = col.chunk(0) if col.num_chunks else pa.array([], pa.string())
-            h, d = tokens(col)
-            s = t.symbol(h)
-            c = np.where(s >= 0, t.counts[s] if len(t.counts) else 0, 0).astype(float)
-            rare = np.flatnonzero(s < 0)
-            if len(k) and len(rare):
-                i = np.minimum(np.searchsorted(k, h[rare]), len(k) - 1)
-                c[rare] = np.where(k[i] == h[rare], n[i], 0)
-            p = base = (c + 1) / unit
-            for level, state in zip(t.levels, t.states(s, d, len(t.levels)), strict=True):
-                before = np.full(len(h), -1, np.int64)
-                before[1:] = np.where(d[1:] == d[:-1], state[:-1], -1)
-                p = _step(level, before, s, len(t.symbols), p)
-            rows = len(part)
-            total = lambda w: np.bincount(d, w, rows)  # noqa: E731, B023
-            parts.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.bincount(d, minlength=rows).astype(np.int64)), "n_known": pa.array(total(c > 0).astype(np.int64)), "train_tokens": pa.array(np.full(rows, t.total, np.int64)), "base_score": pa.array(total(np.log10(base))), "score": pa.array(total(np.log10(p)))}))
+        both = [np.concatenate([a, told.column(c).to_numpy().astype(a.dtype)]) for a, c in zip(top.value, ("k", "n", "mass", "left"), strict=True)]
+        known, parts = _Rows(*both), []
+        for part in slices(mine.combine_chunks().to_batches()):
+            h, d = tokens(part.column("text"))
+            n = part.num_rows
+            left = None
+            for m, (g, ok) in enumerate(runs(h, d, depth + 1)):
+                at = known.find(g) if ok.all() else np.where(ok, known.find(g), -1)
+                if not m:
+                    count = known.n[at]
+                    p = base = (count + 1) / unit
+                else:
+                    before = np.concatenate([[np.nan], left[:-1]])
+                    state = np.flatnonzero(ok & ~np.isnan(before))
+                    p = p.copy()
+                    p[state] = known.mass[at[state]] + before[state] * p[state]
+                left = known.left[at]
+            of = lambda w: np.bincount(d, w, n)  # noqa: E731, B023
+            parts.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.bincount(d, minlength=n).astype(np.int64)), "n_known": pa.array(of(count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(of(np.log10(base))), "score": pa.array(of(np.log10(p)))}))
         none = pa.table({c: pa.array([], pa.int64() if c[0] in "dnt" else pa.float64()) for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
         return pa.concat_tables(parts) if parts else none
 
@@ -268,5 +289,5 @@ def scores(docs: DataFrame, tree: Tree, vocab: DataFrame, block_rows: int = 4096
 
 def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, vocab = grow(docs.where(fold(F.col("doc_id"), 7) != 2))
-    return scores(docs, tree, vocab).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    model = grow(docs.where(fold(F.col("doc_id"), 7) != 2))
+    return scores(docs, model).select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

