@@ -11,7 +11,7 @@ from .stats import YEAR, avg_rank_percentile, regime_scores
 DIGITS = 9
 
 
-def rolling_board(intervals: DataFrame, window: int = 12, min_periods: int = 4) -> DataFrame:
+def rolling_board(intervals: DataFrame, window: int = 20, min_periods: int = 4) -> DataFrame:
     """strategy, decision_idx, decision_date, sharpe, drawdown, turnover, regime_score, regime_count.
 
     intervals: strategy, decision_idx, decision_date, market_regime, turnover, net, value (at the
@@ -37,31 +37,33 @@ def rolling_board(intervals: DataFrame, window: int = 12, min_periods: int = 4)
     return v.select("strategy", "decision_idx", "decision_date", *[F.round(c, DIGITS).alias(a) for c, a in (("sharpe", "sharpe"), ("drawdown", "drawdown"), ("mean_turnover", "turnover"), ("regime_score", "regime_score"))], "regime_count")
 
 
-def ranked_board(board: DataFrame, dd_limit: float = -0.25, turnover_limit: float = 0.6, global_weight: float = 0.6, regime_weight: float = 0.4) -> DataFrame:
+def ranked_board(board: DataFrame, dd_limit: float = -0.2, turnover_limit: float = 1.0, global_weight: float = 0.6, regime_weight: float = 0.4) -> DataFrame:
     """board with eligible, global_percentile, regime_percentile, score and rank (null where not eligible)."""
     gate = F.coalesce(F.col("sharpe").isNotNull() & (F.col("drawdown") >= dd_limit) & (F.col("turnover") <= turnover_limit), F.lit(False))
     b = board.withColumn("eligible", gate).withColumn("_g", F.when(F.col("eligible"), F.col("sharpe"))).withColumn("_r", F.when(F.col("eligible"), F.col("regime_score")))
     b = avg_rank_percentile(avg_rank_percentile(b, "decision_idx", "_g", "global_percentile"), "decision_idx", "_r", "regime_percentile")
     both = F.col("regime_percentile").isNotNull() & F.lit(regime_weight > 0)
     mixed = (global_weight * F.col("global_percentile") + regime_weight * F.col("regime_percentile")) / (global_weight + regime_weight)
-    b = b.withColumn("score", F.round(F.when(both, mixed).otherwise(F.col("global_percentile")), DIGITS))
+    b = b.withColumn("score", F.round(F.when(both, mixed).otherwise(F.col("global_percentile")), DIGITS)).withColumn("score_source", F.when(F.col("eligible"), F.when(both, "global_and_regime").otherwise("global")))
     w = Window.partitionBy("decision_idx", "eligible").orderBy(F.desc("score"), F.desc("drawdown"), "turnover", "strategy")
     return b.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(w))).drop("_g", "_r")
 
 
-def champion_path(ranked: DataFrame, baseline: str, first: int = 5, weekday: int = 6, margin: float = 0.1) -> DataFrame:
-    """decision_idx, decision_date, selected, challenger, switch_reason, score_margin, switched.
+def champion_path(ranked: DataFrame, baseline: str = "equal_weight", first: int = 4, weekday: int = 6, margin: float = 0.1, key: str | None = None) -> DataFrame:
+    """(key,) decision_idx, decision_date, selected, challenger, switch_reason, score_margin, switched.
 
     One row a decision: the baseline for the first decisions, then the incumbent until a
     weekday (1 is Sunday) on which a challenger leads by margin. The choice depends on the
     one before it, so the run's decisions are folded in order: one small struct a decision,
-    with the scores of its eligible strategies.
+    with the scores of its eligible strategies. With ``key`` each of its values is a run of
+    its own, and runs are folded in parallel.
     """
-    per = ranked.groupBy("decision_idx", "decision_date").agg(
+    run = [key] if key else []
+    per = ranked.groupBy(*run, "decision_idx", "decision_date").agg(
         F.min_by("strategy", "rank").alias("challenger"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("eligible"), F.struct("strategy", "score"))))).alias("scores"),
     )
-    day = per.select(F.struct("decision_idx", "decision_date", "challenger", "scores").alias("x"))
+    day = per.select(*run, F.struct("decision_idx", "decision_date", "challenger", "scores").alias("x"))
     kind = "array<struct<decision_idx:int,decision_date:date,selected:string,challenger:string,switch_reason:string,score_margin:double,switched:boolean>>"
     none = F.lit(None).cast("string")
 
@@ -83,4 +85,4 @@ def champion_path(ranked: DataFrame, baseline: str, first: int = 5, weekday: int
         return F.struct(chosen.alias("held"), F.concat(state["rows"], F.array(row)).cast(kind).alias("rows"))
 
     folded = F.aggregate("xs", F.struct(none.alias("held"), F.array().cast(kind).alias("rows")), step)
-    return day.agg(F.array_sort(F.collect_list("x").cast("array<struct<decision_idx:int,decision_date:date,challenger:string,scores:map<string,double>>>"), lambda a, b: a["decision_idx"] - b["decision_idx"]).alias("xs")).select(F.inline(folded["rows"]))
+    return day.groupBy(*run).agg(F.array_sort(F.collect_list("x").cast("array<struct<decision_idx:int,decision_date:date,challenger:string,scores:map<string,double>>>"), lambda a, b: a["decision_idx"] - b["decision_idx"]).alias("xs")).select(*run, F.inline(folded["rows"]))

@@ -41,6 +41,14 @@ def build_schedule(calendar: DataFrame, days=("wednesday", "friday"), decision_t
     return d.withColumn("status", F.when(stop == 0, "kept").otherwise("skipped")).withColumn("decision_idx", F.row_number().over(order) - 1)
 
 
+def missing_price_stop(schedule: DataFrame, bars: DataFrame) -> DataFrame:
+    """schedule whose run also ends at the first kept decision without a bar of any ticker on its decision or fill date."""
+    days = bars.select("date").distinct()
+    seen = schedule.join(days.select(F.col("date").alias("decision_date"), F.lit(1).alias("_d")), "decision_date", "left").join(days.select(F.col("date").alias("fill_date"), F.lit(1).alias("_f")), "fill_date", "left")
+    bad = F.max((F.col("_d").isNull() | F.col("_f").isNull()).cast("int")).over(Window.orderBy("decision_date"))
+    return seen.withColumn("status", F.when(bad == 1, "skipped").otherwise(F.col("status"))).select(*schedule.columns)
+
+
 def eligible_asof(schedule: DataFrame, universe: DataFrame) -> DataFrame:
     """Tickers whose inception is not after the decision; the universe is a small dimension."""
     return schedule.join(universe, schedule["decision_date"] >= universe["inception_date"])

@@ -59,6 +59,10 @@ def trend_slope(n: int) -> Column:
     return F.when(F.count(good).over(_over(n)) == n, F.regr_slope(good, F.col("rn").cast("double")).over(_over(n)))
 
 
+def moving_average(n: int) -> Column:
+    return _full(F.avg("close").over(_over(n)), "close", n)
+
+
 def prepared(bars: DataFrame) -> DataFrame:
     """bars with daily return r1, daily change d1 and place rn."""
     return bars.withColumn("rn", F.row_number().over(series())).withColumn("d1", F.col("close") - F.lag("close", 1).over(series())).withColumn("r1", ret(1))
@@ -94,9 +98,10 @@ def moving_averages(bars: DataFrame, fast: int = 20, slow: int = 100) -> DataFra
     return out.where(F.col("n") == slow).select("ticker", "date", "fast_ma", "slow_ma", (F.col("fast_ma") > F.col("slow_ma")).alias("signal"))
 
 
-def market_regime(bars: DataFrame, proxy: str, up: float = 0.03, calm: float = 0.18, stress: float = -0.12) -> DataFrame:
-    """date, return_63, annual_vol_21, drawdown_63 (worst within the window), market_regime of one proxy."""
-    p = prepared(bars.where(F.col("ticker") == proxy))
+def market_regime(bars: DataFrame, proxy: str | None = None, up: float = 0.03, calm: float = 0.18, stress: float = -0.12) -> DataFrame:
+    """date, return_63, annual_vol_21, drawdown_63 (worst within the window), market_regime of one proxy (the first ticker if not given)."""
+    one = bars.where(F.col("ticker") == proxy) if proxy else bars.join(bars.agg(F.min("ticker").alias("ticker")), "ticker")
+    p = prepared(one)
     last = F.collect_list("close").over(_over(63))
     worst = F.array_min(F.transform(F.col("c63"), lambda x, i: x / F.array_max(F.slice("c63", 1, i + 1)) - 1))
     p = p.select("date", "rn", ret(63).alias("return_63"), (vol(21) * F.sqrt(F.lit(252.0))).alias("annual_vol_21"), last.alias("c63")).withColumn("drawdown_63", worst)

@@ -23,17 +23,29 @@ def interval_return(schedule: DataFrame, bars: DataFrame, field: str = "open") -
 def interval_vol(schedule: DataFrame, bars: DataFrame) -> DataFrame:
     """Root of the summed squared log changes of closes within [fill, next fill].
 
-    Changes are taken per ticker first; a range join on the small schedule sums those that
-    lie within, the first bar of an interval only opens it.
+    Each date gets the interval it lies in from a running last over the calendar (a fill
+    date ends one interval and begins the next), so bars meet intervals by an equal date.
+    The first bar of an interval only opens it.
     """
     w = Window.partitionBy("ticker").orderBy("date")
     steps = bars.where("close > 0").select("ticker", "date", F.pow(F.ln("close") - F.lag(F.ln("close")).over(w), 2).alias("sq"))
-    s = intervals_of(schedule).where("next_fill is not null")
-    within = s.join(steps, (F.col("date") >= F.col("fill_date")) & (F.col("date") <= F.col("next_fill")))
+    s = intervals_of(schedule).where("next_fill is not null").select("decision_idx", "decision_date", "fill_date", "next_fill")
+    days = steps.select("date").distinct().unionByName(s.select(F.col("fill_date").alias("date"))).distinct()
+    fills = s.select(F.col("fill_date").alias("date"), F.struct("decision_idx", "decision_date", "next_fill").alias("i"))
+    run = Window.orderBy("date")
+    placed = days.join(fills, "date", "left").withColumn("now", F.last("i", ignorenulls=True).over(run)).withColumn("before", F.lag("now").over(run))
+    ends = F.when(F.col("before.next_fill") == F.col("date"), F.col("before"))
+    inside = F.when(F.col("date") <= F.col("now.next_fill"), F.col("now"))
+    of = placed.select("date", F.inline(F.array_distinct(F.array_compact(F.array(inside, ends)))))
     own = Window.partitionBy("decision_idx", "ticker").orderBy("date")
-    within = within.withColumn("k", F.row_number().over(own))
+    within = steps.join(of, "date").withColumn("k", F.row_number().over(own))
     return within.groupBy("decision_idx", "decision_date", "ticker").agg(F.sqrt(F.sum(F.when(F.col("k") > 1, F.col("sq")))).alias("vol"))
 
 
 def log_vol_label(vol):
     return F.ln(F.greatest(vol, F.lit(0.0)) + 1e-8)
+
+
+def vol_of_label(label):
+    """The inverse, never below 0."""
+    return F.greatest(F.exp(label) - 1e-8, F.lit(0.0))

@@ -55,10 +55,10 @@ def fill_orders(orders: DataFrame, prices: DataFrame, cash: DataFrame, slippage_
     """
     key = ["portfolio_id", "decision_idx"]
     f = orders.join(prices.select("decision_idx", "ticker", "price"), ["decision_idx", "ticker"]).join(cash.select(*key, "cash"), key)
-    f = f.withColumn("is_buy", (F.col("shares") > 0).cast("int"))
+    f = f.where("price > 0 and price < double('infinity')").withColumn("is_buy", (F.col("shares") > 0).cast("int"))
     f = f.withColumn("fill_price", F.col("price") * (1 + F.signum("shares") * slippage_bps / 1e4))
     f = f.withColumn("wish", -F.col("shares") * F.col("fill_price") - flat)
-    before = Window.partitionBy(*key).orderBy("is_buy", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("is_buy", "ord", "ticker").rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("available", F.col("cash") + F.coalesce(F.sum("wish").over(before), F.lit(0.0)))
     can = F.greatest((F.col("available") - flat) / F.col("fill_price"), F.lit(0.0))
     f = f.withColumn("shares", F.when(F.col("is_buy") == 1, F.least("shares", can)).otherwise(F.col("shares"))).where(F.abs("shares") > DUST)
@@ -67,15 +67,19 @@ def fill_orders(orders: DataFrame, prices: DataFrame, cash: DataFrame, slippage_
 
 
 def position_ledger(fills: DataFrame) -> DataFrame:
-    """Shares held after each fill of a ticker; dust is nothing held."""
+    """Shares held after the fills of a ticker in each decision; dust is nothing held."""
+    fills = fills.groupBy("portfolio_id", "ticker", "decision_idx").agg(F.sum("shares").alias("shares"))
     w = Window.partitionBy("portfolio_id", "ticker").orderBy("decision_idx")
     held = F.sum("shares").over(w)
     return fills.select("portfolio_id", "decision_idx", "ticker", F.when(F.abs(held) < DUST, 0.0).otherwise(held).alias("shares"))
 
 
-def cash_ledger(fills: DataFrame, initial: float) -> DataFrame:
+def cash_ledger(fills: DataFrame, initial: float, check: bool = False) -> DataFrame:
+    """Cash after the fills of each decision; with ``check`` a book that overdraws is an error."""
     per = fills.groupBy("portfolio_id", "decision_idx").agg(F.sum("cash_flow").alias("flow"))
-    return per.select("portfolio_id", "decision_idx", (F.lit(float(initial)) + F.sum("flow").over(Window.partitionBy("portfolio_id").orderBy("decision_idx"))).alias("cash"))
+    cash = F.lit(float(initial)) + F.sum("flow").over(Window.partitionBy("portfolio_id").orderBy("decision_idx"))
+    out = per.select("portfolio_id", "decision_idx", cash.alias("cash"))
+    return out.withColumn("cash", F.when(F.col("cash") < -1e-9, F.raise_error(F.concat(F.lit("overdraft of portfolio "), F.col("portfolio_id").cast("string"))).cast("double")).otherwise(F.col("cash"))) if check else out
 
 
 def weight_path_returns(targets: DataFrame, returns: DataFrame, cost_bps: float = 0.0) -> DataFrame:
@@ -85,18 +89,16 @@ def weight_path_returns(targets: DataFrame, returns: DataFrame, cost_bps: float
     half the absolute change against the drifted weights, cash included. Every decision of
     ``returns`` is one interval, without weights all in cash.
     """
-    days = returns.select("decision_idx", "decision_date").distinct()
+    days = returns.select("decision_idx", "decision_date").distinct().withColumn("next_idx", F.lead("decision_idx").over(Window.orderBy("decision_idx")))
     grid = days.crossJoin(targets.select("strategy").distinct())
-    held = targets.join(returns.select("decision_idx", "ticker", "ret"), ["decision_idx", "ticker"])
-    gross = held.groupBy("strategy", "decision_idx").agg(F.sum(F.col("weight") * F.col("ret")).alias("gross"), F.sum("weight").alias("invested"))
-    path = grid.join(gross, ["strategy", "decision_idx"], "left").na.fill(0.0, ["gross", "invested"])
-    by = Window.partitionBy("strategy").orderBy("decision_idx")
-    path = path.withColumn("next_idx", F.lead("decision_idx").over(by))
-    drifted = held.join(path.select("strategy", "decision_idx", "gross", "next_idx"), ["strategy", "decision_idx"]).where("next_idx is not null")
-    drifted = drifted.select("strategy", F.col("next_idx").alias("decision_idx"), "ticker", (F.col("weight") * (1 + F.col("ret")) / (1 + F.col("gross"))).alias("old"))
-    change = targets.select("strategy", "decision_idx", "ticker", "weight").join(drifted, ["strategy", "decision_idx", "ticker"], "full").na.fill(0.0, ["weight", "old"])
-    moved = change.groupBy("strategy", "decision_idx").agg(F.sum(F.abs(F.col("weight") - F.col("old"))).alias("_a"), F.sum(F.col("weight") - F.col("old")).alias("_c"))
-    path = path.join(moved, ["strategy", "decision_idx"], "left").na.fill(0.0, ["_a", "_c"]).withColumn("turnover", 0.5 * (F.col("_a") + F.abs("_c")))
+    held = targets.select("strategy", "decision_idx", "ticker", "weight").join(returns.select("decision_idx", "ticker", "ret"), ["decision_idx", "ticker"], "left").join(days, "decision_idx")
+    held = held.withColumn("gross", F.sum(F.col("weight") * F.col("ret")).over(Window.partitionBy("strategy", "decision_idx")))
+    # A holding is bought at its decision and, drifted, sold at the next; what is left of both is traded.
+    old = -F.col("weight") * (1 + F.col("ret")) / (1 + F.col("gross"))
+    legs = F.array(F.struct(F.col("decision_idx").alias("at"), F.col("weight").alias("move"), (F.col("weight") * F.col("ret")).alias("g")), F.struct(F.col("next_idx").alias("at"), old.alias("move"), F.lit(None).cast("double").alias("g")))
+    moves = held.select("strategy", "ticker", F.inline(legs)).groupBy("strategy", "at", "ticker").agg(F.coalesce(F.sum("move"), F.lit(0.0)).alias("move"), F.sum("g").alias("g"))
+    moved = moves.groupBy("strategy", F.col("at").alias("decision_idx")).agg(F.sum("g").alias("gross"), F.sum(F.abs("move")).alias("_a"), F.sum("move").alias("_c"))
+    path = grid.join(moved, ["strategy", "decision_idx"], "left").na.fill(0.0, ["gross", "_a", "_c"]).withColumn("turnover", 0.5 * (F.col("_a") + F.abs("_c")))
     path = path.withColumn("net", F.col("gross") - F.col("turnover") * cost_bps / 1e4)
-    path = path.withColumn("value", F.exp(F.sum(F.log1p("net")).over(by)))
+    path = path.withColumn("value", F.exp(F.sum(F.log1p("net")).over(Window.partitionBy("strategy").orderBy("decision_idx"))))
     return path.select("strategy", "decision_idx", "decision_date", "gross", "turnover", "net", "value")

@@ -35,9 +35,9 @@ def _candidates(spark, bars, schedule):
     """Kept decisions and tickers with a bar on the decision date, in name order."""
     kept = schedule.where("status = 'kept'").select("decision_idx", "decision_date")
     p = features.prepared(bars)
-    feats = p.select("ticker", F.col("date").alias("decision_date"), features.ret(63).alias("momentum"), features.vol(20).alias("vol_20"), "close")
-    ma = features.moving_averages(bars).select("ticker", F.col("date").alias("decision_date"), "fast_ma", "slow_ma")
-    return kept.join(feats, "decision_date").join(ma, ["ticker", "decision_date"], "left").withColumn("universe_order", F.col("ticker"))
+    slow = features.moving_average(100)
+    feats = p.select("ticker", F.col("date").alias("decision_date"), features.ret(63).alias("momentum"), features.vol(20).alias("vol_20"), "close", F.when(slow.isNotNull(), features.moving_average(20)).alias("fast_ma"), slow.alias("slow_ma"))
+    return kept.join(feats, "decision_date").withColumn("universe_order", F.col("ticker"))
 
 
 def q_bars(spark, sf_dir):
@@ -56,7 +56,7 @@ def q_eligible(spark, sf_dir):
 
 def q_coverage(spark, sf_dir):
     b = _bars(spark, sf_dir, "p_brand")
-    return coverage.ticker_coverage(b, calendar.sessions(b))
+    return coverage.ticker_coverage(b, calendar.sessions(b)).select("ticker", "first_date", "last_date", "observations", "gap_count")
 
 
 def q_bounds(spark, sf_dir):
@@ -77,13 +77,9 @@ def q_moving_averages(spark, sf_dir):
     return _rounded(features.moving_averages(_bars(spark, sf_dir)).select("ticker", "date", "fast_ma", "slow_ma"), 4)
 
 
-def _proxy(bars):
-    return bars.agg(F.min("ticker")).first()[0]
-
-
 def q_market_regime(spark, sf_dir):
     b = _bars(spark, sf_dir)
-    return _rounded(features.market_regime(b, _proxy(b)))
+    return _rounded(features.market_regime(b))
 
 
 def q_interval_returns(spark, sf_dir):
@@ -105,19 +101,7 @@ def q_customer_asof(spark, sf_dir):
 
 
 def _targets(spark, b, schedule):
-    c = _candidates(spark, b, schedule)
-    named = lambda name, df: df.withColumn("strategy", F.lit(name))
-    out = [
-        named("equal_weight", strategies.equal_weight(c)),
-        named("inverse_volatility", strategies.inverse_volatility(c)),
-        named("ts_momentum", strategies.time_series_momentum(c)),
-        named("xs_momentum", strategies.cross_section_momentum(c)),
-        named("ma_crossover", strategies.ma_crossover(c)),
-    ]
-    all_ = out[0]
-    for x in out[1:]:
-        all_ = all_.unionByName(x)
-    return all_
+    return strategies.rule_based(_candidates(spark, b, schedule))
 
 
 def q_strategy_weights(spark, sf_dir):
@@ -143,7 +127,7 @@ def q_performance(spark, sf_dir):
 def _intervals(spark, sf_dir):
     """Interval facts with the regime of the first ticker on the decision date."""
     b = _bars(spark, sf_dir)
-    regime = features.market_regime(b, _proxy(b)).select(F.col("date").alias("decision_date"), "market_regime")
+    regime = features.market_regime(b).select(F.col("date").alias("decision_date"), "market_regime")
     return _paths(spark, sf_dir).join(regime, "decision_date", "left").na.fill("UNKNOWN", ["market_regime"])
 
 
@@ -319,15 +303,15 @@ _BOARD = f"""{_FACTS},
 b0 AS (SELECT *, coalesce(lag(value) OVER ({_BY}), 1.0) AS start FROM facts),
 b1 AS (SELECT *, ln(start / lag(start) OVER ({_BY})) AS r, CAST(decision_date - lag(decision_date) OVER ({_BY}) AS DOUBLE) AS d FROM b0),
 b2 AS (SELECT *, count(r) OVER w AS n, sum(r) OVER w / sum(d) OVER w AS mu, sum(d) OVER w AS days, list(r) OVER w AS rs, list(d) OVER w AS ds,
-  list(start) OVER ({_BY} ROWS 12 PRECEDING) AS lv, avg(turnover) OVER ({_BY} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS mt,
+  list(start) OVER ({_BY} ROWS 20 PRECEDING) AS lv, avg(turnover) OVER ({_BY} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mt,
   count(net) OVER p AS regime_count, avg(net) OVER p AS rm FROM b1
-  WINDOW w AS ({_BY} ROWS 11 PRECEDING), p AS (PARTITION BY strategy, market_regime ORDER BY decision_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  WINDOW w AS ({_BY} ROWS 19 PRECEDING), p AS (PARTITION BY strategy, market_regime ORDER BY decision_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b3 AS (SELECT *, list_sum(list_transform(range(1, len(rs) + 1), lambda i: pow(rs[i] - mu * ds[i], 2))) / days AS var,
   list_min(list_transform(range(1, len(lv) + 1), lambda i: lv[i] / list_max(lv[1:i]) - 1)) AS dd FROM b2),
 board AS (SELECT strategy, decision_idx, decision_date, round(CASE WHEN n >= 2 THEN CASE WHEN var > 1e-18 THEN mu * 365.25 / sqrt(var * 365.25) ELSE 0 END END, 9) AS sharpe,
   round(CASE WHEN n > 0 THEN dd END, 9) AS drawdown, round(mt, 9) AS turnover, round(CASE WHEN regime_count >= 4 THEN rm END, 9) AS regime_score, regime_count FROM b3)"""
 _RANKED = f"""{_BOARD},
-k0 AS (SELECT *, coalesce(sharpe IS NOT NULL AND drawdown >= -0.25 AND turnover <= 0.6, false) AS eligible FROM board),
+k0 AS (SELECT *, coalesce(sharpe IS NOT NULL AND drawdown >= -0.2 AND turnover <= 1.0, false) AS eligible FROM board),
 k1 AS (SELECT *, CASE WHEN eligible THEN sharpe END AS g, CASE WHEN eligible THEN regime_score END AS rg FROM k0),
 k2 AS (SELECT *, count(g) OVER w AS ng, count(rg) OVER w AS nr,
   rank() OVER (PARTITION BY decision_idx ORDER BY g NULLS LAST) + (count(*) OVER (PARTITION BY decision_idx, g) - 1) / 2.0 AS kg,
@@ -348,9 +332,9 @@ days_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY decision_idx) AS k, de
 walk AS (
   SELECT CAST(0 AS BIGINT) AS k, -1 AS decision_idx, CAST(NULL AS DATE) AS decision_date, CAST(NULL AS VARCHAR) AS selected, CAST(NULL AS VARCHAR) AS challenger, CAST(NULL AS VARCHAR) AS switch_reason, CAST(NULL AS DOUBLE) AS score_margin, false AS switched
   UNION ALL
-  SELECT k, decision_idx, decision_date, selected, challenger, reason, CASE WHEN reason IN ('challenger_exceeded_margin', 'challenger_below_margin') THEN lead_ END, coalesce(decision_idx >= 5 AND held <> selected, false) FROM (
+  SELECT k, decision_idx, decision_date, selected, challenger, reason, CASE WHEN reason IN ('challenger_exceeded_margin', 'challenger_below_margin') THEN lead_ END, coalesce(decision_idx >= 4 AND held <> selected, false) FROM (
     SELECT *, CASE WHEN reason IN ('initialization_baseline', 'no_eligible_candidate') THEN 'equal_weight' WHEN reason IN ('incumbent_ineligible', 'challenger_exceeded_margin') THEN challenger ELSE coalesce(held, 'equal_weight') END AS selected FROM (
-      SELECT *, CASE WHEN decision_idx < 5 THEN 'initialization_baseline' WHEN dayofweek(decision_date) <> 5 THEN 'incumbent_held_until_selection_day' WHEN challenger IS NULL THEN 'no_eligible_candidate'
+      SELECT *, CASE WHEN decision_idx < 4 THEN 'initialization_baseline' WHEN dayofweek(decision_date) <> 5 THEN 'incumbent_held_until_selection_day' WHEN challenger IS NULL THEN 'no_eligible_candidate'
         WHEN own IS NULL THEN 'incumbent_ineligible' WHEN held = challenger THEN 'incumbent_ranked_first' WHEN lead_ >= 0.1 THEN 'challenger_exceeded_margin' ELSE 'challenger_below_margin' END AS reason FROM (
         SELECT d.*, w.selected AS held, d.scores[w.selected] AS own, d.scores[d.challenger] - d.scores[w.selected] AS lead_ FROM walk w JOIN days_ d ON d.k = w.k + 1))))
 SELECT decision_idx, decision_date, selected, challenger, switch_reason, round(score_margin, 6) AS score_margin, switched FROM walk WHERE k > 0""",
