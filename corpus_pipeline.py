@@ -54,10 +54,12 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a copy is a row."""
     size = mixing.n_words(F.col("text"))
-    plan = mixing.mixed(docs).groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n")).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("source_"), size.alias("size"))
-    rows = rows.join(plan, F.col("id").eqNullSafe(F.col("i")) & F.col("source_").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")))
-    k = F.row_number().over(Window.partitionBy("i", "s", "n").orderBy(F.xxhash64("doc")))
+    # Null ids and sources are values of their own; the same columns join and number the rows, so texts are dealt once.
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no_i"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s")]
+    names = ["i", "no_i", "s", "no_s", "n"]
+    plan = mixing.mixed(docs).select(*keys, F.col("size").alias("n"), "copies").groupBy(*names).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), *keys, size.alias("n")).join(plan, names)
+    k = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("doc")))
     both = rows.withColumn("c", F.element_at("copies", k)).where("c > 0")
     return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("copy")).select("doc.*")
 
