@@ -19,7 +19,7 @@ Two documents link when 100 * |x & y| >= percent * |x | y|. The work, in order:
    of near size in a list is not kept there at all), and pairs are
    skipped by size, by position (every shingle before the meeting point is missing in
    the other set) and by histogram (its L1 distance is at most the number of shingles
-   that are in one set only); a coarse form of it, 64 bins, is tested in the join itself.
+   that are in one set only); a coarse form of it, 128 bins, is tested in the join itself.
 5. *Verification* of pairs that pass, on whole sets, and connected components.
 
 Shingles are compared as 64-bit hashes. Documents without words link with nothing.
@@ -36,7 +36,7 @@ from .common import connected_components, discard, materialize, table
 from .textwords import arrow_bytes, mix, shingles, word_hashes
 
 _SLOTS = 1 << 22
-_BINS, _COARSE = 512, 64
+_BINS, _COARSE = 512, 128
 _ROWS = 512
 
 
