@@ -41,7 +41,7 @@ from .textwords import arrow_bytes, mix, word_hashes
 
 _END = np.uint64(0x5EED0FE2D0FD0C5)
 _FLUSH, _SLICE = 1 << 22, 1 << 21
-_BITS = 26
+_BITS = 25
 _STEP = np.uint64(0xA24BAED4963EE407)
 
 
@@ -79,9 +79,9 @@ def runs(h: np.ndarray, d: np.ndarray, longest: int) -> list[tuple[np.ndarray, n
 def bitmap(keys: DataFrame) -> np.ndarray:
     """2**_BITS bits, set where a key k falls; the driver gets at most 2**(_BITS - 6) rows."""
     slot = F.shiftrightunsigned("k", 64 - _BITS)
-    words = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (_BITS - 6), np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
 
 
@@ -218,11 +218,11 @@ class _Rows:
         return self.index.get_indexer(keys.view(np.int64))
 
 
-def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 12 << 20) -> DataFrame:
+def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark, depth = docs.sparkSession, model.depth
-    often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).toPandas()
-    top = spark.sparkContext.broadcast(tuple(often[c].to_numpy(t) for c, t in (("k", np.int64), ("n", float), ("mass", float), ("left", float))))
+    often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).toArrow()
+    top = spark.sparkContext.broadcast(tuple(often[c].to_numpy().astype(t) for c, t in (("k", np.int64), ("n", float), ("mass", float), ("left", float))))
     rare = model.rows.where(F.col("w") < max(2.0, p_top * model.total))
     bits = spark.sparkContext.broadcast(bitmap(rare.where("mass is not null or left is not null")))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -264,7 +264,7 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
 
         both = [np.concatenate([a, told.column(c).to_numpy().astype(a.dtype)]) for a, c in zip(top.value, ("k", "n", "mass", "left"), strict=True)]
         known, parts = _Rows(*both), []
-        for part in slices(mine.combine_chunks().to_batches()):
+        for part in slices(mine.to_batches()):
             h, d = tokens(part.column("text"))
             n = part.num_rows
             left = None
