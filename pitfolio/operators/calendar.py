@@ -59,6 +59,14 @@ def valid_price(bars: DataFrame, field: str) -> DataFrame:
     return bars.where(c.isNotNull() & ~F.isnan(c) & (c > 0) & (c < float("inf")))
 
 
+def filled_bars(bars: DataFrame) -> DataFrame:
+    """(ticker, date, close) for every session from a ticker's first bar on, with its last valid close."""
+    grid = sessions(bars).crossJoin(bars.groupBy("ticker").agg(F.min("date").alias("first"))).where("date >= first").drop("first")
+    good = valid_price(bars, "close").select("ticker", "date", F.col("close").alias("_c"))
+    last = F.last("_c", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("date"))
+    return grid.join(good, ["ticker", "date"], "left").select("ticker", "date", last.alias("close"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, value: str, default=None) -> DataFrame:
     """left with the last ``value`` of right at or before left_ts: one union, one sort, no theta join.
 

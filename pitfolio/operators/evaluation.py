@@ -49,3 +49,27 @@ def rank_quality(forecasts: DataFrame) -> DataFrame:
     varied = (F.count("*") >= 2) & (F.min("p") < F.max("p")) & (F.min("a") < F.max("a"))
     day = f.groupBy("model", "date").agg(F.when(varied, F.try_divide(F.covar_pop("p", "a"), F.stddev_pop("p") * F.stddev_pop("a"))).alias("ic"), F.max(((F.col("kp") == 1) & (F.col("ka") == 1)).cast("int")).alias("hit"))
     return day.groupBy("model").agg(F.avg("ic").alias("mean_rank_ic"), F.avg("hit").alias("top_hit_rate"), F.count("*").alias("dates"))
+
+
+def calibration_ratio(forecasts: DataFrame) -> DataFrame:
+    """model, ratio: mean forecast volatility over mean realised volatility, both not below 0; null if nothing was realised."""
+    f = forecasts.where("predicted is not null and actual is not null")
+    top, low = F.avg(F.greatest("predicted", F.lit(0.0))), F.avg(F.greatest("actual", F.lit(0.0)))
+    return f.groupBy("model").agg(F.when(low > 0, top / low).alias("ratio"))
+
+
+def evaluate_forecasts(forecasts: DataFrame, least: int = 2, volatility: bool = False) -> DataFrame:
+    """(model, split, metric, value): errors by split, rank correlation, hits and, for volatilities, calibration.
+
+    Naive forecasts are models of their own beside each. A model of fewer than ``least``
+    forecasts gets one row, metric insufficient_data with its number of forecasts.
+    """
+    known = forecasts.where("predicted is not null and actual is not null")
+    n = known.groupBy("model").agg(F.count("*").cast("double").alias("value"))
+    few = n.where(F.col("value") < least).select("model", F.lit("all").alias("split"), F.lit("insufficient_data").alias("metric"), "value")
+    both = naive_forecasts(known.join(n.where(F.col("value") >= least).select("model"), "model", "left_semi"))
+    long = lambda df, cols: df.select("model", "split", *[F.col(c).cast("double") for c in cols]).unpivot(["model", "split"], cols, "metric", "value")
+    out = long(forecast_errors(chrono_split(both)), ["n", "mae", "rmse", "hit"]).unionByName(long(rank_quality(both).withColumn("split", F.lit("all")), ["mean_rank_ic", "top_hit_rate", "dates"]))
+    if volatility:
+        out = out.unionByName(long(calibration_ratio(both).withColumn("split", F.lit("all")), ["ratio"]))
+    return out.unionByName(few)

@@ -109,3 +109,31 @@ def market_regime(bars: DataFrame, proxy: str | None = None, up: float = 0.03, c
     level = F.when(F.col("annual_vol_21") < calm, "LOWVOL").otherwise("HIGHVOL")
     name = F.concat(trend, F.lit("_"), level, F.when(F.col("drawdown_63") <= stress, "_STRESS").otherwise(""))
     return p.select("date", "return_63", "annual_vol_21", "drawdown_63", F.when(F.col("rn") < 64, "UNKNOWN").otherwise(name).alias("market_regime"))
+
+
+def level_change_features(series: DataFrame, dates: DataFrame, lags: tuple[int, int] = (21, 63)) -> DataFrame:
+    """dates (date) x series: level and its change over two lags of observations, as known on the date; 0 where nothing is.
+
+    series: series, date, available_date, value (of equal dates the last to be published counts).
+    An observation is known from its available_date; changes count observations back in order of date.
+    """
+    from .calendar import asof_join
+
+    one = Window.partitionBy("series", "date").orderBy(F.desc("available_date"), F.desc("value"))
+    s = series.withColumn("_k", F.row_number().over(one)).where("_k = 1").drop("_k")
+    by = Window.partitionBy("series").orderBy("date")
+    change = lambda n: F.col("value") / F.lag("value", n).over(by) - 1
+    s = s.select("series", "available_date", F.struct(F.col("date").alias("d"), F.col("value").alias("level"), F.coalesce(change(lags[0]), F.lit(0.0)).alias("a"), F.coalesce(change(lags[1]), F.lit(0.0)).alias("b")).alias("f"))
+    ask = dates.select("date").crossJoin(s.select("series").distinct())  # a handful of series
+    got = asof_join(ask, s, ["series"], "date", "available_date", "f")
+    zero = lambda c: F.coalesce(F.col(f"f.{c}"), F.lit(0.0))
+    return got.select("series", "date", zero("level").alias("level"), zero("a").alias(f"change_{lags[0]}"), zero("b").alias(f"change_{lags[1]}"))
+
+
+def merge_series(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row a date with a column for each series (date, value), null where a series has none."""
+    long = None
+    for name, df in parts.items():
+        one = df.select("date", F.lit(name).alias("series"), "value")
+        long = one if long is None else long.unionByName(one)
+    return long.groupBy("date").pivot("series", list(parts)).agg(F.max("value"))

@@ -57,7 +57,10 @@ def regime_scores(intervals: DataFrame, min_periods: int = 4) -> DataFrame:
 
 
 def regime_leaderboard(intervals: DataFrame) -> DataFrame:
-    """market_regime, strategy: intervals, win_rate, mean_turnover, worst drawdown of compounded gross returns."""
+    """market_regime, strategy: intervals, win_rate, mean_turnover, worst drawdown of compounded gross returns.
+
+    sharpe and cagr are 0: intervals of one regime do not follow each other in time.
+    """
     w = Window.partitionBy("market_regime", "strategy").orderBy("decision_idx")
     c = intervals.withColumn("level", F.exp(F.sum(F.log1p("gross")).over(w))).withColumn("peak", F.greatest(F.max("level").over(w), F.lit(1.0)))
-    return c.groupBy("market_regime", "strategy").agg(F.count("*").alias("intervals"), F.avg((F.col("gross") > 0).cast("int")).alias("win_rate"), F.avg("turnover").alias("mean_turnover"), F.min(F.least(F.col("level") / F.col("peak") - 1, F.lit(0.0))).alias("max_drawdown"))
+    return c.groupBy("market_regime", "strategy").agg(F.count("*").alias("intervals"), F.avg((F.col("gross") > 0).cast("int")).alias("win_rate"), F.avg("turnover").alias("mean_turnover"), F.min(F.least(F.col("level") / F.col("peak") - 1, F.lit(0.0))).alias("max_drawdown"), F.lit(0.0).alias("sharpe"), F.lit(0.0).alias("cagr"))

@@ -340,7 +340,7 @@ walk AS (
 SELECT decision_idx, decision_date, selected, challenger, switch_reason, round(score_margin, 6) AS score_margin, switched FROM walk WHERE k > 0""",
     "regime_leaderboard": f"""{_FACTS}, c AS (SELECT *, exp(sum(ln(1 + gross)) OVER (PARTITION BY market_regime, strategy ORDER BY decision_idx)) AS level FROM facts),
 p AS (SELECT *, greatest(max(level) OVER (PARTITION BY market_regime, strategy ORDER BY decision_idx), 1.0) AS peak FROM c)
-SELECT market_regime, strategy, count(*) AS intervals, round(avg(CAST(gross > 0 AS INT)), 6) AS win_rate, round(avg(turnover), 6) AS mean_turnover, round(min(least(level / peak - 1, 0.0)), 6) AS max_drawdown FROM p GROUP BY ALL""",
+SELECT market_regime, strategy, count(*) AS intervals, round(avg(CAST(gross > 0 AS INT)), 6) AS win_rate, round(avg(turnover), 6) AS mean_turnover, round(min(least(level / peak - 1, 0.0)), 6) AS max_drawdown, 0.0 AS sharpe, 0.0 AS cagr FROM p GROUP BY ALL""",
     "forecast_errors": f"""{_FORECASTS}, dk AS (SELECT model, date, row_number() OVER (PARTITION BY model ORDER BY date) AS k, count(*) OVER (PARTITION BY model) AS n FROM (SELECT DISTINCT model, date FROM fc)),
 dc AS (SELECT *, greatest(1, floor(n * CAST(0.6 AS DOUBLE))) AS a, floor(n * CAST(0.8 AS DOUBLE)) AS b FROM dk),
 sp AS (SELECT fc.*, CASE WHEN k <= a THEN 'train' WHEN k <= greatest(a + 1, b) THEN 'validation' ELSE 'holdout' END AS split FROM fc JOIN dc USING (model, date))

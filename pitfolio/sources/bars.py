@@ -66,12 +66,12 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
 def normalize_bars(wide: DataFrame) -> DataFrame:
     """Wide columns named ticker_field or field_ticker, one row a date, to long bars."""
     found = []
-    for c in wide.columns:
-        left, _, right = c.partition("_")
-        if right.lower() in FIELDS:
-            found.append((c, left, right.lower()))
-        elif left.lower() in FIELDS:
-            found.append((c, right, left.lower()))
+    for c in wide.columns:  # a ticker may hold the separator itself
+        for f in FIELDS:
+            if c.lower().endswith(f"_{f}"):
+                found.append((c, c[: -len(f) - 1], f))
+            elif c.lower().startswith(f"{f}_"):
+                found.append((c, c[len(f) + 1 :], f))
     long = wide.unpivot("date", [c for c, _, _ in found], "_c", "_v")
     names = F.create_map(*[F.lit(x) for c, t, f in found for x in (c, f"{t}\0{f}")])
     parts = F.split(names[F.col("_c")], "\0")
