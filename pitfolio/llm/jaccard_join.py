@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, table
-from .textwords import arrow_bytes, mix, shingles, word_hashes
+from .textwords import arrow_bytes, mix, shingles, slices, word_hashes
 
 _SLOTS = 1 << 22
 _BINS, _COARSE = 512, 128
@@ -41,15 +41,11 @@ _ROWS = 512
 
 
 def _sets(batches, k):
-    """(batch, hashes, ends) for slices of few rows, so that long texts stay bounded."""
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            part = batch.slice(at, _ROWS)
-            data, offsets = arrow_bytes(part.column("text"))
-            h, d = shingles(*word_hashes(data, offsets), part.num_rows, k)
-            yield part, h, np.cumsum(np.bincount(d, minlength=part.num_rows)), d
-            at += _ROWS
+    """(part, hashes, ends, doc) for parts of few rows and bytes, so that long texts stay bounded."""
+    for part in slices(batches, _ROWS):
+        data, offsets = arrow_bytes(part.column("text"))
+        h, d = shingles(*word_hashes(data, offsets), part.num_rows, k)
+        yield part, h, np.cumsum(np.bincount(d, minlength=part.num_rows)), d
 
 
 def _fingerprints(n, h, ends):

@@ -36,7 +36,7 @@ from .common import materialize, table
 
 WIDTH = 2048
 END_ID = 1
-_KEEP = 400_000
+_KEEP = 150_000
 #: A blank beside other white space: the run around it may be one pre-token. isprintable() is false for all white space but the blank.
 _RUN = re.compile(r" \s|\s ")
 

@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, fold, materialize, table
-from .textwords import arrow_bytes, mix, word_hashes
+from .textwords import arrow_bytes, mix, slices, word_hashes
 
 _END = np.uint64(0x5EED0FE2D0FD0C5)
-_FLUSH, _SLICE = 1 << 22, 1 << 21
+_FLUSH = 1 << 22
 _BITS = 25
 _STEP = np.uint64(0xA24BAED4963EE407)
 
@@ -53,18 +53,6 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, at, _END), np.insert(d, at, np.arange(n))
 
 
-def slices(batches):
-    """Parts of batches with a text column, of about _SLICE bytes of text, or one row."""
-    for b in batches:
-        if b.num_rows:
-            _, offsets = arrow_bytes(b.column("text"))
-            at = 0
-            while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, "right")) - 1)
-                yield b.slice(at, to - at)
-                at = to
-
-
 def runs(h: np.ndarray, d: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length the hash of the run that ends at each token, and whether it lies in one text."""
     out = [(h, np.ones(len(h), bool))]

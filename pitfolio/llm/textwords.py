@@ -112,6 +112,21 @@ def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def slices(batches, most_rows: int = 1 << 30, most_bytes: int = 1 << 21):
+    """Parts of batches with a text column: about so many bytes of text and rows at most, or one row.
+
+    Arrays over a part's bytes and words stay small, however long the texts of a batch are.
+    """
+    for b in batches:
+        if b.num_rows:
+            _, offsets = arrow_bytes(b.column("text"))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, min(int(np.searchsorted(offsets, offsets[at] + most_bytes, "right")) - 1, at + most_rows))
+                yield b.slice(at, to - at)
+                at = to
+
+
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(hash, doc): distinct k-word shingles, by doc and then hash.
 
