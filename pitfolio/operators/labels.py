@@ -14,10 +14,11 @@ def intervals_of(schedule: DataFrame) -> DataFrame:
 
 def interval_return(schedule: DataFrame, bars: DataFrame, field: str = "open") -> DataFrame:
     """decision_idx, decision_date, ticker, ret: price at the next fill over price at this one, less 1."""
-    s = intervals_of(schedule).where("next_fill is not null")
-    a = bars.select("ticker", F.col("date").alias("fill_date"), F.col(field).alias("p0"))
-    b = bars.select("ticker", F.col("date").alias("next_fill"), F.col(field).alias("p1"))
-    return s.join(a, "fill_date").join(b, ["next_fill", "ticker"]).select("decision_idx", "decision_date", "ticker", (F.col("p1") / F.col("p0") - 1).alias("ret"))
+    s = intervals_of(schedule)
+    at = s.join(bars.select("ticker", F.col("date").alias("fill_date"), F.col(field).alias("p0")), "fill_date")
+    w = Window.partitionBy("ticker").orderBy("decision_idx")
+    at = at.withColumn("p1", F.lead("p0").over(w)).withColumn("then", F.lead("fill_date").over(w))
+    return at.where("then = next_fill and p0 is not null and p1 is not null").select("decision_idx", "decision_date", "ticker", (F.col("p1") / F.col("p0") - 1).alias("ret"))
 
 
 def interval_vol(schedule: DataFrame, bars: DataFrame) -> DataFrame:
@@ -40,12 +41,3 @@ def interval_vol(schedule: DataFrame, bars: DataFrame) -> DataFrame:
     own = Window.partitionBy("decision_idx", "ticker").orderBy("date")
     within = steps.join(of, "date").withColumn("k", F.row_number().over(own))
     return within.groupBy("decision_idx", "decision_date", "ticker").agg(F.sqrt(F.sum(F.when(F.col("k") > 1, F.col("sq")))).alias("vol"))
-
-
-def log_vol_label(vol):
-    return F.ln(F.greatest(vol, F.lit(0.0)) + 1e-8)
-
-
-def vol_of_label(label):
-    """The inverse, never below 0."""
-    return F.greatest(F.exp(label) - 1e-8, F.lit(0.0))

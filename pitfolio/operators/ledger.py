@@ -5,15 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DUST = 1e-12
-
-
-def slippage(shares, price, bps: float):
-    return F.abs(shares) * price * bps / 1e4
+from ..functions.columns import commission, fill_price, slippage
 
-
-def commission(shares, flat: float):
-    return F.when(shares != 0, F.lit(float(flat))).otherwise(0.0)
+DUST = 1e-12
 
 
 def apply_constraints(targets: DataFrame, current: DataFrame, max_weight: float = 0.35, turnover_cap: float = 0.35) -> DataFrame:
@@ -56,7 +50,7 @@ def fill_orders(orders: DataFrame, prices: DataFrame, cash: DataFrame, slippage_
     key = ["portfolio_id", "decision_idx"]
     f = orders.join(prices.select("decision_idx", "ticker", "price"), ["decision_idx", "ticker"]).join(cash.select(*key, "cash"), key)
     f = f.where("price > 0 and price < double('infinity')").withColumn("is_buy", (F.col("shares") > 0).cast("int"))
-    f = f.withColumn("fill_price", F.col("price") * (1 + F.signum("shares") * slippage_bps / 1e4))
+    f = f.withColumn("fill_price", fill_price(F.col("shares"), F.col("price"), slippage_bps))
     f = f.withColumn("wish", -F.col("shares") * F.col("fill_price") - flat)
     before = Window.partitionBy(*key).orderBy("is_buy", "ord", "ticker").rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("available", F.col("cash") + F.coalesce(F.sum("wish").over(before), F.lit(0.0)))
@@ -82,14 +76,15 @@ def cash_ledger(fills: DataFrame, initial: float, check: bool = False) -> DataFr
     return out.withColumn("cash", F.when(F.col("cash") < -1e-9, F.raise_error(F.concat(F.lit("overdraft of portfolio "), F.col("portfolio_id").cast("string"))).cast("double")).otherwise(F.col("cash"))) if check else out
 
 
-def weight_path_returns(targets: DataFrame, returns: DataFrame, cost_bps: float = 0.0) -> DataFrame:
+def weight_path_returns(targets: DataFrame, returns: DataFrame, cost_bps: float = 0.0, days: DataFrame | None = None) -> DataFrame:
     """strategy, decision_idx, decision_date, gross, turnover, net, value from weights and interval returns.
 
     The frictions-lite form: weights drift with returns until the next decision; turnover is
     half the absolute change against the drifted weights, cash included. Every decision of
-    ``returns`` is one interval, without weights all in cash.
+    ``days`` (decision_idx, decision_date; those of ``returns`` if not given) is one interval,
+    without weights all in cash.
     """
-    days = returns.select("decision_idx", "decision_date").distinct().withColumn("next_idx", F.lead("decision_idx").over(Window.orderBy("decision_idx")))
+    days = (returns.select("decision_idx", "decision_date").distinct() if days is None else days.select("decision_idx", "decision_date")).withColumn("next_idx", F.lead("decision_idx").over(Window.orderBy("decision_idx")))
     grid = days.crossJoin(targets.select("strategy").distinct())
     held = targets.select("strategy", "decision_idx", "ticker", "weight").join(returns.select("decision_idx", "ticker", "ret"), ["decision_idx", "ticker"], "left").join(days, "decision_idx")
     held = held.withColumn("gross", F.sum(F.col("weight") * F.col("ret")).over(Window.partitionBy("strategy", "decision_idx")))

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import log_vol_label, vol_of_label
+
 
 def training_sets(schedule: DataFrame, embargo: int = 1, window_days: int | None = 756) -> DataFrame:
     """(refit_idx, decision_idx): what each decision may learn from.
@@ -155,8 +157,6 @@ def ml_strategy(kind: str, features: DataFrame, schedule: DataFrame, labels: Dat
     features: decision_idx, decision_date, ticker and ``names``; labels: decision_idx, ticker,
     ret; vols (for vol and rar): decision_idx, ticker, vol, learned as logs.
     """
-    from .labels import log_vol_label, vol_of_label
-
     sets = training_sets(schedule, embargo, window_days)
 
     def forecast(label: DataFrame) -> DataFrame:

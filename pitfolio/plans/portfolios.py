@@ -9,35 +9,35 @@ from pyspark.sql import functions as F
 
 from ..operators import boards, book, calendar, coverage, evaluation, features, labels, ledger, models, selection, stats, strategies
 from . import queries as base
-from .queries import _PATHS, _TARGETS, _TYPE, _bars, _candidates, _frame, _round, _rounded, _schedule, _targets
+from .queries import _PATHS, _TARGETS, _TYPE, _bars, _candidates, _frame, _market, _round, _rounded, _targets
 
 CAPITAL, CASH = 100_000.0, 500.0
 NAMES = ["ret_21", "vol_21"]
 
 
 def q_buy_and_hold(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    return _rounded(strategies.buy_and_hold(_candidates(spark, b, _schedule(b))).select("decision_idx", "ticker", "weight"))
+    b, s = _market(spark, sf_dir)
+    return _rounded(strategies.buy_and_hold(_candidates(spark, b, s)).select("decision_idx", "ticker", "weight"))
 
 
 def q_volatility_target(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    equal = strategies.equal_weight(_candidates(spark, b, _schedule(b)))
+    b, s = _market(spark, sf_dir)
+    equal = strategies.equal_weight(_candidates(spark, b, s))
     return _rounded(strategies.volatility_target(equal, features.prepared(b).select("ticker", "date", "r1")).select("decision_idx", "ticker", "weight"))
 
 
 def q_ensemble(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    t = _targets(spark, b, _schedule(b))
+    b, s = _market(spark, sf_dir)
+    t = _targets(spark, b, s)
     part = lambda n: t.where(F.col("strategy") == n).drop("strategy")
     return _rounded(strategies.ensemble_fixed([(part("inverse_volatility"), 1.0), (part("xs_momentum"), 3.0)]).select("decision_idx", "ticker", "weight"))
 
 
 def q_momentum_grid(spark, sf_dir):
     """Cross-section momentum over a grid of parameters, all of its rows in one pass."""
-    b = _bars(spark, sf_dir)
+    b, s = _market(spark, sf_dir)
     grid = strategies.param_grid(spark, "xs", {"top_k": [2, 4], "floor": [0.0, 0.02]})
-    c = _candidates(spark, b, _schedule(b)).where("momentum is not null").select("decision_idx", "ticker", "momentum")
+    c = _candidates(spark, b, s).where("momentum is not null").select("decision_idx", "ticker", "momentum")
     day = Window.partitionBy("decision_idx")
     c = c.withColumn("k", F.row_number().over(day.orderBy(F.desc("momentum"), "ticker"))).withColumn("lead", F.max("momentum").over(day))
     picked = c.crossJoin(grid).where("lead > floor and k <= top_k")
@@ -46,8 +46,8 @@ def q_momentum_grid(spark, sf_dir):
 
 def _books(spark, sf_dir):
     """Targets by inverse volatility and what was bought in equal parts one decision before: (targets, positions, cash, prices)."""
-    b = _bars(spark, sf_dir)
-    c = _candidates(spark, b, _schedule(b))
+    b, s = _market(spark, sf_dir)
+    c = _candidates(spark, b, s)
     book_ = F.lit("p").alias("portfolio_id")
     targets = strategies.inverse_volatility(c).select(book_, "decision_idx", "ticker", "weight")
     held = strategies.equal_weight(c).join(c.select("decision_idx", "ticker", "close"), ["decision_idx", "ticker"])
@@ -122,8 +122,7 @@ def q_mark_check(spark, sf_dir):
 
 
 def _paths(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    s = _schedule(b)
+    b, s = _market(spark, sf_dir)
     marks = calendar.filled_bars(b)  # what is held is marked by its last close
     return book.rebalance_paths(book.decision_table(_targets(spark, b, s), s, marks, "close", "close"))
 
@@ -139,8 +138,8 @@ def q_trades(spark, sf_dir):
 
 def q_missing_price_stop(spark, sf_dir):
     """The schedule of all part types against the bars of one."""
-    b = _bars(spark, sf_dir)
-    return calendar.missing_price_stop(_schedule(b), b.join(b.agg(F.min("ticker").alias("ticker")), "ticker"))
+    b, s = _market(spark, sf_dir)
+    return calendar.missing_price_stop(s, b.join(b.agg(F.min("ticker").alias("ticker")), "ticker"))
 
 
 def q_coverage_gate(spark, sf_dir):
@@ -182,15 +181,14 @@ def _champion(spark, sf_dir):
 
 def q_meta_path(spark, sf_dir):
     """The meta portfolio in the champion's weights, in the form without books."""
-    b = _bars(spark, sf_dir)
-    s = _schedule(b)
+    b, s = _market(spark, sf_dir)
     meta = selection.meta_targets(_champion(spark, sf_dir), _targets(spark, b, s))
-    return _rounded(ledger.weight_path_returns(meta, labels.interval_return(s, b, "close"), 5.0).select("strategy", "decision_idx", "gross", "turnover", "net"))
+    return _rounded(ledger.weight_path_returns(meta, labels.interval_return(s, b, "close"), 5.0, labels.intervals_of(s).where("next_fill is not null")).select("strategy", "decision_idx", "gross", "turnover", "net"))
 
 
 def q_champion_timeline(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    t = selection.champion_timeline(_champion(spark, sf_dir), _targets(spark, b, _schedule(b)))
+    b, s = _market(spark, sf_dir)
+    t = selection.champion_timeline(_champion(spark, sf_dir), _targets(spark, b, s))
     total = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda s, x: s + x)
     return _rounded(t.select("decision_idx", "incumbent", "selected", "switch_reason", F.size("weights").cast("long").alias("positions"), total.alias("invested")))
 
@@ -201,8 +199,7 @@ def q_equity_curves(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     """(features at decisions, schedule with ends, interval returns, interval volatilities)."""
-    b = _bars(spark, sf_dir)
-    s = _schedule(b)
+    b, s = _market(spark, sf_dir)
     kept = s.where("status = 'kept'").select("decision_idx", "decision_date")
     f = features.prepared(b).select("ticker", F.col("date").alias("decision_date"), features.ret(21).alias("ret_21"), features.vol(21).alias("vol_21"))
     return kept.join(f, "decision_date").dropna(), labels.intervals_of(s), labels.interval_return(s, b, "close"), labels.interval_vol(s, b)
@@ -235,8 +232,8 @@ def q_ml_risk_adjusted(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, kind):
-    b = _bars(spark, sf_dir)
-    c = _candidates(spark, b, _schedule(b))
+    b, s = _market(spark, sf_dir)
+    c = _candidates(spark, b, s)
     mu = c.select("decision_idx", "decision_date", "ticker", F.round(F.col("momentum") / 63, 9).alias("predicted")).dropna()
     sigma = c.select("decision_idx", "decision_date", "ticker", F.round("vol_20", 9).alias("predicted")).dropna()
     return models.score_forecasts(kind, mu, sigma)
@@ -257,8 +254,7 @@ def q_ml_evaluation(spark, sf_dir):
 
 
 def q_calibration(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    s = _schedule(b)
+    b, s = _market(spark, sf_dir)
     v = labels.interval_vol(s, b).where("vol is not null").select("decision_idx", "ticker", F.col("vol").alias("actual"))
     c = _candidates(spark, b, s).select("decision_idx", "ticker", F.col("vol_20").alias("predicted"))
     return _rounded(evaluation.calibration_ratio(c.join(v, ["decision_idx", "ticker"]).withColumn("model", F.lit("vol_20"))))
@@ -268,7 +264,7 @@ def q_macro_features(spark, sf_dir):
     """Daily order totals of each priority as series, published the day after, at the decisions."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     s = o.groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("value")).withColumn("available_date", F.date_add("date", 1))
-    days = _schedule(_bars(spark, sf_dir)).where("status = 'kept'").select(F.col("decision_date").alias("date"))
+    days = _market(spark, sf_dir)[1].where("status = 'kept'").select(F.col("decision_date").alias("date"))
     return _rounded(features.level_change_features(s, days), 4)
 
 

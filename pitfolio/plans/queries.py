@@ -27,6 +27,11 @@ def _schedule(bars):
     return calendar.build_schedule(calendar.sessions(bars))
 
 
+def _market(spark, sf_dir):
+    """Bars and schedule of the part types; the schedule needs the dates alone."""
+    return _bars(spark, sf_dir), calendar.build_schedule(sources.market_sessions(spark, sf_dir))
+
+
 def universe(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, d, i) for i, (t, d) in enumerate(UNIVERSE)], "ticker string, inception_date string, universe_order int").withColumn("inception_date", F.to_date("inception_date"))
 
@@ -50,8 +55,8 @@ def q_schedule(spark, sf_dir):
 
 
 def q_eligible(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    return calendar.eligible_asof(_schedule(b).where("status = 'kept'"), universe(spark)).select("decision_idx", "decision_date", "ticker", "inception_date")
+    b, s = _market(spark, sf_dir)
+    return calendar.eligible_asof(s.where("status = 'kept'"), universe(spark)).select("decision_idx", "decision_date", "ticker", "inception_date")
 
 
 def q_coverage(spark, sf_dir):
@@ -83,13 +88,13 @@ def q_market_regime(spark, sf_dir):
 
 
 def q_interval_returns(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    return _rounded(labels.interval_return(_schedule(b), b, "close"))
+    b, s = _market(spark, sf_dir)
+    return _rounded(labels.interval_return(s, b, "close"))
 
 
 def q_interval_vol(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    return _rounded(labels.interval_vol(_schedule(b), b).where("vol is not null"))
+    b, s = _market(spark, sf_dir)
+    return _rounded(labels.interval_vol(s, b).where("vol is not null"))
 
 
 def q_customer_asof(spark, sf_dir):
@@ -105,14 +110,13 @@ def _targets(spark, b, schedule):
 
 
 def q_strategy_weights(spark, sf_dir):
-    b = _bars(spark, sf_dir)
-    return _rounded(_targets(spark, b, _schedule(b)).select("strategy", "decision_idx", "ticker", "weight"))
+    b, s = _market(spark, sf_dir)
+    return _rounded(_targets(spark, b, s).select("strategy", "decision_idx", "ticker", "weight"))
 
 
 def _paths(spark, sf_dir, cost_bps=5.0):
-    b = _bars(spark, sf_dir)
-    s = _schedule(b)
-    return ledger.weight_path_returns(_targets(spark, b, s), labels.interval_return(s, b, "close"), cost_bps)
+    b, s = _market(spark, sf_dir)
+    return ledger.weight_path_returns(_targets(spark, b, s), labels.interval_return(s, b, "close"), cost_bps, labels.intervals_of(s).where("next_fill is not null"))
 
 
 def q_weight_paths(spark, sf_dir):
@@ -151,8 +155,7 @@ def q_regime_leaderboard(spark, sf_dir):
 
 def _forecasts(spark, sf_dir):
     """Momentum a session as forecast of the next interval's return."""
-    b = _bars(spark, sf_dir)
-    s = _schedule(b)
+    b, s = _market(spark, sf_dir)
     c = _candidates(spark, b, s).select("decision_idx", "ticker", F.round(F.col("momentum") / 63, 9).alias("predicted"))
     actual = labels.interval_return(s, b, "close").select("decision_idx", F.col("decision_date").alias("date"), "ticker", F.round("ret", 9).alias("actual"))
     return actual.join(c, ["decision_idx", "ticker"]).where("predicted is not null").select(F.lit("momentum").alias("model"), "date", "ticker", "predicted", "actual")
@@ -256,7 +259,7 @@ picked AS (
   UNION ALL SELECT 'ma_crossover', decision_idx, decision_date, ticker, 1.0 FROM cand WHERE n_slow = 100 AND fast_ma > slow_ma),
 targets AS (SELECT strategy, decision_idx, decision_date, ticker, raw / sum(raw) OVER (PARTITION BY strategy, decision_idx) AS weight FROM picked)"""
 _PATHS = """
-days AS (SELECT DISTINCT decision_idx, decision_date FROM ret),
+days AS (SELECT decision_idx, decision_date FROM iv WHERE next_fill IS NOT NULL),
 held AS (SELECT g.*, r.ret FROM targets g JOIN ret r USING (decision_idx, ticker)),
 gross AS (SELECT strategy, decision_idx, sum(weight * ret) AS gross FROM held GROUP BY ALL),
 path0 AS (SELECT strategy, decision_idx, d.decision_date, coalesce(gross, 0) AS gross, lead(decision_idx) OVER (PARTITION BY strategy ORDER BY decision_idx) AS next_idx

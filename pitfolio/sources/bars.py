@@ -33,12 +33,21 @@ def smooth_close(bars: DataFrame, rows: int = 60) -> DataFrame:
     return bars.withColumn("close", F.sum("notional").over(w) / F.sum("volume").over(w))
 
 
-def market(spark: SparkSession, sf_dir: str, key: str = "p_type") -> DataFrame:
-    """Bars of the line items by a part attribute, with the smoothed close."""
+def market_trades(spark: SparkSession, sf_dir: str, key: str = "p_type") -> DataFrame:
+    """Line items with a part attribute as trades of that ticker."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice").where("l_quantity > 0")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), key)
-    trades = items.join(part, "l_partkey")
-    return smooth_close(bars_from_trades(trades, key, "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), ["l_orderkey", "l_linenumber"]))
+    return items.join(part, "l_partkey")
+
+
+def market(spark: SparkSession, sf_dir: str, key: str = "p_type") -> DataFrame:
+    """Bars of the line items by a part attribute, with the smoothed close."""
+    return smooth_close(bars_from_trades(market_trades(spark, sf_dir, key), key, "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), ["l_orderkey", "l_linenumber"]))
+
+
+def market_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dates of market's bars, straight from the trades."""
+    return market_trades(spark, sf_dir).select(F.to_date("l_shipdate").alias("date")).distinct()
 
 
 def read_bars(spark: SparkSession, path: str, tickers: list[str], start: str, end: str) -> DataFrame:
