@@ -22,10 +22,10 @@ def fill_price(shares: Column, price: Column, bps: float) -> Column:
 
 
 def log_vol_label(vol: Column) -> Column:
-    """Volatility as a label of regressions."""
-    return F.ln(F.greatest(vol, F.lit(0.0)) + 1e-8)
+    """Volatility as a label of regressions; null stays null (greatest alone would pass it over)."""
+    return F.when(vol.isNotNull(), F.ln(F.greatest(vol, F.lit(0.0)) + 1e-8))
 
 
 def vol_of_label(label: Column) -> Column:
-    """The inverse, never below 0."""
-    return F.greatest(F.exp(label) - 1e-8, F.lit(0.0))
+    """The inverse, never below 0; null stays null."""
+    return F.when(label.isNotNull(), F.greatest(F.exp(label) - 1e-8, F.lit(0.0)))

@@ -392,6 +392,19 @@ q AS (SELECT decision_date AS date, series FROM sched, (SELECT DISTINCT series F
 SELECT q.series, q.date, round(coalesce(v, 0), 4) AS level, round(coalesce(c21, 0), 4) AS change_21, round(coalesce(c63, 0), 4) AS change_63 FROM q ASOF LEFT JOIN c ON q.series = c.series AND q.date >= c.known""",
 }
 
+_RETURNS20 = _COEFS.replace("since % 5 = 0", "since % 20 = 0")
+_VOLS = f"""st AS (SELECT decision_idx, ticker, pow(ln(close) - lag(ln(close)) OVER (PARTITION BY decision_idx, ticker ORDER BY date), 2) AS sq FROM iv JOIN bars ON date BETWEEN fill_date AND next_fill),
+vo AS (SELECT decision_idx, ticker, sqrt(sum(sq)) AS vol FROM st GROUP BY ALL),
+rwv AS (SELECT decision_idx, a, b, ln(greatest(vol, 0) + 1e-8) AS y FROM ft JOIN vo USING (decision_idx, ticker) WHERE vol IS NOT NULL)
+{re.sub(r"\b(rw|gd|gr|fl|dt|co)\b", r"\1v", _RETURNS20[_RETURNS20.index(", gd AS") if ", gd AS" in _RETURNS20 else _RETURNS20.index(",\ngd AS"):])}"""
+SQL["ml_risk_adjusted"] = f"""{_RETURNS20}, {_VOLS},
+p AS (SELECT f.decision_idx, f.decision_date, f.ticker, m.c0 + m.c1 * a + m.c2 * b AS mu, greatest(exp(s.c0 + s.c1 * a + s.c2 * b) - 1e-8, 0) AS sigma FROM ft f ASOF JOIN co m ON f.decision_idx >= m.refit_idx ASOF JOIN cov s ON f.decision_idx >= s.refit_idx),
+e AS (SELECT *, mu - 5.0 / 1e4 AS net_edge, (mu - 5.0 / 1e4) / greatest(sigma, 1e-6) AS score FROM p),
+k AS (SELECT *, max(net_edge) OVER d > 0 AND row_number() OVER (PARTITION BY decision_idx ORDER BY score DESC, ticker) <= 3 AS selected FROM e WINDOW d AS (PARTITION BY decision_idx))
+SELECT decision_idx, k.decision_date, ticker, {_round(["mu", "sigma", "net_edge", "score"])}, selected, round(CASE WHEN selected THEN 1.0 / count(*) FILTER (selected) OVER (PARTITION BY decision_idx) END, 6) AS weight,
+round(ret, 6) AS actual_return, round(vol, 6) AS actual_volatility, round(CASE WHEN vol > 0 THEN (ret - 5.0 / 1e4) / vol END, 6) AS actual_rar
+FROM k LEFT JOIN ret USING (decision_idx, ticker) LEFT JOIN vo USING (decision_idx, ticker)"""
+
 # The champion's path by recursion, kept as a table, then the meta portfolio over its weights.
 _WALK = base.SQL["champion_path"].rpartition("SELECT decision_idx")[0].rstrip()
 SQL |= {

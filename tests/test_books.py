@@ -155,8 +155,8 @@ def test_scores_and_selection_by_hand(spark):
     assert set(rar) == {"A", "B"} and rar["A"].selected and rar["A"].score == pytest.approx(0.095)
     vol = {r.ticker: r for r in models.select_weights(models.score_forecasts("vol", None, s), "vol", 2, 0.0, "inv_vol").collect()}
     assert vol["D"].score == pytest.approx(1e6) and vol["A"].weight == pytest.approx(10 / (10 + 1e6)) and not vol["B"].selected
-    v = spark.createDataFrame([(0.02,), (-1.0,)], "v double").select(columns.vol_of_label(columns.log_vol_label(boards.F.col("v"))).alias("v")).collect()
-    assert v[0].v == pytest.approx(0.02) and v[1].v == pytest.approx(0.0, abs=1e-12)
+    v = spark.createDataFrame([(0.02,), (-1.0,), (None,)], "v double").select(columns.vol_of_label(columns.log_vol_label(boards.F.col("v"))).alias("v")).collect()
+    assert v[0].v == pytest.approx(0.02) and v[1].v == pytest.approx(0.0, abs=1e-12) and v[2].v is None
 
 
 def test_selection_gates_and_fallback(spark):
