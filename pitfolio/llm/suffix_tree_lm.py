@@ -199,14 +199,15 @@ class _Rows:
     def __init__(self, k, n, mass, left):
         import pandas as pd
 
-        self.index = pd.Index(k)
+        k, first = np.unique(k, return_index=True)  # a key may be asked for, and answered, more than once
+        self.index, n, mass, left = pd.Index(k), n[first], mass[first], left[first]
         self.n, self.mass, self.left = np.append(np.nan_to_num(n), 0.0), np.append(np.nan_to_num(mass), 0.0), np.append(left, np.nan)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         return self.index.get_indexer(keys.view(np.int64))
 
 
-def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 32 << 20) -> DataFrame:
+def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 32 << 20, flush: int = _FLUSH) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark, depth = docs.sparkSession, model.depth
     often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).toArrow()
@@ -237,7 +238,7 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
                 for b in np.unique(of[at]).tolist():
                     kept.setdefault(b, []).append(np.unique(g[at][of[at] == b]))
                     size += len(kept[b][-1])
-            if size >= _FLUSH:
+            if size >= flush:
                 yield from out()
                 kept, size = {}, 0
         yield from out()

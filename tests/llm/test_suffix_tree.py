@@ -70,14 +70,16 @@ def test_scores_equal_the_definition(spark, depth):
     df = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string")
     model = lm.grow(df, depth=depth, least=4)
     ask = spark.createDataFrame([(i % 5 if i else None, t) for i, t in enumerate(asked)], "doc_id long, text string")  # ids repeat
-    for p_top, block_bytes in ((1e-2, 200), (1.0, 1 << 20)):
-        got = lm.scores(ask, model, p_top=p_top, block_bytes=block_bytes).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    for p_top, block_bytes in ((1e-2, 200), (1.0, 1 << 20)):  # a flush for every part of a block: keys are asked for again
+        got = lm.scores(ask.repartition(1), model, p_top=p_top, block_bytes=block_bytes, flush=1).collect()
         want = []
         for i, t in enumerate(asked):
             w = words(t)
             base = sum(math.log10((brute.n[s,] + 1) / (brute.total + brute.kinds + 1)) for s in w)
             want.append((i % 5 if i else None, len(w), sum(brute.n[s,] > 0 for s in w), brute.total, round(base, 8), round(brute.score(t), 8)))
         assert sorted(((*r[:4], round(r[4], 8), round(r[5], 8)) for r in got), key=repr) == sorted(want, key=repr)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(brute.left) > 5 and {len(c) for c in brute.left} == set(range(1, depth + 1))
 
 
