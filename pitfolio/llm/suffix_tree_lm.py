@@ -24,7 +24,7 @@ the unseen word. A token is scored in the longest kept state that ends before it
 run's last word after the words before, and the mass that the run leaves as a state. Rows
 that hold ``p_top`` of all tokens (at most (depth + 1) / p_top) are broadcast. Documents are
 dealt in blocks of about ``block_bytes``; a block asks for the other rows that its texts
-may need by a join and gets them in one task with its documents.
+may need by a join and gets them in one task with its documents (masses in single precision).
 
 Words and runs are compared as 64-bit hashes. Nulls: a null text is empty and has the end
 token only. Repeated rows count and are scored one by one.
@@ -207,7 +207,7 @@ class _Rows:
         return self.index.get_indexer(keys.view(np.int64))
 
 
-def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 32 << 20, flush: int = _FLUSH) -> DataFrame:
+def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 20 << 20, flush: int = _FLUSH) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark, depth = docs.sparkSession, model.depth
     often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).toArrow()
@@ -238,14 +238,17 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
                 for b in np.unique(of[at]).tolist():
                     kept.setdefault(b, []).append(np.unique(g[at][of[at] == b]))
                     size += len(kept[b][-1])
-            if size >= flush:
-                yield from out()
-                kept, size = {}, 0
+            if size >= flush:  # what repeats goes first; only then is a part sent on
+                kept = {b: [np.unique(np.concatenate(x))] for b, x in kept.items()}
+                size = sum(len(x[0]) for x in kept.values())
+                if 2 * size >= flush:
+                    yield from out()
+                    kept, size = {}, 0
         yield from out()
 
     # The same columns as below, so that the exchange of the texts is made once.
     asked = dealt.mapInArrow(ask, "k long, block int")
-    answers = asked.join(rare.select("k", "n", "mass", "left"), "k").select("block", "k", "n", "mass", "left")
+    answers = asked.join(rare.select("k", "n", "mass", "left"), "k").select("block", "k", "n", F.col("mass").cast("float").alias("mass"), F.col("left").cast("float").alias("left"))
     total, unit = model.total, model.total + model.kinds + 1
 
     def rate(mine, told):
