@@ -216,7 +216,8 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
     bits = spark.sparkContext.broadcast(bitmap(rare.where("mass is not null or left is not null")))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-size // block_bytes), -(-rows // 50_000))
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")  # by row: ids may repeat
+    # By the row's place in the scan, since ids may repeat; a scan of the same files gives the same places.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block).repartition(int(blocks), "block")
 
     def ask(batches):
@@ -246,9 +247,9 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
                     kept, size = {}, 0
         yield from out()
 
-    # The same columns as below, so that the exchange of the texts is made once.
     asked = dealt.mapInArrow(ask, "k long, block int")
-    answers = asked.join(rare.select("k", "n", "mass", "left"), "k").select("block", "k", "n", F.col("mass").cast("float").alias("mass"), F.col("left").cast("float").alias("left"))
+    # Written, so that what was asked no longer takes disk when documents and answers meet.
+    answers = materialize(asked.join(rare.select("k", "n", "mass", "left"), "k").select("block", "k", "n", F.col("mass").cast("float").alias("mass"), F.col("left").cast("float").alias("left")))
     total, unit = model.total, model.total + model.kinds + 1
 
     def rate(mine, told):
