@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, embed_dedup, filter_audit, jaccard_join, langid, mixing, packing, pii, quality, suffix_tree_lm, toxicity
+from . import ann, embed_dedup, filter_audit, jaccard_join, langid, mixing, packing, pii, quality, suffix_tree_lm, token_align, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embed_dedup": embed_dedup.op8_embed_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
+    "op12_token_align": token_align.op12_token_align,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 SQL = {
