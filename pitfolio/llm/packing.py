@@ -128,8 +128,9 @@ def _knapsack(sizes: np.ndarray, values: np.ndarray, width: int) -> tuple[np.nda
     s, v = sizes[use], values[use]
     order = np.argsort(s)
     s, v, use = s[order], v[order], use[order]
+    fits = np.searchsorted(s, np.arange(width + 1), "right").tolist()
     for c in range(1, width + 1):
-        k = np.searchsorted(s, c, "right")
+        k = fits[c]
         best[c] = best[c - 1]
         if k:
             t = best[c - s[:k]] + v[:k]
@@ -139,18 +140,48 @@ def _knapsack(sizes: np.ndarray, values: np.ndarray, width: int) -> tuple[np.nda
     return best, last
 
 
-def _pattern(sizes, last, c) -> dict[int, int]:
+def _pattern(sizes: list[int], steps: list[tuple[int, int]], c: int) -> dict[int, int]:
+    """The pieces of the best fill of c. steps: rows of ``_steps``."""
     out: dict[int, int] = {}
     while c > 0:
-        j = int(last[c])
+        j, c = steps[c]
         if j < 0:
-            c -= 1
-        else:
-            out[j] = out.get(j, 0) + 1
-            c -= int(sizes[j])
+            break
+        out[j] = out.get(j, 0) + 1
+        c -= sizes[j]
     return out
 
 
+def _steps(last: np.ndarray) -> list[tuple[int, int]]:
+    """(class, width) by width: the largest width not above it at which the best fill takes a class; (-1, 0) where none does."""
+    at = np.maximum.accumulate(np.where(last >= 0, np.arange(len(last)), 0))
+    return list(zip(last[at].tolist(), at.tolist(), strict=True))
+
+
+def _inverse(columns: list[dict[int, int]], m: int) -> np.ndarray:
+    """Inverse of the matrix whose columns are patterns, by Gauss-Jordan steps on the rows and columns that are not zero.
+
+    Array operations only, no BLAS: it takes no threads of its own beside Spark's, and the
+    result does not hang on their number.
+    """
+    a, inverse = np.zeros((m, m)), np.eye(m)
+    for r, p in enumerate(columns):
+        a[list(p), r] = list(p.values())
+    for r in range(m):
+        k = r + int(np.abs(a[r:, r]).argmax())
+        if k != r:
+            a[[r, k]], inverse[[r, k]] = a[[k, r]], inverse[[k, r]]
+        pivot = a[r, r]  # never small for a basis
+        a[r] /= pivot
+        inverse[r] /= pivot
+        rows = np.flatnonzero(a[:, r])
+        rows = rows[rows != r]
+        for x in (inverse, a):
+            cols = np.flatnonzero(x[r])
+            x[np.ix_(rows, cols)] -= a[rows, r][:, None] * x[r, cols]
+    return inverse
+
+
 def _start(sizes: np.ndarray, demand: np.ndarray, width: int) -> tuple[list[dict[int, int]], np.ndarray]:
     """A first basis: patterns that fill up with the longest pieces, and how often each is used.
 
@@ -191,24 +222,18 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, width: int, rounds: in
     """
     m = len(sizes)
     basis, x = _start(sizes, demand, width)
-
-    def inverted():
-        full = np.zeros((m, m))
-        for r, p in enumerate(basis):
-            full[list(p), r] = list(p.values())
-        return np.linalg.inv(full)  # pivots are never small, so it is regular
-
-    inverse = inverted()
-    bound = float(sizes @ demand) / width  # no cover has fewer sequences
+    inverse = _inverse(basis, m)
+    price = inverse.sum(axis=0)
+    bound = float((sizes * demand).sum()) / width  # no cover has fewer sequences
+    whole_sizes = sizes.tolist()
 
     def enter(new: dict[int, int]) -> bool:
         """One pivot, if the pattern pays at the prices of the basis as it is."""
-        nonlocal inverse
-        column = np.zeros(m)
-        column[list(new)] = list(new.values())
-        d = inverse @ column
-        if d.sum() <= 1 + 1e-6:
+        nonlocal price
+        at, many = list(new), np.array(list(new.values()), float)
+        if (price[at] * many).sum() <= 1 + 1e-6:
             return False
+        d = (inverse[:, at] * many).sum(axis=1)
         up = d > 1e-7
         ratio = np.full(m, np.inf)
         ratio[up] = np.maximum(x[up], 0) / d[up]
@@ -221,35 +246,40 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, width: int, rounds: in
         x[r] = step
         basis[r] = new
         row = inverse[r] / d[r]
-        inverse -= np.outer(d, row)
+        rows = np.flatnonzero(d)
+        if 2 * len(rows) < m:
+            inverse[rows] -= d[rows, None] * row
+        else:
+            np.subtract(inverse, d[:, None] * row, out=inverse)
         inverse[r] = row
+        price = price - (d.sum() - 1) * row
         return True
 
     # Whole patterns that fill up from the longest piece down are columns from the start.
     ready = [dict(items) for _, items in _greedy(sizes, demand.astype(np.int64), width)]
-    known = np.zeros((len(ready), m))
+    longest = max((len(p) for p in ready), default=1)
+    places, many = np.zeros((len(ready), longest), np.int64), np.zeros((len(ready), longest))
     for i, p in enumerate(ready):
-        known[i, list(p)] = list(p.values())
+        places[i, : len(p)], many[i, : len(p)] = list(p), list(p.values())
     for _ in range(2 * m):
-        worth = known @ inverse.sum(axis=0)
+        worth = (price[places] * many).sum(axis=1)
         if not len(ready) or worth.max() <= 1 + 1e-6 or not enter(ready[int(worth.argmax())]):
             break
     for turn in range(rounds):
         if turn % 10 == 9:
-            inverse = inverted()
-            x[:] = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(basis, m)
+            x[:] = np.maximum((inverse * demand).sum(axis=1), 0)
         price = inverse.sum(axis=0)
         best, last = _knapsack(sizes, price, width)
-        bound = max(bound, float(np.maximum(price, 0) @ demand) / max(best[width], 1.0))
+        bound = max(bound, float((np.maximum(price, 0) * demand).sum()) / max(best[width], 1.0))
         if best[width] <= 1 + 1e-6 or x.sum() <= (1 + gap) * bound:
             break
-        worth = price + best[width - sizes]
-        entered = False
-        for j in np.argsort(-worth, kind="stable"):
+        steps, worth, entered = _steps(last), price + best[width - sizes], False
+        for j in np.argsort(-worth, kind="stable").tolist():
             if worth[j] <= 1 + 1e-6:
                 break
-            new = _pattern(sizes, last, int(width - sizes[j]))
-            new[int(j)] = new.get(int(j), 0) + 1
+            new = _pattern(whole_sizes, steps, width - whole_sizes[j])
+            new[j] = new.get(j, 0) + 1
             entered |= enter(new)
         if not entered:
             break

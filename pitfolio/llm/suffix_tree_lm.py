@@ -216,8 +216,8 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
     bits = spark.sparkContext.broadcast(bitmap(rare.where("mass is not null or left is not null")))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-size // block_bytes), -(-rows // 50_000))
-    # By the row's place in the scan, since ids may repeat; a scan of the same files gives the same places.
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    # By what the row holds, so that it is in one block however often the input is read.
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block).repartition(int(blocks), "block")
 
     def ask(batches):
