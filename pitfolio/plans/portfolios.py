@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import boards, book, calendar, coverage, evaluation, features, labels, ledger, models, selection, stats, strategies
+from ..sources.settle import settled
 from . import queries as base
 from .queries import _PATHS, _TARGETS, _TYPE, _bars, _candidates, _frame, _market, _round, _rounded, _targets
 
@@ -123,17 +124,73 @@ def q_mark_check(spark, sf_dir):
 
 def _paths(spark, sf_dir):
     b, s = _market(spark, sf_dir)
-    marks = calendar.filled_bars(b)  # what is held is marked by its last close
-    return book.rebalance_paths(book.decision_table(_targets(spark, b, s), s, marks, "close", "close"))
+    return book.rebalance_paths(book.fold_rows(_targets(spark, b, s), s, b, "close", "close"))
+
+
+#: Sums of money are rounded to cents: two engines add them in different orders.
+_MONEY = {"value_before": 2, "pre_trade_value": 2, "value_after": 2, "cash": 2, "gross_value": 2, "cash_flow": 2, "slippage_cost": 4, "net_cost": 4, "fill_price": 4}
+
+
+def _booked(df):
+    """Doubles rounded for books; adding 0 makes -0 a plain 0."""
+    return df.select(*[(F.round(c, _MONEY.get(c, 6)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def q_rebalance_paths(spark, sf_dir):
     """Books of all strategies, step by step."""
-    return _rounded(book.book_values(_paths(spark, sf_dir)))
+    return _booked(book.book_values(_paths(spark, sf_dir)))
 
 
 def q_trades(spark, sf_dir):
-    return _rounded(book.trades_view(_paths(spark, sf_dir)))
+    return _booked(book.trades_view(_paths(spark, sf_dir)))
+
+
+def q_meta_book(spark, sf_dir):
+    """The meta portfolio with a book of its own: the champion's weights through limits, orders, fills and cash."""
+    b, s = _market(spark, sf_dir)
+    meta = selection.meta_targets(_champion(spark, sf_dir), _targets(spark, b, s))
+    return _booked(book.book_values(book.rebalance_paths(book.fold_rows(meta, s, b, "close", "close"))))
+
+
+def q_book_reconciliation(spark, sf_dir):
+    """What the books report against ledgers rebuilt from their trades alone, marked at the fill prices."""
+    b, s = _market(spark, sf_dir)
+    paths = settled(_paths(spark, sf_dir))
+    trades = book.trades_view(paths)
+    kept = s.where("status = 'kept'").select("decision_idx")
+    # Shares after a trade stay until the next one of the ticker; cash likewise.
+    last = kept.agg(F.max("decision_idx").alias("n"))
+    until = lambda *by: F.coalesce(F.lead("decision_idx").over(Window.partitionBy(*by).orderBy("decision_idx")) - 1, F.col("n"))
+    spread = lambda df, *by: df.join(F.broadcast(last)).withColumn("until", until(*by)).withColumn("decision_idx", F.explode(F.sequence("decision_idx", "until"))).drop("until", "n")
+    held = spread(ledger.position_ledger(trades), "portfolio_id", "ticker").where("shares <> 0")
+    cash = spread(ledger.cash_ledger(trades, CAPITAL), "portfolio_id")
+    marks = book.marks_at(b, s, "close", "fill_date")
+    on = ["portfolio_id", "decision_idx"]
+    totals = book.book_values(paths).select(*on, F.col("value_after").alias("total")).join(cash, on, "left").na.fill(CAPITAL, ["cash"])
+    prices = held.select(*on, "ticker").join(marks, ["decision_idx", "ticker"]).select(*on, "ticker", "price")
+    gaps = coverage.reconciliation(totals, held, prices, on).join(totals.select(*on, "total"), on)
+    return gaps.groupBy("portfolio_id").agg(F.count("*").alias("books"), F.count_if(F.abs("residual") > 1e-6).alias("off"), F.round(F.max("total"), 2).alias("highest"))
+
+
+def q_book_summary(spark, sf_dir):
+    """Summaries of the books: values at the fills, turnover after limits, executed and skipped decisions, cost drag of the trades."""
+    _, s = _market(spark, sf_dir)
+    paths = settled(_paths(spark, sf_dir))
+    v = book.book_values(paths).withColumnRenamed("portfolio_id", "strategy")
+    status = s.select(F.col("status"))
+    log = v.select("strategy").distinct().join(F.broadcast(status.groupBy("status").agg(F.count("*").alias("n")))).select("strategy", F.when(F.col("status") == "kept", "executed").otherwise("skipped").alias("status"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    costs = book.cost_drag(book.trades_view(paths)).withColumnRenamed("portfolio_id", "strategy")
+    out = selection.portfolio_summary(v.select("strategy", F.col("fill_date").alias("date"), F.col("value_after").alias("value")), v.select("strategy", F.col("turnover_post").alias("turnover"), "gross"), log, costs)
+    return _rounded(out.withColumn("final_value", F.round("final_value", 2)), 4).withColumn("cost_drag", F.round("cost_drag", 6))
+
+
+def q_book_reliability(spark, sf_dir):
+    """Reliability of the strategies by the rolling board of their books, with cash shares and cost drag."""
+    paths = settled(_paths(spark, sf_dir))
+    v = book.book_values(paths).withColumnRenamed("portfolio_id", "strategy")
+    cash, costs = v.select("strategy", "cash_pct"), book.cost_drag(book.trades_view(paths)).withColumnRenamed("portfolio_id", "strategy")
+    rolling = boards.rolling_board(_facts(spark, sf_dir))
+    return _rounded(selection.reliability_report(rolling, boards.ranked_board(rolling), cash, costs).select("strategy", "cash_pct", "cost_drag", "top_rank_count", "most_reliable"))
 
 
 def q_missing_price_stop(spark, sf_dir):
@@ -272,6 +329,7 @@ QUERIES = {
     "buy_and_hold": q_buy_and_hold, "volatility_target": q_volatility_target, "ensemble": q_ensemble, "momentum_grid": q_momentum_grid,
     "constraints": q_constraints, "current_weights": q_current_weights, "orders": q_orders, "fills": q_fills, "position_ledger": q_position_ledger, "cash_ledger": q_cash_ledger,
     "cost_drag": q_cost_drag, "reconciliation": q_reconciliation, "mark_check": q_mark_check, "rebalance_paths": q_rebalance_paths, "trades": q_trades,
+    "meta_book": q_meta_book, "book_reconciliation": q_book_reconciliation, "book_summary": q_book_summary, "book_reliability": q_book_reliability,
     "missing_price_stop": q_missing_price_stop, "coverage_gate": q_coverage_gate, "portfolio_summary": q_portfolio_summary, "best_overall": q_best_overall,
     "best_per_regime": q_best_per_regime, "reliability": q_reliability, "meta_path": q_meta_path, "champion_timeline": q_champion_timeline, "equity_curves": q_equity_curves,
     "training_rows": q_training_rows, "ridge_coefs": q_ridge_coefs, "ml_weights": q_ml_weights, "ml_risk_adjusted": q_ml_risk_adjusted, "select_vol": q_select_vol, "select_rar": q_select_rar,
@@ -392,6 +450,52 @@ q AS (SELECT decision_date AS date, series FROM sched, (SELECT DISTINCT series F
 SELECT q.series, q.date, round(coalesce(v, 0), 4) AS level, round(coalesce(c21, 0), 4) AS change_21, round(coalesce(c63, 0), 4) AS change_63 FROM q ASOF LEFT JOIN c ON q.series = c.series AND q.date >= c.known""",
 }
 
+
+
+def book_sql(goals: str) -> str:
+    """Books by recursion, one decision a step, from a table (strategy, decision_idx, ticker, weight): CTEs mk, gl, book, paths.
+
+    A row of ticker 'cash' carries each book from step to step.
+    """
+    fed = f"""mk AS MATERIALIZED (SELECT q.decision_idx, q.ticker, a.close AS price, b.close AS fill FROM (SELECT s.*, t.ticker FROM sched s, (SELECT DISTINCT ticker FROM bars) t WHERE status = 'kept') q
+  ASOF JOIN bars a ON a.ticker = q.ticker AND q.decision_date >= a.date ASOF JOIN bars b ON b.ticker = q.ticker AND q.fill_date >= b.date
+  UNION ALL SELECT decision_idx, 'cash', 1.0, 1.0 FROM sched WHERE status = 'kept'),
+gl AS MATERIALIZED (SELECT strategy AS p, decision_idx, ticker, weight FROM {goals}),"""
+    by, day = "PARTITION BY p", "WINDOW d AS (PARTITION BY p)"
+    return f"""{fed}
+book AS (
+  SELECT strategy AS p, -1 AS k, 'cash' AS ticker, CAST(NULL AS DOUBLE) AS raw, CAST(NULL AS DOUBLE) AS goal, CAST(NULL AS DOUBLE) AS shares, CAST(NULL AS DOUBLE) AS fill, CAST(NULL AS DOUBLE) AS paid, CAST(0 AS DOUBLE) AS position,
+    CAST(NULL AS DOUBLE) AS before, CAST(NULL AS DOUBLE) AS pre, CAST(100000 AS DOUBLE) AS cash, CAST(NULL AS DOUBLE) AS turn, CAST(NULL AS DOUBLE) AS scale, CAST(NULL AS DOUBLE) AS value FROM (SELECT DISTINCT p AS strategy FROM gl)
+  UNION ALL
+  SELECT p, k, ticker, raw, CASE WHEN ticker <> 'cash' THEN goal END, done, CASE WHEN done IS NOT NULL THEN fill END, at_, position, before, pre, cash_after, turn, scale, cash_after + sum(position * fill) OVER ({by}) FROM (
+    SELECT *, cash + coalesce(sum(-done * at_) OVER ({by}), 0) AS cash_after, CASE WHEN abs(held + coalesce(done, 0)) > 1e-12 THEN held + coalesce(done, 0) ELSE 0 END AS position FROM (
+      SELECT *, CASE WHEN abs(got) > 1e-12 THEN got END AS done FROM (
+        SELECT *, CASE WHEN wish > 0 THEN least(wish, greatest((sold + cash - coalesce(sum(CASE WHEN wish > 0 THEN wish * at_ END) OVER ({by} ORDER BY ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / at_, 0)) ELSE wish END AS got FROM (
+          SELECT *, coalesce(sum(CASE WHEN wish < 0 THEN -wish * at_ END) OVER ({by}), 0) AS sold FROM (
+            SELECT *, fill * (1 + CASE WHEN wish > 0 THEN 1 ELSE -1 END * 5.0 / 1e4) AS at_ FROM (
+              SELECT *, CASE WHEN ticker <> 'cash' AND abs((goal * before * (1 - 0.01) - held * price) / price * price) >= 1.0 THEN (goal * before * (1 - 0.01) - held * price) / price END AS wish FROM (
+                SELECT *, now_ + scale * (w - now_) AS goal FROM (
+                  SELECT *, CASE WHEN turn > 0.35 THEN 0.35 / turn ELSE 1.0 END AS scale FROM (
+                    SELECT *, 0.5 * (sum(abs(w - now_)) OVER d + abs((1 - sum(w) OVER d) - cash / before)) AS turn FROM (
+                      SELECT *, w2 / greatest(sum(w2) OVER d, 1.0) AS w, held * price / before AS now_ FROM (
+                        SELECT *, least(w1 / greatest(sum(w1) OVER d, 1.0), 0.35) AS w2 FROM (
+                          SELECT *, cash + sum(held * price) OVER d AS before, cash + sum(held * fill) OVER d AS pre FROM (
+                            SELECT n.p, n.k, n.cash, m.ticker, m.price, m.fill, coalesce(h.position, 0) AS held, greatest(g.weight, 0) AS raw, coalesce(greatest(g.weight, 0), 0) AS w1
+                            FROM (SELECT p, k + 1 AS k, cash FROM book WHERE ticker = 'cash') n JOIN mk m ON m.decision_idx = n.k
+                            LEFT JOIN book h ON h.p = n.p AND h.ticker = m.ticker LEFT JOIN gl g ON g.p = n.p AND g.decision_idx = n.k AND g.ticker = m.ticker
+                            WHERE m.ticker = 'cash' OR g.weight IS NOT NULL OR coalesce(h.position, 0) <> 0) {day}) {day}) {day}) {day})))))))))),
+paths AS MATERIALIZED (SELECT b.*, s.decision_date, s.fill_date FROM book b JOIN sched s ON s.decision_idx = k WHERE k >= 0)"""
+
+
+_VALUES = """SELECT p AS portfolio_id, CAST(k AS INT) AS decision_idx, decision_date, fill_date, round(before, 2) + 0.0 AS value_before, round(pre, 2) + 0.0 AS pre_trade_value, round(value, 2) + 0.0 AS value_after, round(cash, 2) + 0.0 AS cash, round(turn, 6) + 0.0 AS turnover_pre,
+  round(turn * scale, 6) + 0.0 AS turnover_post, round(scale, 6) + 0.0 AS scale_factor, round(pre / lag(value) OVER w - 1, 6) + 0.0 AS gross, round(value / lag(value) OVER w - 1, 6) + 0.0 AS net, round(cash / value, 6) + 0.0 AS cash_pct FROM paths WHERE ticker = 'cash' WINDOW w AS (PARTITION BY p ORDER BY k)"""
+_RECURSIVE = _T.replace("WITH ", "WITH RECURSIVE ", 1)
+SQL |= {
+    "rebalance_paths": f"{_RECURSIVE}, {book_sql('targets')} {_VALUES}",
+    "trades": f"""{_RECURSIVE}, {book_sql('targets')} SELECT p AS portfolio_id, CAST(k AS INT) AS decision_idx, decision_date, fill_date, ticker, CASE WHEN shares > 0 THEN 'buy' ELSE 'sell' END AS side, round(shares, 6) + 0.0 AS shares, round(paid, 4) + 0.0 AS fill_price, 0.0 AS commission,
+  round(abs(shares) * abs(paid - fill), 4) + 0.0 AS slippage_cost, round(abs(shares) * abs(paid - fill), 4) + 0.0 AS net_cost, round(abs(shares) * paid, 2) + 0.0 AS gross_value, round(-shares * paid, 2) + 0.0 AS cash_flow, k = (SELECT min(decision_idx) FROM sched) AS is_initialization FROM paths WHERE shares IS NOT NULL""",
+}
+
 _RETURNS20 = _COEFS.replace("since % 5 = 0", "since % 20 = 0")
 _VOLS = f"""st AS (SELECT decision_idx, ticker, pow(ln(close) - lag(ln(close)) OVER (PARTITION BY decision_idx, ticker ORDER BY date), 2) AS sq FROM iv JOIN bars ON date BETWEEN fill_date AND next_fill),
 vo AS (SELECT decision_idx, ticker, sqrt(sum(sq)) AS vol FROM st GROUP BY ALL),
@@ -413,3 +517,20 @@ SQL |= {
     "champion_timeline": f"""{_WALK}, tw AS (SELECT strategy, decision_idx, count(*) AS n, sum(weight) AS w FROM targets GROUP BY ALL)
 SELECT a.decision_idx, lag(selected) OVER (ORDER BY a.decision_idx) AS incumbent, selected, switch_reason, coalesce(n, 0) AS positions, round(coalesce(w, 0), 6) AS invested FROM walk a LEFT JOIN tw ON tw.strategy = selected AND tw.decision_idx = a.decision_idx WHERE k > 0""",
 }
+SQL |= {
+    "meta_book": f"""{_WALK}, mtargets AS (SELECT 'meta' AS strategy, w.decision_idx, t.ticker, t.weight FROM walk w JOIN targets t ON t.strategy = w.selected AND t.decision_idx = w.decision_idx WHERE w.k > 0), {book_sql('mtargets')} {_VALUES}""",
+    "book_reconciliation": f"""{_RECURSIVE}, {book_sql('targets')}, tr AS (SELECT p, k, ticker, shares, -shares * paid AS flow FROM paths WHERE shares IS NOT NULL),
+lg AS (SELECT a.p, a.k, 100000 + coalesce((SELECT sum(flow) FROM tr WHERE tr.p = a.p AND tr.k <= a.k), 0) + coalesce((SELECT sum(shares * m.fill) FROM tr JOIN mk m ON m.ticker = tr.ticker WHERE m.decision_idx = a.k AND tr.p = a.p AND tr.k <= a.k), 0) AS rebuilt, a.value FROM paths a WHERE a.ticker = 'cash')
+SELECT p AS portfolio_id, count(*) AS books, count(*) FILTER (abs(rebuilt - value) > 1e-6) AS off, round(max(value), 2) AS highest FROM lg GROUP BY p""",
+}
+_BOOKED = f"""{_RECURSIVE}, {book_sql('targets')}, bv AS (SELECT p AS strategy, k, fill_date AS date, value, turn * scale AS turned, pre / lag(value) OVER w - 1 AS gross, cash / value AS cash_pct FROM paths WHERE ticker = 'cash' WINDOW w AS (PARTITION BY p ORDER BY k)),
+cd AS (SELECT p AS strategy, sum(abs(shares) * abs(paid - fill)) / sum(abs(shares) * paid) AS cost_drag FROM paths WHERE shares IS NOT NULL GROUP BY p)"""
+SQL["book_summary"] = f"""{_BOOKED}, v AS (SELECT strategy, date, value, ln(value / lag(value) OVER w) AS r, CAST(date - lag(date) OVER w AS DOUBLE) AS days, max(value) OVER w AS peak FROM bv WINDOW w AS (PARTITION BY strategy ORDER BY date)),
+m AS (SELECT strategy, sum(r) / sum(days) AS mu FROM v GROUP BY strategy),
+s AS (SELECT strategy, arg_min(value, date) AS i, arg_max(value, date) AS f, sum(days) AS n, min(value / peak - 1) AS dd, sum(pow(r - mu * days, 2)) / sum(days) AS var, any_value(mu) AS mu FROM v JOIN m USING (strategy) GROUP BY strategy),
+tn AS (SELECT strategy, avg(turned) AS turnover, count(gross) AS periods FROM bv GROUP BY strategy)
+SELECT strategy, round((f / i - 1) * 100, 4) AS total_return, round((pow(f / i, 365.25 / n) - 1) * 100, 4) AS cagr, round(mu * 365.25 / sqrt(var * 365.25), 4) AS sharpe, round(sqrt(var * 365.25), 4) AS volatility, round(dd * 100, 4) AS max_drawdown_pct, round(n, 4) AS elapsed_days, round(dd, 4) AS max_drawdown,
+round(f, 2) AS final_value, round(turnover, 4) AS turnover, periods, (SELECT count(*) FROM sched WHERE status = 'kept') AS executed, (SELECT count(*) FROM sched WHERE status = 'skipped') AS skipped, round(cost_drag, 6) AS cost_drag FROM s JOIN tn USING (strategy) JOIN cd USING (strategy)"""
+SQL["book_reliability"] = f"""{base._RANKED.replace("WITH ", "WITH RECURSIVE ", 1)}, {_BOOKED[_BOOKED.index("mk AS MATERIALIZED"):]}, fr AS (SELECT strategy, count(*) AS n FROM ranked WHERE rank = 1 GROUP BY ALL),
+rr AS (SELECT strategy, stddev_samp(sharpe) AS sd FROM board GROUP BY ALL), ca AS (SELECT strategy, avg(cash_pct) AS cash_pct FROM bv GROUP BY ALL)
+SELECT strategy, round(cash_pct, 6) AS cash_pct, round(cost_drag, 6) AS cost_drag, coalesce(n, 0) AS top_rank_count, row_number() OVER (ORDER BY coalesce(n, 0) DESC, CASE WHEN sd > 0 THEN sd END NULLS LAST, strategy) = 1 AS most_reliable FROM rr JOIN ca USING (strategy) JOIN cd USING (strategy) LEFT JOIN fr USING (strategy)"""
