@@ -98,13 +98,39 @@ def moving_averages(bars: DataFrame, fast: int = 20, slow: int = 100) -> DataFra
     return out.where(F.col("n") == slow).select("ticker", "date", "fast_ma", "slow_ma", (F.col("fast_ma") > F.col("slow_ma")).alias("signal"))
 
 
+def _merged(a: Column, b: Column) -> Column:
+    """The segment a and the later segment b as one: highest, lowest, worst fall from an earlier to a later value."""
+    both = F.struct(F.greatest(a["high"], b["high"]).alias("high"), F.least(a["low"], b["low"]).alias("low"), F.least(a["fall"], b["fall"], b["low"] / a["high"] - 1).alias("fall"))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
+
+def sliding_drawdown(df: DataFrame, over, value: str, n: int, name: str) -> DataFrame:
+    """df with ``name``: the worst fall from an earlier to a later value within the last n rows (fewer at the start), at most 0.
+
+    over: a window with an order. Segments of 1, 2, 4, .. rows that end at each row are merged
+    from two of half the length; those whose lengths add up to n give the window, earliest
+    first. All of it is lags over one sort: n log n for all rows, no arrays.
+    """
+    x = F.col(value).cast("double")
+    df = df.withColumn("_s0", F.when(x.isNotNull(), F.struct(x.alias("high"), x.alias("low"), F.lit(0.0).alias("fall"))))
+    for k in range(1, n.bit_length()):
+        df = df.withColumn(f"_s{k}", _merged(F.lag(f"_s{k - 1}", 1 << (k - 1)).over(over), F.col(f"_s{k - 1}")))
+    at, parts = 0, []
+    for k in reversed(range(n.bit_length())):
+        if n >> k & 1:
+            df = df.withColumn(f"_p{k}", F.lag(f"_s{k}", at).over(over) if at else F.col(f"_s{k}"))
+            at += 1 << k
+            parts.append(f"_p{k}")
+    for later, earlier in zip(parts, parts[1:], strict=False):
+        df = df.withColumn(earlier, _merged(F.col(earlier), F.col(later)))
+    return df.withColumn(name, F.col(parts[-1])["fall"]).drop(*parts, *[f"_s{k}" for k in range(n.bit_length())])
+
+
 def market_regime(bars: DataFrame, proxy: str | None = None, up: float = 0.03, calm: float = 0.18, stress: float = -0.12) -> DataFrame:
     """date, return_63, annual_vol_21, drawdown_63 (worst within the window), market_regime of one proxy (the first ticker if not given)."""
     one = bars.where(F.col("ticker") == proxy) if proxy else bars.join(bars.agg(F.min("ticker").alias("ticker")), "ticker")
-    p = prepared(one)
-    last = F.collect_list("close").over(_over(63))
-    worst = F.array_min(F.transform(F.col("c63"), lambda x, i: x / F.array_max(F.slice("c63", 1, i + 1)) - 1))
-    p = p.select("date", "rn", ret(63).alias("return_63"), (vol(21) * F.sqrt(F.lit(252.0))).alias("annual_vol_21"), last.alias("c63")).withColumn("drawdown_63", worst)
+    p = sliding_drawdown(prepared(one), series(), "close", 63, "drawdown_63")
+    p = p.select("date", "rn", "drawdown_63", ret(63).alias("return_63"), (vol(21) * F.sqrt(F.lit(252.0))).alias("annual_vol_21"))
     trend = F.when(F.col("return_63") > up, "UP").when(F.col("return_63") < -up, "DOWN").otherwise("SIDE")
     level = F.when(F.col("annual_vol_21") < calm, "LOWVOL").otherwise("HIGHVOL")
     name = F.concat(trend, F.lit("_"), level, F.when(F.col("drawdown_63") <= stress, "_STRESS").otherwise(""))

@@ -32,7 +32,7 @@ def performance_metrics(values: DataFrame) -> DataFrame:
         F.min(F.col("value") / F.col("peak") - 1).alias("dd"), F.count("*").alias("n"), F.first("mu").alias("mu"),
         (F.sum(F.pow(F.col("r") - F.col("mu") * F.col("days"), 2)) / F.sum("days")).alias("var"),
     )
-    live = (F.col("n") >= 3) & (F.col("var") > 1e-18)
+    live = (F.col("n") >= 3) & (F.col("var") > 0)
     vol = F.when(live, F.sqrt(F.col("var") * YEAR)).otherwise(0.0)
     grown = F.col("final") / F.col("initial")
     return m.select(

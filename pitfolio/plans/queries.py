@@ -311,7 +311,7 @@ b2 AS (SELECT *, count(r) OVER w AS n, sum(r) OVER w / sum(d) OVER w AS mu, sum(
   WINDOW w AS ({_BY} ROWS 19 PRECEDING), p AS (PARTITION BY strategy, market_regime ORDER BY decision_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 b3 AS (SELECT *, list_sum(list_transform(range(1, len(rs) + 1), lambda i: pow(rs[i] - mu * ds[i], 2))) / days AS var,
   list_min(list_transform(range(1, len(lv) + 1), lambda i: lv[i] / list_max(lv[1:i]) - 1)) AS dd FROM b2),
-board AS (SELECT strategy, decision_idx, decision_date, round(CASE WHEN n >= 2 THEN CASE WHEN var > 1e-18 THEN mu * 365.25 / sqrt(var * 365.25) ELSE 0 END END, 9) AS sharpe,
+board AS (SELECT strategy, decision_idx, decision_date, round(CASE WHEN n >= 2 THEN CASE WHEN var > 0 THEN mu * 365.25 / sqrt(var * 365.25) ELSE 0 END END, 9) AS sharpe,
   round(CASE WHEN n > 0 THEN dd END, 9) AS drawdown, round(mt, 9) AS turnover, round(CASE WHEN regime_count >= 4 THEN rm END, 9) AS regime_score, regime_count FROM b3)"""
 _RANKED = f"""{_BOARD},
 k0 AS (SELECT *, coalesce(sharpe IS NOT NULL AND drawdown >= -0.2 AND turnover <= 1.0, false) AS eligible FROM board),
