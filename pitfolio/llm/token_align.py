@@ -29,9 +29,12 @@ by one. An empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +50,8 @@ _RUN = re.compile(r" \s|\s ")
 _SHIFT = 20
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Byte of each character of a byte-level vocabulary: printable Latin-1 stands for itself, the rest for 256 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+#: Counts of A, B and groups as one number, so that they add up in one sum.
+_PART = 40
 
 
 def common_ends(a, b) -> tuple[list[int], list[int]]:
@@ -59,122 +59,179 @@ def common_ends(a, b) -> tuple[list[int], list[int]]:
     if len(a) > len(b):
         j, i = common_ends(b, a)
         return i, j
-    mine, theirs, at, n = [], [], 0, len(b)
+    mine, theirs, at, last = [], [], 0, len(b)
+    b = [*b, math.inf]
     for i, x in enumerate(a):
-        low, high, step = at, at, 1
-        while high < n and b[high] < x:
-            low, high, step = high + 1, high + step, 2 * step
-        at = bisect_left(b, x, low, min(high, n))
-        if at == n:
-            break
+        if b[at] < x:
+            low, high, step = at + 1, at + 1, 1
+            while b[high] < x:
+                low, high, step = high + 1, min(high + step, last), 2 * step
+            at = bisect_left(b, x, low, high)
         if b[at] == x:
             mine.append(i)
             theirs.append(at)
     return mine, theirs
 
 
-def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (a, b) of all tokens whose byte ranges overlap, by the ranks of A's ends among B's."""
-    starts = np.concatenate([[0], ends_a[:-1]])
-    first, last = np.searchsorted(ends_b, starts, "right"), np.searchsorted(ends_b, ends_a, "left")
-    many = last - first + 1
-    a = np.repeat(np.arange(len(ends_a)), many)
-    return a, np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+def overlaps(ends_a: list[int], ends_b: list[int], i: int, x: int, j: int, y: int) -> list[tuple[int, int]]:
+    """Indices (a, b) of the tokens i to x and j to y of one group whose byte ranges overlap.
+
+    A token's range in the other list goes from the rank of its start to the rank of its end.
+    """
+    if j == y:
+        return [(a, j) for a in range(i, x + 1)]
+    out, first = [], j
+    for a in range(i, x + 1):
+        last = bisect_left(ends_b, ends_a[a], first, y)
+        out += [(a, b) for b in range(first, last + 1)]
+        first = last  # a group has no common end inside, so this one goes on
+    return out
 
 
 class Aligner:
-    """Both tokenizers of one process, and what is known of chunks."""
+    """Both tokenizers of one process, and what is known of chunks.
 
-    def __init__(self, byte_level: str, pieces: str):
+    What is known is kept in two halves: when the new half is full it becomes the old one, and
+    chunks found in the old half move to the new. So frequent chunks stay.
+    """
+
+    def __init__(self, ranks: str, pattern: str, pieces: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True
-        alphabet = byte_alphabet()
-        self.bytes_a = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
+        self.a = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.size_a = np.zeros(max(table.values()) + 1, np.int64)
+        for piece, i in table.items():
+            self.size_a[i] = len(piece)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.name = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))]
         self.cuts_at_blanks = not any(re.search("[^▁]▁", p) for p in names)
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+    def aligned(self, texts: list[str], ids_b: list[list[int]]) -> list[tuple | None]:
+        """(links as bytes of int64, groups, counts of A, B and groups) of each text with its ids, None if its bytes do not come back.
+
+        The texts lie one behind the other; where one stops both lists have an end.
+        """
+        bytes_b, encode, out = self.bytes_b, self.a, [None] * len(texts)
+        a, b, stops, good = [], [], [], []
+        at = 0
+        for k, (text, ids) in enumerate(zip(texts, ids_b, strict=True)):
+            raw = (" " + text).encode()
+            if b"".join([bytes_b[i] for i in ids]) == raw:
+                at += len(raw)
+                a += encode(" " + text)
+                b += ids
+                stops.append(at)
+                good.append(k)
+        if not good:
+            return out
+        ends_a, ends_b = np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist()
+        if ends_a[-1] != at:
+            raise ValueError("the byte-level vocabulary does not give its text back")
+        name, groups, links, facts = self.name, [], [], []
+        i, j, n, first_a, first_b = 0, 0, 0, 0, 0
+        for x, y in zip(*common_ends(ends_a, ends_b), strict=True):
+            if i == x and j == y:
+                groups.append(name[a[i]] + "|" + name[b[j]])
+                links.append((a[i] << _SHIFT) + b[j])
+            elif i == x:
+                groups.append(name[a[i]] + "|" + ",".join([name[k] for k in b[j : y + 1]]))
+                links += [(a[i] << _SHIFT) + k for k in b[j : y + 1]]
+            else:
+                groups.append(",".join([name[k] for k in a[i : x + 1]]) + "|" + ",".join([name[k] for k in b[j : y + 1]]))
+                links += [(a[p] << _SHIFT) + b[q] for p, q in overlaps(ends_a, ends_b, i, x, j, y)]
+            i, j = x + 1, y + 1
+            if ends_a[x] == stops[n]:
+                facts.append((len(links), len(groups), i - first_a + (j - first_b << _PART)))
+                n, first_a, first_b = n + 1, i, j
+        raw, s, g = np.array(links, np.int64).tobytes(), 0, 0
+        for k, (to, end, counts) in zip(good, facts, strict=True):
+            out[k] = raw[8 * s : 8 * to], ";".join(groups[g:end]).encode(), counts + (end - g << 2 * _PART)
+            s, g = to, end
+        return out
 
     def whole(self, text: str) -> tuple | None:
-        """(links as bytes of int64, groups, counts of A, B and groups) of a text, None if its bytes do not come back."""
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        piece_a, piece_b, raw = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], (" " + text).encode()
-        if b"".join(piece_a) != raw or b"".join(piece_b) != raw:
-            return None
-        ends_a, ends_b = (np.cumsum([len(p) for p in x]) for x in (piece_a, piece_b))
-        cut_a, cut_b = common_ends(ends_a.tolist(), ends_b.tolist())
-        groups, i, j = [], 0, 0
-        for x, y in zip(cut_a, cut_b, strict=True):
-            groups.append(",".join(map(str, a[i : x + 1])) + "|" + ",".join(map(str, b[j : y + 1])))
-            i, j = x + 1, y + 1
-        of_a, of_b = overlaps(ends_a, ends_b)
-        links = (np.array(a, np.int64)[of_a] << _SHIFT) + np.array(b, np.int64)[of_b]
-        return links.tobytes(), ";".join(groups).encode(), np.array([len(a), len(b), len(groups)], np.int64).tobytes()
-
-    def chunk(self, word: str) -> tuple | None:
-        got = self.known.get(word)
-        if got is None:
-            got = self.whole(word)
-            if got is not None and len(word) <= _KEEP_LENGTH:
-                if len(self.known) >= _KEEP:
-                    self.known.clear()
-                self.known[word] = got
-        return got
-
-    def text(self, text: str | None) -> tuple | None:
-        if not text:
-            return None
-        if not self.cuts_at_blanks or text[0].isspace() or text[-1] == " " or "  " in text or (not text.isprintable() and _RUN.search(text)):
-            return self.whole(text)
-        get, parts = self.known.get, text.split(" ")
-        found = [get(w) or self.chunk(w) for w in parts]
-        if None in found:  # the whole text decides
-            return self.whole(text)
-        counts = np.frombuffer(b"".join([x[2] for x in found]), np.int64).reshape(-1, 3).sum(axis=0)
-        return b"".join([x[0] for x in found]), b";".join([x[1] for x in found]), counts.tobytes()
+        return self.aligned([text], [self.b.encode(text)])[0]
+
+    def learn(self, words: set[str]) -> dict[str, tuple | None]:
+        """What is not known yet of some chunks; all that is short is kept."""
+        found = {}
+        for w in words & self.older.keys():
+            found[w] = self.known[w] = self.older[w]
+        new = list(words - self.older.keys())
+        for w, got in zip(new, self.aligned(new, self.b.encode(new, num_threads=1)), strict=True):
+            found[w] = got
+            if got is not None and len(w) <= _KEEP_LENGTH:
+                self.known[w] = got
+        return found
+
+    def texts(self, texts: list[str | None]) -> list[tuple | None]:
+        """The alignment of each text, None for those without tokens."""
+        parts = [
+            t.split(" ") if t and self.cuts_at_blanks and not (t[0].isspace() or t[-1] == " " or "  " in t or (not t.isprintable() and _RUN.search(t))) else None
+            for t in texts
+        ]
+        every = set().union(*[p for p in parts if p])
+        if len(self.known) >= _KEEP:
+            self.known, self.older = {}, self.known
+        more = self.learn(every - self.known.keys())
+        here = {w: more[w] if w in more else self.known[w] for w in every}
+        out = []
+        for t, p in zip(texts, parts, strict=True):
+            found = [here[w] for w in p] if p else [None]
+            if None in found:  # the whole text decides
+                out.append(self.whole(t) if t else None)
+            elif len(found) == 1:
+                out.append(found[0])
+            else:
+                out.append((b"".join([x[0] for x in found]), b";".join([x[1] for x in found]), sum([x[2] for x in found])))
+        return out
 
 
 _made: dict = {}
 
 
-def aligner(byte_level: str, pieces: str) -> Aligner:
-    if (byte_level, pieces) not in _made:
-        _made[byte_level, pieces] = Aligner(byte_level, pieces)
-    return _made[byte_level, pieces]
+def aligner(ranks: str, pieces: str) -> Aligner:
+    if (ranks, pieces) not in _made:
+        import public_tokenizers
+
+        at = [p if "/" in p else public_tokenizers.path(p) for p in (ranks, pieces)]
+        _made[ranks, pieces] = Aligner(at[0], public_tokenizers.PATTERN, at[1])
+    return _made[ranks, pieces]
 
 
-def alignments(docs: DataFrame, byte_level: str = "byte_bpe_50k.json", pieces: str = "piece_bpe_32k.model", keep_groups: bool = False) -> DataFrame:
+def alignments(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pieces: str = "piece_bpe_32k.model", keep_groups: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups_sha256, links, times (, groups): one row per row of docs.
 
     links are the different id pairs of the text (A's id times 2**20, plus B's), times how often each
-    occurs. byte_level, pieces: names for ``public_tokenizers.path``, or paths.
+    occurs. ranks, pieces: names for ``public_tokenizers.path``, or paths; the vocabulary is read as
+    ranks, which know no special strings (the tests hold the ids equal to the tokenizer file's).
     """
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links", "times"] + ["groups"] * keep_groups
 
     def run(batches):
-        import public_tokenizers
         import pyarrow as pa
 
-        at = [p if "/" in p else public_tokenizers.path(p) for p in (byte_level, pieces)]
-        tool = aligner(*at)
+        tool = aligner(ranks, pieces)
         kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string()]
         for part in slices(batches, 512):
             counts, shas, whole, links, times = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             ends = [0]
-            for text in part.column("text").to_pylist():
-                got = tool.text(text)
+            for got in tool.texts(part.column("text").to_pylist()):
                 if got is None:
                     counts.append((0, 0, 0, 0))
                     shas.append("")
                     whole.append("")
                 else:
                     every = np.frombuffer(got[0], np.int64)
-                    n_a, n_b, n_groups = np.frombuffer(got[2], np.int64).tolist()
-                    counts.append((n_a, n_b, n_groups, len(every)))
+                    one = (1 << _PART) - 1
+                    counts.append((got[2] & one, got[2] >> _PART & one, got[2] >> 2 * _PART, len(every)))
                     shas.append(hashlib.sha256(got[1]).hexdigest())
                     whole.append(got[1].decode() if keep_groups else "")
                     k, n = np.unique(every, return_counts=True)

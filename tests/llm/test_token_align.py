@@ -15,6 +15,10 @@ TEXTS = [
     "has ▁ in it", "a▁b", "no break", "ﬁne ①", "\u0000 nul", "word " * 3000 + "end", "don't we're I'll 123456789 3.14159", "​zero", "0" * 5000,
 ]
 
+#: Bytes of the characters of byte-level entries: printable Latin-1 for itself, the others from 256 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+CHARS = {chr(b): b for b in PLAIN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PLAIN)}
+
 
 @pytest.fixture(scope="module")
 def tools():
@@ -29,8 +33,7 @@ def tools():
 def tokens(tools, text):
     """(id, bytes) of both tokenizers for a text."""
     a, b = tools
-    chars = token_align.byte_alphabet()
-    one = [(i, bytes(chars[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+    one = [(i, bytes(CHARS[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
     two = []
     for i in b.encode(text):
         p = b.id_to_piece(i)
@@ -72,13 +75,23 @@ def test_rows_equal_brute_force(spark, tools):
 
 
 def test_chunks_equal_whole_texts(spark):
-    tool = token_align.Aligner(files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"))
+    tool = token_align.aligner("byte_bpe_50k.tiktoken", "piece_bpe_32k.model")
     assert tool.cuts_at_blanks
     r = np.random.default_rng(3)
     alphabet = list("abcdeTHEing'.,-0123é東🙂<|>\n\t ") + [" "] * 8 + [" ", "▁", "the ", "tion", "'s "]
-    for _ in range(1500):
-        text = "".join(r.choice(alphabet, int(r.integers(1, 60))))
-        assert tool.text(text) == tool.whole(text), text
+    for _ in range(60):
+        texts = ["".join(r.choice(alphabet, int(r.integers(1, 60)))) for _ in range(25)] + [None, ""]
+        assert tool.texts(texts) == [tool.whole(t) if t else None for t in texts]
+    assert len(tool.known) > 300
+
+
+def test_frequent_chunks_stay_when_the_cache_is_full(monkeypatch):
+    monkeypatch.setattr(token_align, "_KEEP", 4)
+    tool = token_align.Aligner(files.path("byte_bpe_50k.tiktoken"), files.PATTERN, files.path("piece_bpe_32k.model"))
+    for k in range(20):
+        text = f"the word{k} other{k} the"
+        assert tool.texts([text]) == [tool.whole(text)]
+    assert "the" in tool.known and len(tool.known) + len(tool.older) < 16
 
 
 def test_long_texts_and_groups(spark):
