@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -67,23 +67,43 @@ def filled_bars(bars: DataFrame) -> DataFrame:
     return grid.join(good, ["ticker", "date"], "left").select("ticker", "date", last.alias("close"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, value: str, default=None) -> DataFrame:
-    """left with the last ``value`` of right at or before left_ts: one union, one sort, no theta join.
+def _as_number(c: Column, kind: str) -> Column:
+    """Dates and times as numbers in their order."""
+    return F.unix_date(c).cast("double") if kind == "date" else c.cast("double")
 
-    Of equal right timestamps the largest value counts.
+
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, value: str, default=None, parts: int = 32) -> DataFrame:
+    """left with the last ``value`` of right at or before left_ts; of equal right timestamps the largest value counts.
+
+    No theta join, and no key is one task: time is cut in ``parts`` ranges of about as many rows
+    (percentiles of both sides, one row), and rows are dealt by key and range. The last value
+    of a key in each range is summed up on the map side; from those few rows every range gets
+    the value that was in force when it began, as a row before all others. With ``parts`` 1
+    the key alone deals them. Rows of left without a time get the default, those of right serve none.
     """
     r = right.select(*on, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(left.schema.simpleString()).alias("_row"))
     lft = left.select(*on, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
-    w = Window.partitionBy(*on).orderBy("_t", "_side", F.col("_v").asc_nulls_first())
-    got = r.unionByName(lft).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    both = r.where("_t is not null").unionByName(lft)
+    kind = dict(both.dtypes)["_t"]
+    if parts > 1:
+        number = _as_number(F.col("_t"), kind)
+        cuts = both.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+        later = [(number > x).cast("int") for x in sorted(set(cuts))]
+        both = both.withColumn("_part", F.coalesce(sum(later, F.lit(0)), F.lit(-1)))
+        ends = both.where("_side = 0 and _v is not null").groupBy(*on, "_part").agg(F.max(F.struct("_t", "_v")).alias("_end"))
+        until = F.coalesce(F.lead("_part").over(Window.partitionBy(*on).orderBy("_part")), F.lit(len(later)))
+        begin = ends.withColumn("_to", until).where("_to > _part").select(*on, F.explode(F.sequence(F.col("_part") + 1, "_to")).alias("_part"), F.col("_end._v").alias("_v"))
+        both = both.unionByName(begin.withColumn("_side", F.lit(-1)), allowMissingColumns=True)
+    w = Window.partitionBy(*on, *["_part"] * (parts > 1)).orderBy(F.col("_side") >= 0, "_t", "_side", F.col("_v").asc_nulls_first())
+    got = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
     out = F.col("_v") if default is None else F.coalesce("_v", F.lit(default))
     return got.select("_row.*", out.alias(value))
 
 
-def snap_date(targets: DataFrame, available: DataFrame, direction: str = "forward") -> DataFrame:
-    """(value, snapped): nearest available date not before (forward) or not after (backward)."""
+def snap_date(targets: DataFrame, available: DataFrame, direction: str = "forward", parts: int = 32) -> DataFrame:
+    """(value, snapped): nearest available date not before (forward) or not after (backward); ranges of dates are tasks of their own."""
     if direction == "backward":
-        return asof_join(targets.withColumn("_k", F.lit(1)), available.select(F.lit(1).alias("_k"), "date", F.col("date").alias("snapped")), ["_k"], "value", "date", "snapped").drop("_k")
-    t = targets.select("value", (-F.datediff("value", F.lit("1970-01-01"))).alias("_n"), F.lit(1).alias("_k"))
-    a = available.select(F.lit(1).alias("_k"), (-F.datediff("date", F.lit("1970-01-01"))).alias("_m"), F.col("date").alias("snapped"))
-    return asof_join(t, a, ["_k"], "_n", "_m", "snapped").select("value", "snapped")
+        return asof_join(targets.withColumn("_k", F.lit(1)), available.select(F.lit(1).alias("_k"), "date", F.col("date").alias("snapped")), ["_k"], "value", "date", "snapped", parts=parts).drop("_k")
+    t = targets.select("value", (-F.unix_date("value")).alias("_n"), F.lit(1).alias("_k"))
+    a = available.select(F.lit(1).alias("_k"), (-F.unix_date("date")).alias("_m"), F.col("date").alias("snapped"))
+    return asof_join(t, a, ["_k"], "_n", "_m", "snapped", parts=parts).select("value", "snapped")

@@ -73,3 +73,51 @@ def evaluate_forecasts(forecasts: DataFrame, least: int = 2, volatility: bool =
     if volatility:
         out = out.unionByName(long(calibration_ratio(both).withColumn("split", F.lit("all")), ["ratio"]))
     return out.unionByName(few)
+
+
+MODEL, ZERO, PERSISTENCE = "walk_forward_model", "naive_zero_baseline", "naive_persistence_baseline"
+
+
+def evaluate_ml(forecasts: DataFrame) -> DataFrame:
+    """(strategy, ridge_reference, target, split, series, metric, value) of walk-forward forecasts.
+
+    forecasts: strategy, model_family, date, ticker, mu, sigma, score, actual_return,
+    actual_volatility, actual_rar. Targets: return (with the zero and persistence forecasts,
+    and the share of equal signs), volatility (not below 0; with persistence and the
+    calibration ratio) and rar (the score against the realised ratio; with the share of dates
+    on which the best score was the best outcome). The model's errors and mean rank
+    correlations are given over all dates and by split; a strategy's dates are split once,
+    whatever the target. A strategy without a completed forecast has one row, insufficient_data.
+    """
+    f = chrono_split(forecasts.withColumnRenamed("strategy", "model")).withColumnRenamed("model", "strategy")
+    low = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0)))
+    pairs = F.array(*[F.struct(F.lit(t).alias("target"), p.cast("double").alias("predicted"), a.cast("double").alias("actual")) for t, p, a in (("return", F.col("mu"), F.col("actual_return")), ("volatility", low("sigma"), low("actual_volatility")), ("rar", F.col("score"), F.col("actual_rar")))])
+    own = f.select("strategy", "date", "ticker", "split", F.inline(pairs)).where("predicted is not null and actual is not null")
+    before = F.lag("actual").over(Window.partitionBy("strategy", "target", "ticker").orderBy("date"))
+    own = own.withColumn("before", before)
+    kinds = F.array(F.struct(F.lit(MODEL).alias("series"), F.col("predicted").alias("p")), F.struct(F.lit(ZERO).alias("series"), F.when(F.col("target") == "return", 0.0).alias("p")), F.struct(F.lit(PERSISTENCE).alias("series"), F.when(F.col("target") != "rar", F.col("before")).alias("p")))
+    rows = own.select("strategy", "target", "date", "ticker", "split", "actual", F.inline(kinds)).where("p is not null").withColumnRenamed("p", "predicted")
+
+    key = ["strategy", "target", "series"]
+    parts = F.explode(F.when(F.col("series") == MODEL, F.array(F.lit("all"), F.col("split"))).otherwise(F.array(F.lit("all")))).alias("split")
+    e, whole = F.col("predicted") - F.col("actual"), F.col("split") == "all"
+    model = F.col("series") == MODEL
+    errors = rows.select(*key, "predicted", "actual", parts).groupBy(*key, "split").agg(
+        F.count("*").cast("double").alias("observations"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(((F.col("predicted") >= 0) == (F.col("actual") >= 0)).cast("int")).alias("up"), F.try_divide(F.avg("predicted"), F.avg("actual")).alias("ratio"), F.avg("actual").alias("level"),
+    ).withColumn("directional_accuracy", F.when(F.col("target") == "return", F.col("up"))).withColumn("calibration_ratio", F.when((F.col("target") == "volatility") & model & whole & (F.col("level") > 0), F.col("ratio")))
+
+    ranked = rows.withColumn("by", F.struct(*key, "date"))
+    ranked = avg_rank_percentile(avg_rank_percentile(ranked, "by", "predicted", "rp"), "by", "actual", "ra")
+    best = lambda c: F.row_number().over(Window.partitionBy(*key, "date").orderBy(F.desc(c), "ticker"))
+    ranked = ranked.withColumn("kp", best("predicted")).withColumn("ka", best("actual"))
+    varied = (F.count("*") >= 2) & (F.min("rp") < F.max("rp")) & (F.min("ra") < F.max("ra"))
+    day = ranked.groupBy(*key, "date", "split").agg(F.when(varied, F.try_divide(F.covar_pop("rp", "ra"), F.stddev_pop("rp") * F.stddev_pop("ra"))).alias("ic"), F.max(((F.col("kp") == 1) & (F.col("ka") == 1)).cast("int")).alias("top"))
+    dates = day.select(*key, "ic", "top", parts).groupBy(*key, "split").agg(F.avg("ic").alias("mean_rank_correlation"), F.avg("top").alias("top")).withColumn("top_selection_hit_rate", F.when((F.col("target") == "rar") & model & whole, F.col("top")))
+
+    names = {"observations": errors, "mae": errors, "rmse": errors, "directional_accuracy": errors, "calibration_ratio": errors, "mean_rank_correlation": dates, "top_selection_hit_rate": dates}
+    ids = [*key, "split"]
+    cols = lambda df: [n for n, d in names.items() if d is df]
+    out = errors.select(*ids, *cols(errors)).unpivot(ids, cols(errors), "metric", "value").unionByName(dates.select(*ids, *cols(dates)).unpivot(ids, cols(dates), "metric", "value")).where("value is not null")
+    who = forecasts.groupBy("strategy").agg((F.first("model_family", ignorenulls=True) == "ridge").alias("ridge_reference"))
+    none = who.join(own.select("strategy").distinct(), "strategy", "left_anti").select("strategy", F.lit("none").alias("target"), F.lit(MODEL).alias("series"), F.lit("all").alias("split"), F.lit("insufficient_data").alias("metric"), F.lit(0.0).alias("value"))
+    return out.unionByName(none).join(who, "strategy").select("strategy", F.coalesce("ridge_reference", F.lit(False)).alias("ridge_reference"), "target", "split", "series", "metric", "value")

@@ -151,7 +151,7 @@ def level_change_features(series: DataFrame, dates: DataFrame, lags: tuple[int,
     change = lambda n: F.col("value") / F.lag("value", n).over(by) - 1
     s = s.select("series", "available_date", F.struct(F.col("date").alias("d"), F.col("value").alias("level"), F.coalesce(change(lags[0]), F.lit(0.0)).alias("a"), F.coalesce(change(lags[1]), F.lit(0.0)).alias("b")).alias("f"))
     ask = dates.select("date").crossJoin(s.select("series").distinct())  # a handful of series
-    got = asof_join(ask, s, ["series"], "date", "available_date", "f")
+    got = asof_join(ask, s, ["series"], "date", "available_date", "f", parts=1)  # one row a decision and series
     zero = lambda c: F.coalesce(F.col(f"f.{c}"), F.lit(0.0))
     return got.select("series", "date", zero("level").alias("level"), zero("a").alias(f"change_{lags[0]}"), zero("b").alias(f"change_{lags[1]}"))
 
@@ -163,3 +163,17 @@ def merge_series(parts: dict[str, DataFrame]) -> DataFrame:
         one = df.select("date", F.lit(name).alias("series"), "value")
         long = one if long is None else long.unionByName(one)
     return long.groupBy("date").pivot("series", list(parts)).agg(F.max("value"))
+
+
+def bridged_features(features: DataFrame, bridge: DataFrame, slots: tuple[str, ...] = ("kw1", "kw2")) -> DataFrame:
+    """ticker, date and, for each slot, the features of the series that the ticker names there; 0 where it names none or none is known.
+
+    features: series, date and numbers (``level_change_features``). bridge: ticker and a column
+    with a series for each slot. The bridge is a small dimension: one row a ticker.
+    """
+    numbers = [c for c in features.columns if c not in ("series", "date")]
+    wanted = bridge.select("ticker", F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.col(s).alias("series")) for s in slots])).alias("x")).select("ticker", "x.*")
+    # Every ticker has rows on all dates, those without a known series as well.
+    named = wanted.join(features, "series").groupBy("ticker", "date").agg(*[F.max(F.when(F.col("slot") == s, F.col(c))).alias(f"{s}_{c}") for s in slots for c in numbers])
+    grid = features.select("date").distinct().crossJoin(bridge.select("ticker"))
+    return grid.join(named, ["ticker", "date"], "left").na.fill(0.0)

@@ -1,9 +1,10 @@
 """Walk-forward forecasts: training sets, ridge by sums of squares and products, scores, weights.
 
 A decision's training set is a range of earlier decisions, and ridge needs only sums over
-it. So rows are summed once per decision (all tickers at once, combined on the map side),
-decisions meet refits by a range join of two small tables, and a solve of one small matrix
-is left for each refit.
+it. So rows are summed once per decision (all tickers at once, combined on the map side), the
+sums are added up along the decisions, and a refit's sums are the difference of two of those
+running sums: no refit meets the decisions it learns from. One solve of a small matrix is
+left for each refit.
 """
 
 from __future__ import annotations
@@ -15,19 +16,45 @@ from pyspark.sql import functions as F
 from ..functions.columns import log_vol_label, vol_of_label
 
 
-def training_sets(schedule: DataFrame, embargo: int = 1, window_days: int | None = 756) -> DataFrame:
-    """(refit_idx, decision_idx): what each decision may learn from.
+def training_windows(schedule: DataFrame, embargo: int = 1, window_days: int | None = 756) -> DataFrame:
+    """(refit_idx, lo, hi): the range of decisions that each decision may learn from; lo > hi where there is none.
 
     schedule: decision_idx, decision_date, next_fill (labels.intervals_of). A decision j
     serves i if it lies ``embargo`` intervals back, its interval has ended before i, and it
-    is at most ``window_days`` calendar days old (null: no limit).
+    is at most ``window_days`` calendar days old (null: no limit). Dates rise with the
+    decisions, so these are ranges: two running values over the calendar, one row a decision.
+    """
+    day = F.unix_date("decision_date")
+    near = Window.orderBy(day).rangeBetween(-window_days, 0) if window_days is not None else Window.orderBy(day).rangeBetween(Window.unboundedPreceding, 0)
+    i = schedule.select("decision_idx", "decision_date", F.min("decision_idx").over(near).alias("lo"))
+    ended = schedule.where("next_fill is not null").select(F.col("next_fill").alias("at"), F.lit(1).alias("side"), F.col("decision_idx").alias("done"))
+    asked = i.select(F.col("decision_date").alias("at"), F.lit(0).alias("side"), F.col("decision_idx").alias("refit_idx"), "lo")
+    done = F.max("done").over(Window.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # an end on the day itself comes too late
+    both = asked.unionByName(ended, allowMissingColumns=True).withColumn("done", done).where("refit_idx is not null")
+    return both.select("refit_idx", "lo", F.least(F.coalesce("done", F.lit(-1)), F.col("refit_idx") - 1 - embargo).cast("int").alias("hi"))
+
+
+def training_sets(schedule: DataFrame, embargo: int = 1, window_days: int | None = 756) -> DataFrame:
+    """(refit_idx, decision_idx): the ranges of ``training_windows`` decision by decision."""
+    w = training_windows(schedule, embargo, window_days)
+    return w.where("lo <= hi").select("refit_idx", F.explode(F.sequence("lo", "hi")).alias("decision_idx"))
+
+
+def window_sums(per: DataFrame, windows: DataFrame, names: list[str]) -> DataFrame:
+    """(refit_idx, names): sums of per (decision_idx, names) over each window, as differences of running sums.
+
+    One row a decision; decisions without a row count as zero. A difference of sums of doubles
+    is off by about 2**-53 times the running sum at its end, so relative to the window by
+    that times (all history / window).
     """
-    i = schedule.select(F.col("decision_idx").alias("refit_idx"), F.col("decision_date").alias("as_of"))
-    j = schedule.where("next_fill is not null").select("decision_idx", "decision_date", "next_fill")
-    near = (F.col("decision_idx") <= F.col("refit_idx") - 1 - embargo) & (F.col("next_fill") < F.col("as_of"))
-    if window_days is not None:
-        near &= F.datediff("as_of", "decision_date") <= window_days
-    return i.join(j, near).select("refit_idx", "decision_idx")
+    order = Window.orderBy("decision_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = per.select("decision_idx", *[F.sum(n).over(order).alias(n) for n in names])
+    # The last decision with a row at or before a place, and so the running sum there.
+    places = windows.where("lo <= hi").select("refit_idx", F.explode(F.array(F.struct(F.col("hi").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("lo") - 1).alias("at"), F.lit(-1).alias("sign")))).alias("x")).select("refit_idx", "x.at", "x.sign")
+    known = F.last("s", ignorenulls=True).over(Window.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = total.select(F.col("decision_idx").alias("at"), F.lit(0).alias("side"), F.struct(*names).alias("s")).unionByName(places.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    met = rows.withColumn("s", known).where("side = 1")
+    return met.groupBy("refit_idx").agg(*[F.sum(F.col("sign") * F.coalesce(F.col(f"s.{n}"), F.lit(0))).alias(n) for n in names])
 
 
 def training_rows(sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -48,15 +75,16 @@ def _moments(features: list[str], label: str) -> dict[str, Column]:
     return {f"g_{a}_{b}": x[a] * x[b] for a in range(len(x)) for b in range(a, len(x))}
 
 
-def ridge_walkforward(rows: DataFrame, sets: DataFrame, features: list[str], label: str = "label", alpha: float = 1.0, min_rows: int = 200, every: int = 1) -> DataFrame:
+def ridge_walkforward(rows: DataFrame, windows: DataFrame, features: list[str], label: str = "label", alpha: float = 1.0, min_rows: int = 200, every: int = 1) -> DataFrame:
     """(refit_idx, rows, coefs): intercept and weights of each refit, from rows (decision_idx, features, label).
 
-    coefs = (X'X + alpha I)^-1 X'y with the intercept free; rows with a null are left out.
+    windows: those of ``training_windows``. coefs = (X'X + alpha I)^-1 X'y with the intercept
+    free; rows with a null are left out.
     """
     g = _moments(features, label)
     full = rows.dropna(subset=[*features, label]).groupBy("decision_idx").agg(F.count("*").alias("rows"), *[F.sum(c).alias(n) for n, c in g.items()])
-    per = sets.join(full, "decision_idx").groupBy("refit_idx").agg(F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in g])
-    flagged = refit_flags(per, min_rows, every).where("refit").select("refit_idx", "rows", F.array(*g).alias("g"))
+    per = window_sums(full, windows, ["rows", *g])
+    flagged = refit_flags(per.where("rows > 0"), min_rows, every).where("refit").select("refit_idx", "rows", F.array(*g).alias("g"))
     k = len(features) + 2
     upper = np.triu_indices(k)
 
@@ -157,10 +185,10 @@ def ml_strategy(kind: str, features: DataFrame, schedule: DataFrame, labels: Dat
     features: decision_idx, decision_date, ticker and ``names``; labels: decision_idx, ticker,
     ret; vols (for vol and rar): decision_idx, ticker, vol, learned as logs.
     """
-    sets = training_sets(schedule, embargo, window_days)
+    windows = training_windows(schedule, embargo, window_days)
 
     def forecast(label: DataFrame) -> DataFrame:
-        return predict(features, ridge_walkforward(features.join(label, ["decision_idx", "ticker"]), sets, names, **ridge), names)
+        return predict(features, ridge_walkforward(features.join(label, ["decision_idx", "ticker"]), windows, names, **ridge), names)
 
     mu = forecast(labels.select("decision_idx", "ticker", F.col("ret").alias("label"))) if kind != "vol" else None
     sigma = None

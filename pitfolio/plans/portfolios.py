@@ -264,14 +264,14 @@ def _labelled(spark, sf_dir):
 
 def q_training_rows(spark, sf_dir):
     f, s, ret, _ = _labelled(spark, sf_dir)
-    rows = models.training_rows(models.training_sets(s), f.join(ret.select("decision_idx", "ticker", "ret"), ["decision_idx", "ticker"]))
-    return models.refit_flags(rows.groupBy("refit_idx").agg(F.count("*").alias("rows")), 200, 5)
+    per = f.join(ret.select("decision_idx", "ticker", "ret"), ["decision_idx", "ticker"]).groupBy("decision_idx").agg(F.count("*").alias("rows"))
+    return models.refit_flags(models.window_sums(per, models.training_windows(s), ["rows"]).where("rows > 0"), 200, 5)
 
 
 def q_ridge_coefs(spark, sf_dir):
     f, s, ret, _ = _labelled(spark, sf_dir)
     rows = f.join(ret.select("decision_idx", "ticker", F.col("ret").alias("label")), ["decision_idx", "ticker"])
-    c = models.ridge_walkforward(rows, models.training_sets(s), NAMES, every=5)
+    c = models.ridge_walkforward(rows, models.training_windows(s), NAMES, every=5)
     return _rounded(c.select("refit_idx", "rows", *[F.col("coefs")[i].alias(f"c{i}") for i in range(3)]))
 
 
@@ -310,6 +310,29 @@ def q_ml_evaluation(spark, sf_dir):
     return _rounded(evaluation.evaluate_forecasts(base._forecasts(spark, sf_dir)))
 
 
+def q_ml_evaluation_full(spark, sf_dir):
+    """Return, volatility and risk-adjusted forecasts of the ridge strategy, by split, beside naive ones."""
+    f, s, ret, vol = _labelled(spark, sf_dir)
+    out = models.attach_actuals(models.ml_strategy("rar", f, s, ret, NAMES, vols=vol, every=20), ret, vol)
+    nine = [F.round(c, 9).alias(c) for c in ("mu", "sigma", "score", "actual_return", "actual_volatility", "actual_rar")]
+    out = settled(out.select(F.lit("ridge_rar").alias("strategy"), F.lit("ridge").alias("model_family"), F.col("decision_date").alias("date"), "ticker", *nine))
+    return _rounded(evaluation.evaluate_ml(out), 5)
+
+
+#: Keyword slots of the test tickers: order priorities as searched words.
+_WORDS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+BRIDGE = [(t, _WORDS[i % 5], _WORDS[(i + 2) % 5] if i < 5 else None) for i, (t, _) in enumerate(base.UNIVERSE)]
+
+
+def q_keyword_features(spark, sf_dir):
+    """Two keyword series a ticker with changes over 28 and 84 observations, as known at each decision."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    s = o.groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").cast("double").alias("value")).withColumn("available_date", F.date_add("date", 1))
+    days = _market(spark, sf_dir)[1].where("status = 'kept'").select(F.col("decision_date").alias("date"))
+    bridge = spark.createDataFrame(BRIDGE, "ticker string, kw1 string, kw2 string")
+    return _rounded(features.bridged_features(features.level_change_features(s, days, (28, 84)), bridge))
+
+
 def q_calibration(spark, sf_dir):
     b, s = _market(spark, sf_dir)
     v = labels.interval_vol(s, b).where("vol is not null").select("decision_idx", "ticker", F.col("vol").alias("actual"))
@@ -334,6 +357,7 @@ QUERIES = {
     "best_per_regime": q_best_per_regime, "reliability": q_reliability, "meta_path": q_meta_path, "champion_timeline": q_champion_timeline, "equity_curves": q_equity_curves,
     "training_rows": q_training_rows, "ridge_coefs": q_ridge_coefs, "ml_weights": q_ml_weights, "ml_risk_adjusted": q_ml_risk_adjusted, "select_vol": q_select_vol, "select_rar": q_select_rar,
     "ml_evaluation": q_ml_evaluation, "calibration": q_calibration, "macro_features": q_macro_features,
+    "ml_evaluation_full": q_ml_evaluation_full, "keyword_features": q_keyword_features,
 }
 
 # DuckDB SQL from the same named steps.
@@ -534,3 +558,28 @@ round(f, 2) AS final_value, round(turnover, 4) AS turnover, periods, (SELECT cou
 SQL["book_reliability"] = f"""{base._RANKED.replace("WITH ", "WITH RECURSIVE ", 1)}, {_BOOKED[_BOOKED.index("mk AS MATERIALIZED"):]}, fr AS (SELECT strategy, count(*) AS n FROM ranked WHERE rank = 1 GROUP BY ALL),
 rr AS (SELECT strategy, stddev_samp(sharpe) AS sd FROM board GROUP BY ALL), ca AS (SELECT strategy, avg(cash_pct) AS cash_pct FROM bv GROUP BY ALL)
 SELECT strategy, round(cash_pct, 6) AS cash_pct, round(cost_drag, 6) AS cost_drag, coalesce(n, 0) AS top_rank_count, row_number() OVER (ORDER BY coalesce(n, 0) DESC, CASE WHEN sd > 0 THEN sd END NULLS LAST, strategy) = 1 AS most_reliable FROM rr JOIN ca USING (strategy) JOIN cd USING (strategy) LEFT JOIN fr USING (strategy)"""
+_SLOT = "round(coalesce({s}.v, 0), 6) AS {s}_level, round(coalesce({s}.c28, 0), 6) AS {s}_change_28, round(coalesce({s}.c84, 0), 6) AS {s}_change_84"
+SQL["keyword_features"] = f"""WITH {_TYPE}, s AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS d, CAST(count(*) AS DOUBLE) AS v FROM orders GROUP BY ALL),
+c AS (SELECT series, d + 1 AS known, v, coalesce(v / lag(v, 28) OVER w - 1, 0) AS c28, coalesce(v / lag(v, 84) OVER w - 1, 0) AS c84 FROM s WINDOW w AS (PARTITION BY series ORDER BY d)),
+b AS (SELECT * FROM (VALUES {", ".join(f"('{t}', '{a}', {repr(z) if z else 'NULL'})" for t, a, z in BRIDGE)}) v(ticker, kw1, kw2)), q AS (SELECT decision_date AS date, b.* FROM sched, b WHERE status = 'kept')
+SELECT q.ticker, q.date, {_SLOT.format(s="x1")}, {_SLOT.format(s="x2")} FROM q ASOF LEFT JOIN c x1 ON q.kw1 = x1.series AND q.date >= x1.known ASOF LEFT JOIN c x2 ON q.kw2 = x2.series AND q.date >= x2.known""".replace("AS x1_", "AS kw1_").replace("AS x2_", "AS kw2_")
+_AT = "greatest(1, floor(n * CAST(0.6 AS DOUBLE)))"
+SQL["ml_evaluation_full"] = f"""{SQL["ml_risk_adjusted"][: SQL["ml_risk_adjusted"].index("k AS (SELECT *, max(net_edge)")]}
+ff AS (SELECT e.decision_date AS date, ticker, round(mu, 9) AS mu, round(sigma, 9) AS sigma, round(score, 9) AS score, round(ret, 9) AS ar, round(vol, 9) AS av, round(CASE WHEN vol > 0 THEN (ret - 5.0 / 1e4) / vol END, 9) AS arr FROM e LEFT JOIN ret USING (decision_idx, ticker) LEFT JOIN vo USING (decision_idx, ticker)),
+dk AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ff)),
+sp AS (SELECT ff.*, CASE WHEN k <= {_AT} THEN 'train' WHEN k <= greatest({_AT} + 1, floor(n * CAST(0.8 AS DOUBLE))) THEN 'validation' ELSE 'holdout' END AS split FROM ff JOIN dk USING (date)),
+tg AS (SELECT 'return' AS target, date, ticker, split, mu AS p, ar AS a FROM sp WHERE mu IS NOT NULL AND ar IS NOT NULL UNION ALL SELECT 'volatility', date, ticker, split, greatest(sigma, 0), greatest(av, 0) FROM sp WHERE sigma IS NOT NULL AND av IS NOT NULL
+  UNION ALL SELECT 'rar', date, ticker, split, score, arr FROM sp WHERE score IS NOT NULL AND arr IS NOT NULL),
+sr AS (SELECT 'walk_forward_model' AS series, * FROM tg UNION ALL SELECT 'naive_zero_baseline', target, date, ticker, split, 0.0, a FROM tg WHERE target = 'return'
+  UNION ALL SELECT * FROM (SELECT 'naive_persistence_baseline' AS series, target, date, ticker, split, lag(a) OVER (PARTITION BY target, ticker ORDER BY date) AS p, a FROM tg WHERE target <> 'rar') WHERE p IS NOT NULL),
+ev AS (SELECT target, series, unnest(CASE WHEN series = 'walk_forward_model' THEN ['all', split] ELSE ['all'] END) AS split, p, a FROM sr),
+er AS (SELECT target, series, split, CAST(count(*) AS DOUBLE) AS observations, avg(abs(p - a)) AS mae, sqrt(avg((p - a) * (p - a))) AS rmse, CASE WHEN target = 'return' THEN avg(CAST((p >= 0) = (a >= 0) AS INT)) END AS directional_accuracy,
+  CASE WHEN target = 'volatility' AND series = 'walk_forward_model' AND split = 'all' AND avg(a) > 0 THEN avg(p) / avg(a) END AS calibration_ratio FROM ev GROUP BY target, series, split),
+rq AS (SELECT *, rank() OVER (d ORDER BY p) + (count(*) OVER (PARTITION BY target, series, date, p) - 1) / 2.0 AS rp, rank() OVER (d ORDER BY a) + (count(*) OVER (PARTITION BY target, series, date, a) - 1) / 2.0 AS ra,
+  row_number() OVER (d ORDER BY p DESC, ticker) AS kp, row_number() OVER (d ORDER BY a DESC, ticker) AS ka FROM sr WINDOW d AS (PARTITION BY target, series, date)),
+dy AS (SELECT target, series, date, split, CASE WHEN count(*) >= 2 AND min(rp) < max(rp) AND min(ra) < max(ra) THEN corr(rp, ra) END AS ic, max(CAST(kp = 1 AND ka = 1 AS INT)) AS top FROM rq GROUP BY ALL),
+dd AS (SELECT target, series, unnest(CASE WHEN series = 'walk_forward_model' THEN ['all', split] ELSE ['all'] END) AS split, ic, top FROM dy),
+dg AS (SELECT target, series, split, avg(ic) AS mean_rank_correlation, CASE WHEN target = 'rar' AND series = 'walk_forward_model' AND split = 'all' THEN avg(top) END AS top_selection_hit_rate FROM dd GROUP BY target, series, split),
+al AS (SELECT target, series, split, unnest(['observations', 'mae', 'rmse', 'directional_accuracy', 'calibration_ratio']) AS metric, unnest([observations, mae, rmse, directional_accuracy, calibration_ratio]) AS value FROM er
+  UNION ALL SELECT target, series, split, unnest(['mean_rank_correlation', 'top_selection_hit_rate']), unnest([mean_rank_correlation, top_selection_hit_rate]) FROM dg)
+SELECT 'ridge_rar' AS strategy, true AS ridge_reference, target, split, series, metric, round(value, 5) AS value FROM al WHERE value IS NOT NULL"""

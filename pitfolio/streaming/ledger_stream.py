@@ -3,35 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor
 
 OUT = "portfolio_id string, fill_id long, ticker string, shares double, position double, cash double, accepted boolean"
-_STATE = "cash double, tickers array<string>, shares array<double>"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def ledger_stream(fills: DataFrame, initial: float = 0.0) -> DataFrame:
-    """fills (portfolio_id, fill_id, ticker, shares, cash_flow) as a stream to one row a fill: the position and cash after it.
+class _Book(StatefulProcessor):
+    """A portfolio's cash as one value, its positions as a map by ticker: a batch reads and writes only the tickers it fills."""
 
-    Fills of a portfolio in a batch are booked in order of fill_id. A buy that would leave
-    the cash below -1e-9 is not booked and comes out with accepted false. State is a
-    portfolio's cash and its positions that are not dust.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def book(key, parts, state):
-        cash, tickers, shares = state.get if state.exists else (initial, [], [])
-        held = dict(zip(tickers, shares, strict=True))
-        out = []
-        for f in pd.concat(list(parts)).sort_values("fill_id").itertuples():
+    def __init__(self, initial: float):
+        self.initial = initial
+
+    def init(self, handle) -> None:
+        self.cash = handle.getValueState("cash", "cash double")
+        self.held = handle.getMapState("held", "ticker string", "shares double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        cash = self.cash.get()[0] if self.cash.exists() else self.initial
+        mine, out = {}, []
+        for f in pd.concat(list(rows)).sort_values("fill_id").itertuples():
+            if f.ticker not in mine:
+                mine[f.ticker] = self.held.getValue((f.ticker,))[0] if self.held.containsKey((f.ticker,)) else 0.0
             ok = f.shares <= 0 or cash + f.cash_flow >= -1e-9
             if ok:
                 cash += f.cash_flow
-                held[f.ticker] = held.get(f.ticker, 0.0) + f.shares
-                if abs(held[f.ticker]) < 1e-12:
-                    del held[f.ticker]
-            out.append((key[0], f.fill_id, f.ticker, f.shares, held.get(f.ticker, 0.0), cash, bool(ok)))
-        state.update((float(cash), list(held), [float(x) for x in held.values()]))
+                left = mine[f.ticker] + f.shares
+                mine[f.ticker] = left if abs(left) >= 1e-12 else 0.0
+            out.append((key[0], f.fill_id, f.ticker, f.shares, mine[f.ticker], cash, bool(ok)))
+        for ticker, shares in mine.items():
+            if shares:
+                self.held.updateValue((ticker,), (float(shares),))
+            elif self.held.containsKey((ticker,)):
+                self.held.removeKey((ticker,))
+        self.cash.update((float(cash),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
+    def close(self) -> None:
+        pass
+
+
+def ledger_stream(fills: DataFrame, initial: float = 0.0) -> DataFrame:
+    """fills (portfolio_id, fill_id, ticker, shares, cash_flow) as a stream to one row a fill: the position and cash after it.
+
+    Fills of a portfolio in a batch are booked in order of fill_id. A buy that would leave
+    the cash below -1e-9 is not booked and comes out with accepted false. State is keyed by
+    portfolio and ticker: what a batch writes is in proportion to the tickers it fills, and
+    a position that is dust leaves the state. Needs the RocksDB state store, which is set for
+    the session if none is.
+    """
+    conf = fills.sparkSession.conf
+    if "RocksDB" not in (conf.get(_PROVIDER, None) or ""):
+        conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = fills.selectExpr("cast(portfolio_id as string) portfolio_id", "cast(fill_id as long) fill_id", "ticker", "cast(shares as double) shares", "cast(cash_flow as double) cash_flow")
-    return rows.groupBy("portfolio_id").applyInPandasWithState(book, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("portfolio_id").transformWithStateInPandas(_Book(initial), OUT, "Append", "None")

@@ -125,7 +125,7 @@ def test_ridge_equals_a_direct_solve(spark):
         members.setdefault(s.refit_idx, set()).add(s.decision_idx)
     for i in range(60):
         assert members.get(i, set()) == {j for j in range(59) if j <= i - 2 and 7 * j + 8 < 7 * i and 7 * (i - j) <= 200}
-    got = {c.refit_idx: c for c in models.ridge_walkforward(df, sets, names, alpha=2.0, min_rows=40, every=4).collect()}
+    got = {c.refit_idx: c for c in models.ridge_walkforward(df, models.training_windows(sched, embargo=1, window_days=200), names, alpha=2.0, min_rows=40, every=4).collect()}
     first = min(i for i, m in members.items() if sum(x[0] in m and x[6] is not None for x in rows) >= 40)
     assert sorted(got) == list(range(first, 60, 4))
     for i, c in got.items():
@@ -253,7 +253,8 @@ def test_artifacts_and_catalogue(spark, tmp_path):
     assert [r.run_id for r in runs] == ["run2", "run1"] and [x["rows"] for x in runs[0].tables] == [2, 2]
     sums = {r.name: r.checksum for r in artifacts.run_report(spark, str(tmp_path), "run1").collect()}
     assert sums["board"] == sums["values"] == artifacts.result_hash(t).first().checksum
-    assert spark.read.json(str(tmp_path / "run0" / "log")).count() == 2 and spark.read.option("header", True).csv(str(tmp_path / "run0" / "board_csv")).count() == 2
+    at = lambda name: artifacts.artifact_path(spark, str(tmp_path), "run0", name)
+    assert spark.read.json(at("log")).count() == 2 and spark.read.option("header", True).csv(at("board_csv")).count() == 2
 
 
 def test_price_files(spark, tmp_path):
