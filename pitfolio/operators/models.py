@@ -195,3 +195,15 @@ def ml_strategy(kind: str, features: DataFrame, schedule: DataFrame, labels: Dat
     if kind != "return":
         sigma = forecast(vols.select("decision_idx", "ticker", log_vol_label(F.col("vol")).alias("label"))).withColumn("predicted", vol_of_label(F.col("predicted")))
     return select_weights(score_forecasts(kind, mu, sigma, cost_bps), kind, top_k, edge_floor, weighting)
+
+
+def ml_grid(base: str, windows: list[int], expanding: bool = False, embargo: list[int] | None = None, fixed: dict | None = None) -> list[dict]:
+    """Specs of a learned strategy, one a combination: name, train_window_days, expanding, embargo_intervals.
+
+    Axes that ``fixed`` sets are no axes. A name is base_key=value_key=value over the axes, in that order.
+    """
+    from itertools import product
+
+    fixed = fixed or {}
+    axes = {k: v for k, v in {"train_window_days": windows, "expanding": [False, True] if expanding else [False], "embargo_intervals": embargo or [1]}.items() if k not in fixed}
+    return [dict(fixed) | dict(zip(axes, values, strict=True)) | {"name": "_".join([base, *[f"{k}={v}" for k, v in zip(axes, values, strict=True)]])} for values in product(*axes.values())]
