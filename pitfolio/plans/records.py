@@ -157,9 +157,9 @@ def q_ledger_stream(spark, sf_dir):
     """Line items as a stream of fills: live positions and cash after every fill, by keyed state."""
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     side = F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)
-    fills = i.select(
-        F.col("l_suppkey").cast("string").alias("portfolio_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fill_id"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("ticker"),
-        (side * F.col("l_quantity")).alias("shares"), (-side * F.col("l_extendedprice")).alias("cash_flow"),
+    # Items of one order and line are one fill.
+    fills = i.groupBy(F.col("l_suppkey").cast("string").alias("portfolio_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fill_id")).agg(
+        F.max(F.concat("l_linestatus", F.col("l_linenumber").cast("string"))).alias("ticker"), F.sum(side * F.col("l_quantity")).alias("shares"), F.sum(-side * F.col("l_extendedprice")).alias("cash_flow")
     )
     at = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     fills.write.parquet(f"{at}/in")
@@ -239,7 +239,7 @@ lv AS (SELECT b.ticker, min(m.decision_idx) AS k FROM bo b JOIN mk m ON m.ticker
 SELECT 'buy_and_hold' AS portfolio_id, decision_idx, ticker, 'buy' AS side, round(shares, 6) AS shares, round(paid, 4) AS fill_price, round(-shares * paid, 2) AS cash_flow FROM bo
 UNION ALL SELECT 'buy_and_hold', lv.k, ticker, 'sell', round(-b.shares, 6), round(m.fill * (1 - 5.0 / 1e4), 4), round(b.shares * m.fill * (1 - 5.0 / 1e4), 2) FROM lv JOIN bo b USING (ticker) JOIN mk m ON m.ticker = lv.ticker AND m.decision_idx = lv.k""",
     "ml_grid": _grid_sql(),
-    "ledger_stream": """WITH f AS (SELECT CAST(l_suppkey AS VARCHAR) AS portfolio_id, l_orderkey * 10 + l_linenumber AS fill_id, l_linestatus || CAST(l_linenumber AS VARCHAR) AS ticker, CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END * l_quantity AS shares, -CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END * l_extendedprice AS flow FROM lineitem)
+    "ledger_stream": """WITH f AS (SELECT CAST(l_suppkey AS VARCHAR) AS portfolio_id, l_orderkey * 10 + l_linenumber AS fill_id, max(l_linestatus || CAST(l_linenumber AS VARCHAR)) AS ticker, sum(CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END * l_quantity) AS shares, sum(-CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END * l_extendedprice) AS flow FROM lineitem GROUP BY 1, 2)
 SELECT portfolio_id, fill_id, ticker, CAST(shares AS DOUBLE) AS shares, round(CAST(sum(shares) OVER (PARTITION BY portfolio_id, ticker ORDER BY fill_id) AS DOUBLE), 4) AS position, round(1e9 + sum(flow) OVER (PARTITION BY portfolio_id ORDER BY fill_id), 2) AS cash, true AS accepted FROM f""",
     "kept_event_bars": "SELECT event_type AS ticker, CAST(ts AS DATE) AS start, arg_min(value, {'t': ts, 'i': event_id}) AS open, max(value) AS high, min(value) AS low, arg_max(value, {'t': ts, 'i': event_id}) AS close, count(*) AS volume FROM events WHERE value IS NOT NULL GROUP BY ALL",
 }
