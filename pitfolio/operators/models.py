@@ -121,8 +121,8 @@ def gbt_predict(model, rows: DataFrame, features: list[str]) -> DataFrame:
     return model.transform(x).withColumnRenamed("prediction", "predicted").drop("_x")
 
 
-def gbt_walkforward(rows: DataFrame, sets: DataFrame, refits: list[int], features: list[str], label: str = "label", **params) -> DataFrame:
-    """rows with ``predicted`` of the model of the last refit before or at their decision; one distributed fit a refit."""
+def gbt_walkforward_distributed(rows: DataFrame, sets: DataFrame, refits: list[int], features: list[str], label: str = "label", **params) -> DataFrame:
+    """rows with ``predicted`` of the model of the last refit before or at their decision; one distributed fit a refit, for training sets that no task can hold."""
     out = None
     for n, i in enumerate(refits):
         model = gbt_fit(sets.where(F.col("refit_idx") == i).join(rows, "decision_idx"), features, label, **params)
@@ -132,6 +132,94 @@ def gbt_walkforward(rows: DataFrame, sets: DataFrame, refits: list[int], feature
     return out
 
 
+class BoostedTrees:
+    """Boosted regression trees on binned features: squared error, sums of residuals by node, feature and bin, one level at a time.
+
+    A feature's bins are cut at quantiles of the rows it is fitted on. Of equal gains the first
+    feature and lowest cut count. A leaf is the sum of residuals over rows + ``ridge``.
+    """
+
+    def __init__(self, depth: int = 3, rounds: int = 100, rate: float = 0.1, bins: int = 64, ridge: float = 1.0, min_gain: float = 1e-12):
+        self.depth, self.rounds, self.rate, self.bins, self.ridge, self.min_gain = depth, rounds, rate, bins, ridge, min_gain
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+        self.edges = [np.unique(np.quantile(c, np.arange(1, self.bins) / self.bins)) for c in x.T]
+        codes, self.base, self.trees = self.codes(x), float(y.mean()), []
+        left = y - self.base
+        for _ in range(self.rounds):
+            node, cuts = np.zeros(len(y), np.int64), []
+            for level in range(self.depth):
+                feature, cut = self._splits(codes, left, node, 1 << level)
+                cuts.append((feature, cut))
+                node = 2 * node + (codes[np.arange(len(y)), feature[node]] > cut[node])
+            n, s = np.bincount(node, minlength=1 << self.depth), np.bincount(node, left, 1 << self.depth)
+            leaf = self.rate * s / (n + self.ridge)
+            self.trees.append((cuts, leaf))
+            left = left - leaf[node]
+        return self
+
+    def _splits(self, codes, left, node, nodes) -> tuple[np.ndarray, np.ndarray]:
+        """Feature and bin of each node's best cut; a cut after the last bin where none is worth it."""
+        feature, cut, best = np.zeros(nodes, np.int64), np.full(nodes, self.bins), np.full(nodes, self.min_gain)
+        for f in range(codes.shape[1]):
+            at = node * self.bins + codes[:, f]
+            n = np.bincount(at, minlength=nodes * self.bins).reshape(nodes, -1).cumsum(axis=1)
+            s = np.bincount(at, left, nodes * self.bins).reshape(nodes, -1).cumsum(axis=1)
+            all_n, all_s = n[:, -1:], s[:, -1:]
+            worth = lambda total, k: total * total / (k + self.ridge)
+            gain = np.where((n > 0) & (n < all_n), worth(s, n) + worth(all_s - s, all_n - n) - worth(all_s, all_n), -np.inf)
+            c = gain.argmax(axis=1)
+            g = gain[np.arange(nodes), c]
+            better = g > best + 1e-12
+            feature[better], cut[better], best[better] = f, c[better], g[better]
+        return feature, cut
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        codes, out, row = self.codes(x), np.full(len(x), self.base), np.arange(len(x))
+        for cuts, leaf in self.trees:
+            node = np.zeros(len(x), np.int64)
+            for feature, cut in cuts:
+                node = 2 * node + (codes[row, feature[node]] > cut[node])
+            out += leaf[node]
+        return out
+
+
+def gbt_walkforward(rows: DataFrame, windows: DataFrame, features: list[str], label: str = "label", min_rows: int = 200, every: int = 1, most_rows: int = 4_000_000, **trees) -> DataFrame:
+    """(decision_idx, ticker, refit_idx, predicted): boosted trees of the last refit before or at each decision, all refits in one job.
+
+    rows: decision_idx, ticker, features, label (null: to be forecast only). windows: those of
+    ``training_windows``. Every refit is one group of rows: those of its window, and those it
+    forecasts, up to the next refit. Groups are fitted side by side, one task each; a window
+    bounds a group by its days times the tickers. A group of more than ``most_rows`` rows is
+    an error, and ``gbt_walkforward_distributed`` the way for it. trees: see BoostedTrees.
+    """
+    x = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)]
+    r = rows.dropna(subset=features).select("decision_idx", "ticker", *x, F.col(label).cast("double").alias("_y"))
+    per = r.where("_y is not null").groupBy("decision_idx").agg(F.count("*").alias("rows"))
+    flagged = refit_flags(window_sums(per, windows, ["rows"]).where("rows > 0"), min_rows, every).where("refit").select("refit_idx")
+    member = windows.join(flagged, "refit_idx").where("lo <= hi").select("refit_idx", F.explode(F.sequence("lo", "hi")).alias("decision_idx"), F.lit(True).alias("_fit"))
+    days = r.select("decision_idx").distinct().join(flagged.select(F.col("refit_idx").alias("decision_idx"), F.col("refit_idx").alias("at")), "decision_idx", "full")
+    now = days.withColumn("refit_idx", F.last("at", ignorenulls=True).over(Window.orderBy("decision_idx"))).where("refit_idx is not null").select("refit_idx", "decision_idx", F.lit(False).alias("_fit"))
+    both = member.unionByName(now).join(r, "decision_idx").where("_y is not null or not _fit")
+
+    def fit(table):
+        import pyarrow as pa
+
+        if table.num_rows > most_rows:
+            raise ValueError(f"a refit has {table.num_rows} rows, more than {most_rows}: use gbt_walkforward_distributed")
+        table = table.sort_by([("decision_idx", "ascending"), ("ticker", "ascending")])
+        xs = np.stack([table.column(f"_x{i}").to_numpy() for i in range(len(features))], axis=1)
+        use = table.column("_fit").to_numpy(zero_copy_only=False)
+        ask = table.filter(pa.array(~use))
+        model = BoostedTrees(**trees).fit(xs[use], table.column("_y").to_numpy()[use])
+        return pa.table({"decision_idx": ask.column("decision_idx").cast(pa.int32()), "ticker": ask.column("ticker"), "refit_idx": ask.column("refit_idx").cast(pa.int32()), "predicted": pa.array(model.predict(xs[~use]))})
+
+    return both.groupBy("refit_idx").applyInArrow(fit, "decision_idx int, ticker string, refit_idx int, predicted double")
+
+
 def predict(rows: DataFrame, coefs: DataFrame, features: list[str]) -> DataFrame:
     """rows (decision_idx, features) with ``predicted`` by the model of the last refit; none before the first."""
     days = rows.select("decision_idx").distinct().join(coefs.select(F.col("refit_idx").alias("decision_idx"), "coefs"), "decision_idx", "full")

@@ -310,6 +310,13 @@ def q_ml_evaluation(spark, sf_dir):
     return _rounded(evaluation.evaluate_forecasts(base._forecasts(spark, sf_dir)))
 
 
+def q_gbt_walkforward(spark, sf_dir):
+    """Forecasts of the next interval's return by boosted trees, refitted every 50 decisions."""
+    f, s, ret, _ = _labelled(spark, sf_dir)
+    rows = f.join(ret.select("decision_idx", "ticker", F.col("ret").alias("label")), ["decision_idx", "ticker"], "left")
+    return _rounded(models.gbt_walkforward(rows, models.training_windows(s), NAMES, every=50, rounds=100), 5)
+
+
 def q_ml_evaluation_full(spark, sf_dir):
     """Return, volatility and risk-adjusted forecasts of the ridge strategy, by split, beside naive ones."""
     f, s, ret, vol = _labelled(spark, sf_dir)
@@ -357,7 +364,7 @@ QUERIES = {
     "best_per_regime": q_best_per_regime, "reliability": q_reliability, "meta_path": q_meta_path, "champion_timeline": q_champion_timeline, "equity_curves": q_equity_curves,
     "training_rows": q_training_rows, "ridge_coefs": q_ridge_coefs, "ml_weights": q_ml_weights, "ml_risk_adjusted": q_ml_risk_adjusted, "select_vol": q_select_vol, "select_rar": q_select_rar,
     "ml_evaluation": q_ml_evaluation, "calibration": q_calibration, "macro_features": q_macro_features,
-    "ml_evaluation_full": q_ml_evaluation_full, "keyword_features": q_keyword_features,
+    "gbt_walkforward": q_gbt_walkforward, "ml_evaluation_full": q_ml_evaluation_full, "keyword_features": q_keyword_features,
 }
 
 # DuckDB SQL from the same named steps.

@@ -137,11 +137,11 @@ def test_ridge_equals_a_direct_solve(spark):
     assert min(i for i, _ in p) == first and p[first + 1, "t1"] == pytest.approx(float(np.dot(got[first].coefs, [1, *next(x for x in rows if x[0] == first + 1 and x[2] == "t1")[3:6]])))
 
 
-def test_boosted_trees_walk_forward(spark):
+def test_boosted_trees_distributed(spark):
     rows = [(i, f"t{t}", float(i % 7), float(t), float((i % 7 > 3) * 2 + t)) for i in range(24) for t in range(3)]
     df = spark.createDataFrame(rows, "decision_idx int, ticker string, a double, b double, label double")
     sets = spark.range(24).selectExpr("cast(id as int) refit_idx").crossJoin(spark.range(24).selectExpr("cast(id as int) decision_idx")).where("decision_idx < refit_idx - 1")
-    out = models.gbt_walkforward(df, sets, [10, 18], ["a", "b"], depth=2, rounds=4, rate=0.5).collect()
+    out = models.gbt_walkforward_distributed(df, sets, [10, 18], ["a", "b"], depth=2, rounds=4, rate=0.5).collect()
     assert len(out) == 14 * 3 and sum(abs(r.predicted - r.label) for r in out) / len(out) < 0.5
 
 
