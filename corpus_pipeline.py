@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from pitfolio.llm import jaccard_join, mixing, packing, pii, quality
 from pitfolio.llm.common import discard, materialize, table
@@ -26,6 +27,11 @@ def _row_key(text) -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _in_order(docs: DataFrame) -> Column:
+    """The columns of ``doc`` as a struct that can be ordered and hashed: maps as their sorted entries."""
+    return F.struct(*[F.array_sort(F.map_entries(F.col(f"doc.`{f.name}`"))).alias(f.name) if isinstance(f.dataType, MapType) else F.col(f"doc.`{f.name}`") for f in docs.schema])
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at 0.8, the row of the smallest id.
 
@@ -42,7 +48,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     discard(linked)
     whole = docs.select(F.struct(*docs.columns).alias("doc"), _row_key(F.col("text")).alias("key"), (mixing.n_words(F.col("text")) > 0).alias("words"))
     kept = whole.where("words").join(stay, "key")
-    again = kept.where("rows > 1").groupBy("key").agg(F.min("doc").alias("doc"))
+    again = kept.where("rows > 1").groupBy("key").agg(F.min_by("doc", _in_order(docs)).alias("doc"))
     return kept.where("rows = 1").select("doc.*").unionByName(again.select("doc.*")).unionByName(whole.where("not words").select("doc.*"))
 
 
@@ -59,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = ["i", "no_i", "s", "no_s", "n"]
     plan = mixing.mixed(docs).select(*keys, F.col("size").alias("n"), "copies").groupBy(*names).agg(F.array_sort(F.collect_list("copies")).alias("copies"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), *keys, size.alias("n")).join(plan, names)
-    k = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("doc")))
+    k = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64(_in_order(docs))))
     both = rows.withColumn("c", F.element_at("copies", k)).where("c > 0")
     return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("copy")).select("doc.*")
 
