@@ -40,7 +40,7 @@ from .common import discard, fold, materialize, table
 from .textwords import arrow_bytes, mix, slices, word_hashes
 
 _END = np.uint64(0x5EED0FE2D0FD0C5)
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 _BITS = 25
 _STEP = np.uint64(0xA24BAED4963EE407)
 
@@ -194,20 +194,25 @@ def grow(train: DataFrame, depth: int = 2, least: int = 8, discount: float = 0.7
 
 
 class _Rows:
-    """Model rows by key, in memory: counts, masses and left masses; the last row stands for none."""
+    """Model rows in order of their keys: counts, masses and left masses; the last row stands for none."""
 
     def __init__(self, k, n, mass, left):
-        import pandas as pd
-
-        k, first = np.unique(k, return_index=True)  # a key may be asked for, and answered, more than once
-        self.index, n, mass, left = pd.Index(k), n[first], mass[first], left[first]
+        self.keys, first = np.unique(k, return_index=True)  # a key may be asked for, and answered, more than once
+        n, mass, left = n[first], mass[first], left[first]
         self.n, self.mass, self.left = np.append(np.nan_to_num(n), 0.0), np.append(np.nan_to_num(mass), 0.0), np.append(left, np.nan)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        return self.index.get_indexer(keys.view(np.int64))
+        """Row of each key, -1 for none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        keys = keys.view(np.int64)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        at[self.keys[at] != keys] = -1
+        return at
 
 
-def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 20 << 20, flush: int = _FLUSH) -> DataFrame:
+def scores(docs: DataFrame, model: Model, p_top: float = 4e-6, block_bytes: int = 20 << 20, flush: int = _FLUSH) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark, depth = docs.sparkSession, model.depth
     often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).toArrow()

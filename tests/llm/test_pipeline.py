@@ -116,3 +116,11 @@ def test_run_is_its_stages(spark, tmp_path):
 @pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
 def test_stages_on_an_empty_table(spark, stage):
     assert stage(spark, spark.createDataFrame([], SCHEMA), "/root/testdata/sf0.001").count() == 0
+
+
+def test_stages_take_columns_of_maps(spark):
+    more = spark.createDataFrame([(*r, {"k": i % 2, "j": 1}) for i, r in enumerate(ROWS)], SCHEMA + ", extra map<string,int>")
+    kept = corpus_pipeline.keep_one(spark, more, "")
+    assert kept.columns == more.columns and rows(kept) == rows(corpus_pipeline.keep_one(spark, more.drop("extra"), ""))
+    assert corpus_pipeline.mix(spark, more, "").columns == more.columns
+    assert rows(corpus_pipeline.mix(spark, more, "")) == rows(corpus_pipeline.mix(spark, more.drop("extra"), ""))
