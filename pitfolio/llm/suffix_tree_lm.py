@@ -212,7 +212,7 @@ class _Rows:
         return at
 
 
-def scores(docs: DataFrame, model: Model, p_top: float = 4e-6, block_bytes: int = 20 << 20, flush: int = _FLUSH) -> DataFrame:
+def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 10 << 20, flush: int = _FLUSH) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark, depth = docs.sparkSession, model.depth
     often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).toArrow()
