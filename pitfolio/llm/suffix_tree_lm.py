@@ -23,8 +23,10 @@ the unseen word. A token is scored in the longest kept state that ends before it
 *Scoring.* The model is one table: a run's hash with the count of a word, the mass of the
 run's last word after the words before, and the mass that the run leaves as a state. Rows
 that hold ``p_top`` of all tokens (at most (depth + 1) / p_top) are broadcast. Documents are
-dealt in blocks of about ``block_bytes``; a block asks for the other rows that its texts
-may need by a join and gets them in one task with its documents (masses in single precision).
+dealt in blocks of about ``block_bytes``; a block sends its sorted keys, cut into parts by
+their first bits, to where the other rows of a part are, and gets the counts and masses back
+in the order of the keys (masses in single precision). Counts cross the same way: one row
+of a shuffle holds the keys of a task in a part.
 
 Words and runs are compared as 64-bit hashes. Nulls: a null text is empty and has the end
 token only. Repeated rows count and are scored one by one.
@@ -78,7 +80,45 @@ def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _level(train: DataFrame, m: int, least: int, own, longer: bool) -> DataFrame:
+def _planes(a: np.ndarray) -> bytes:
+    """All first bytes of the values, then all second ones and so on: sorted keys and small counts compress that way."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _values(column, dtype) -> list[np.ndarray]:
+    """The arrays that ``_planes`` made bytes of, null ones left out."""
+    width = np.dtype(dtype).itemsize
+    return [np.ascontiguousarray(np.frombuffer(b.as_buffer(), np.uint8).reshape(width, -1).T).view(dtype).reshape(-1) for b in column if b.is_valid]
+
+
+def _whole(column, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *_values(column, dtype)])
+
+
+def _cut(bits: int, k: np.ndarray, **columns):
+    """Sorted keys and values beside them as one row (part, k, ..) a part: the keys that share their first ``bits`` bits."""
+    import pyarrow as pa
+
+    part = (k >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    ends = [*first[1:].tolist(), len(k)]
+    packed = {c: pa.nulls(len(first), pa.binary()) if v is None else pa.array([_planes(v[i:j]) for i, j in zip(first.tolist(), ends, strict=False)], pa.binary()) for c, v in {"k": k, **columns}.items()}
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[first]), **packed})
+
+
+def _cut_bits(size: int, part_bytes: int = 8 << 20) -> int:
+    """First bits of a key by which texts of so many bytes are cut into parts."""
+    return min(24, max(1, (int(size) // part_bytes).bit_length()))
+
+
+def _added(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(n[order], first) if len(k) else n
+
+
+def _level(train: DataFrame, m: int, least: int, own, longer: bool, cut: int) -> DataFrame:
     """(m, k, n, ctx, suf): counts of runs of m + 1 words whose parts are in the bitmap ``own``
     (of runs of m words), if ``longer``, and for the runs of m words in it the runs that begin and end them."""
     spark = train.sparkSession
@@ -93,9 +133,8 @@ def _level(train: DataFrame, m: int, least: int, own, longer: bool) -> DataFrame
             k, n = np.unique(np.concatenate(ahead), return_counts=True)
             x = np.concatenate(parts) if parts else np.zeros((0, 3), np.uint64)
             x = x[np.unique(x[:, 0], return_index=True)[1]]
-            for width, cols in ((m + 1, (k.view(np.int64), n.astype(np.int64), None, None)), (m, (x[:, 0].view(np.int64), None, x[:, 1].view(np.int64), x[:, 2].view(np.int64)))):
-                rows = len(cols[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, width, np.int32)), *[pa.nulls(rows, pa.int64()) if c is None else pa.array(c) for c in cols]], names=["m", "k", "n", "ctx", "suf"])
+            for kind, b in ((m + 1, _cut(cut, k, n=n.astype(np.int32), ctx=None, suf=None)), (m, _cut(cut, x[:, 0].copy(), n=None, ctx=x[:, 1].copy(), suf=x[:, 2].copy()))):
+                yield b.append_column("m", pa.array(np.full(b.num_rows, kind, np.int32)))
 
         for part in slices(batches):
             g = runs(*tokens(part.column("text")), m + longer)
@@ -113,21 +152,31 @@ def _level(train: DataFrame, m: int, least: int, own, longer: bool) -> DataFrame
         if size:
             yield from out()
 
-    seen = train.select("text").mapInArrow(run, "m int, k long, n long, ctx long, suf long")
-    return materialize(seen.groupBy("m", "k").agg(F.sum("n").alias("n"), F.max("ctx").alias("ctx"), F.max("suf").alias("suf")).where(F.coalesce("n", F.lit(least)) >= least))
+    def gather(sent):
+        import pyarrow as pa
+
+        k, n = _added(_whole(sent.filter(sent.column("n").is_valid()).column("k"), np.uint64), _whole(sent.column("n"), np.int32).astype(np.int64))
+        k, n = k[n >= least], n[n >= least]
+        run, first = np.unique(_whole(sent.filter(sent.column("n").is_null()).column("k"), np.uint64), return_index=True)
+        ctx, suf = (_whole(sent.column(c), np.uint64)[first] for c in ("ctx", "suf"))
+        cols = [[np.full(len(k), m + 1, np.int32), k, n, None, None], [np.full(len(run), m, np.int32), run, None, ctx, suf]]
+        types = [pa.int32(), *[pa.int64()] * 4]
+        tables = [pa.table([pa.nulls(len(c[0]), t) if v is None else pa.array(v.view(np.int64) if v.dtype == np.uint64 else v, t) for v, t in zip(c, types, strict=True)], names=["m", "k", "n", "ctx", "suf"]) for c in cols]
+        return pa.concat_tables(tables)
 
+    seen = train.select("text").mapInArrow(run, "part int, k binary, n binary, ctx binary, suf binary, m int")
+    return materialize(seen.groupBy("part").applyInArrow(gather, "m int, k long, n long, ctx long, suf long"))
 
-def _words(train: DataFrame) -> DataFrame:
+
+def _words(train: DataFrame, cut: int) -> DataFrame:
     """(k, n) of all tokens."""
 
     def run(batches):
-        import pyarrow as pa
-
         kept, size = [], 0
 
         def out():
             k, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "n"])
+            return _cut(cut, k, n=n.astype(np.int32))
 
         for part in slices(batches):
             kept.append(tokens(part.column("text"))[0])
@@ -138,11 +187,20 @@ def _words(train: DataFrame) -> DataFrame:
         if size:
             yield out()
 
-    return materialize(train.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+    def gather(sent):
+        import pyarrow as pa
+
+        k, n = _added(_whole(sent.column("k"), np.uint64), _whole(sent.column("n"), np.int32).astype(np.int64))
+        return pa.table({"k": pa.array(k.view(np.int64)), "n": pa.array(n)})
+
+    return materialize(train.select("text").mapInArrow(run, "part int, k binary, n binary").groupBy("part").applyInArrow(gather, "k long, n long"))
 
 
 class Model:
-    """rows: table (k, n, mass, left, w); w: how often the run was seen. total and kinds of training words."""
+    """rows: table (k, n, mass, left, w); w: how often the run was seen. total and kinds of training words.
+
+    A word has a row with its count and, where it is a state, another with what it leaves.
+    """
 
     def __init__(self, rows: DataFrame, total: int, kinds: int, depth: int):
         self.rows, self.total, self.kinds, self.depth = rows, total, kinds, depth
@@ -166,14 +224,15 @@ def _states(grams: DataFrame, lower: DataFrame, total: int, discount: float) ->
 
 def grow(train: DataFrame, depth: int = 2, least: int = 8, discount: float = 0.75) -> Model:
     """The model of the training texts."""
-    words = _words(train)
+    cut = _cut_bits(train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    words = _words(train, cut)
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     lower = words.where(F.col("n") >= least).select("k", "n", ((F.col("n") + 1) / (total + kinds + 1)).alias("p"))
     none = F.lit(None).cast("double")
-    parts = [words.select("k", "n", none.alias("mass"), none.alias("left"), F.col("n").alias("w"))]
-    bits, written, counted = bitmap(lower), [words], None
+    parts = []
+    bits, written, counted = bitmap(lower), [], None
     for m in range(1, depth + 2):
-        level = _level(train, m, least, bits, m <= depth)
+        level = _level(train, m, least, bits, m <= depth, cut)
         written.append(level)
         if m > 1:
             listed = counted.join(level.where(F.col("m") == m).select("k", "ctx", "suf"), "k")
@@ -188,95 +247,163 @@ def grow(train: DataFrame, depth: int = 2, least: int = 8, discount: float = 0.7
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    rows = materialize(every.groupBy("k").agg(F.max("n").alias("n"), F.max("mass").alias("mass"), F.max("left").alias("left"), F.max("w").alias("w")))
+    states = materialize(every.groupBy("k").agg(F.max("n").alias("n"), F.max("mass").alias("mass"), F.max("left").alias("left"), F.max("w").alias("w")))
     discard(*written)
+    rows = words.select("k", "n", none.alias("mass"), none.alias("left"), F.col("n").alias("w")).unionByName(states)
     return Model(rows, int(total), int(kinds), depth)
 
 
-class _Rows:
-    """Model rows in order of their keys: counts, masses and left masses; the last row stands for none."""
+class _Top:
+    """Model rows that every task has, in order of their keys. ``slots``: a small bitmap of the keys, to pass most others by."""
 
     def __init__(self, k, n, mass, left):
-        self.keys, first = np.unique(k, return_index=True)  # a key may be asked for, and answered, more than once
-        n, mass, left = n[first], mass[first], left[first]
-        self.n, self.mass, self.left = np.append(np.nan_to_num(n), 0.0), np.append(np.nan_to_num(mass), 0.0), np.append(left, np.nan)
+        order = np.argsort(k)
+        self.keys, self.n, self.mass, self.left = k[order], np.nan_to_num(n[order]).astype(np.int64), mass[order], left[order]
+        self.slots = np.zeros(1 << 21, bool)
+        self.slots[self.keys >> np.uint64(43)] = True
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 for none."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        keys = keys.view(np.int64)
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
         at[self.keys[at] != keys] = -1
         return at
 
 
+def _look(batches, top: _Top, bits: np.ndarray, depth: int, asked_only: bool = False):
+    """Sorted keys that texts may need besides the top rows, and (part of the texts, doc of each token, rows by length)
+    where a row is that of the top rows, that of the keys after them, or -1."""
+    keys, found = [np.zeros(0, np.uint64)], []
+    for part in slices(batches):
+        h, d = tokens(part.column("text"))
+        rows = []
+        for m, (g, ok) in enumerate(runs(h, d, depth + 1)):
+            at = np.full(len(g), -1, np.int32)
+            near = np.arange(len(g)) if not m else np.flatnonzero(ok & top.slots[g >> np.uint64(43)])
+            at[near] = top.find(g[near])
+            lacks = np.flatnonzero(at < 0 if not m else ok & (at < 0) & held(bits, g))
+            keys.append(np.unique(g[lacks]) if asked_only else g[lacks])
+            rows.append((at, lacks))
+        if not asked_only:
+            found.append((part, d, rows))
+    every = np.concatenate(keys)
+    if asked_only:
+        return np.unique(every), []
+    asked, back = np.unique(every, return_inverse=True)
+    at = 0
+    for _, _, rows in found:
+        for row, lacks in rows:
+            row[lacks] = len(top.keys) + back[at : at + len(lacks)]
+            at += len(lacks)
+    return asked, [(part, d, [row for row, _ in rows]) for part, d, rows in found]
+
+
+def _parts_of(rows: DataFrame, cut: int, flush: int) -> DataFrame:
+    """Model rows by part: (part, k, n, mass, left)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept, size = [], 0
+
+        def out():
+            t = pa.Table.from_batches(kept)
+            k, n = t.column("k").to_numpy().view(np.uint64), t.column("n").fill_null(0).to_numpy()
+            order = np.argsort(k, kind="stable")
+            state = t.column("mass").is_valid().to_numpy() | t.column("left").is_valid().to_numpy()
+            mass, left = (t.column(c).to_numpy().astype(np.float32) for c in ("mass", "left"))
+            word, state = order[~state[order]], order[state[order]]
+            yield _cut(cut, k[word], n=n[word], mass=None, left=None)
+            yield _cut(cut, k[state], n=None, mass=mass[state], left=left[state])
+
+        for b in batches:
+            kept.append(b)
+            size += b.num_rows
+            if size >= flush:
+                yield from out()
+                kept, size = [], 0
+        if size:
+            yield from out()
+
+    return rows.select("k", "n", "mass", "left").mapInArrow(run, "part int, k binary, n binary, mass binary, left binary")
+
+
+def _told(known, asked):
+    """For each block's keys in a part the counts, masses and left masses, in the order of the keys."""
+    import pyarrow as pa
+
+    blocks = _values(asked.column("k"), np.uint64)
+    keys = np.concatenate([np.zeros(0, np.uint64), *blocks])
+
+    def at(rows):
+        k = _whole(rows.column("k"), np.uint64)
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        to = np.searchsorted(k, keys)
+        hit = np.flatnonzero(to < len(k))
+        hit = hit[k[to[hit]] == keys[hit]]
+        return hit, order[to[hit]]
+
+    out = {"n": np.zeros(len(keys), np.int64), "mass": np.full(len(keys), np.nan, np.float32), "left": np.full(len(keys), np.nan, np.float32)}
+    hit, of = at(known.filter(known.column("n").is_valid()))
+    out["n"][hit] = _whole(known.column("n"), np.int64)[of]
+    hit, of = at(known.filter(known.column("n").is_null()))
+    for c in ("mass", "left"):
+        out[c][hit] = _whole(known.column(c), np.float32)[of]
+    ends = np.cumsum([0, *map(len, blocks)])
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), **{c: pa.array([_planes(v[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for c, v in out.items()}})
+
+
 def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 10 << 20, flush: int = _FLUSH) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark, depth = docs.sparkSession, model.depth
-    often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).toArrow()
-    top = spark.sparkContext.broadcast(tuple(often[c].to_numpy().astype(t) for c, t in (("k", np.int64), ("n", float), ("mass", float), ("left", float))))
+    often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).groupBy("k").agg(F.max("n").alias("n"), F.max("mass").alias("mass"), F.max("left").alias("left")).toArrow()
+    top = spark.sparkContext.broadcast(_Top(often["k"].to_numpy().view(np.uint64), *(often[c].to_numpy().astype(float) for c in ("n", "mass", "left"))))
     rare = model.rows.where(F.col("w") < max(2.0, p_top * model.total))
     bits = spark.sparkContext.broadcast(bitmap(rare.where("mass is not null or left is not null")))
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-size // block_bytes), -(-rows // 50_000))
+    blocks, cut = max(1, -(-size // block_bytes), -(-rows // 50_000)), _cut_bits(size)
     # By what the row holds, so that it is in one block however often the input is read.
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block).repartition(int(blocks), "block")
 
-    def ask(batches):
+    def ask(mine):
         import pyarrow as pa
 
-        known, kept, size = _Rows(*top.value), {}, 0
+        sent = _cut(cut, _look(mine.to_batches(), top.value, bits.value, depth, asked_only=True)[0])
+        return pa.Table.from_batches([sent.append_column("block", pa.array(np.full(sent.num_rows, mine.column("block")[0].as_py(), np.int32)))])
 
-        def out():
-            for b, keys in kept.items():
-                k = np.unique(np.concatenate(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), b, np.int32))], names=["k", "block"])
-
-        for part in slices(batches):
-            h, d = tokens(part.column("text"))
-            of = part.column("block").to_numpy()[d]
-            for m, (g, ok) in enumerate(runs(h, d, depth + 1)):
-                at = np.arange(len(g)) if not m else np.flatnonzero(ok & held(bits.value, g))
-                at = at[known.find(g[at]) < 0]
-                for b in np.unique(of[at]).tolist():
-                    kept.setdefault(b, []).append(np.unique(g[at][of[at] == b]))
-                    size += len(kept[b][-1])
-            if size >= flush:  # what repeats goes first; only then is a part sent on
-                kept = {b: [np.unique(np.concatenate(x))] for b, x in kept.items()}
-                size = sum(len(x[0]) for x in kept.values())
-                if 2 * size >= flush:
-                    yield from out()
-                    kept, size = {}, 0
-        yield from out()
-
-    asked = dealt.mapInArrow(ask, "k long, block int")
+    asked = dealt.groupBy("block").applyInArrow(ask, "part int, k binary, block int")
     # Written, so that what was asked no longer takes disk when documents and answers meet.
-    answers = materialize(asked.join(rare.select("k", "n", "mass", "left"), "k").select("block", "k", "n", F.col("mass").cast("float").alias("mass"), F.col("left").cast("float").alias("left")))
+    answers = materialize(_parts_of(rare, cut, flush).groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_told, "block int, part int, n binary, mass binary, left binary"))
     total, unit = model.total, model.total + model.kinds + 1
 
     def rate(mine, told):
         import pyarrow as pa
 
-        both = [np.concatenate([a, told.column(c).to_numpy().astype(a.dtype)]) for a, c in zip(top.value, ("k", "n", "mass", "left"), strict=True)]
-        known, parts = _Rows(*both), []
-        for part in slices(mine.to_batches()):
-            h, d = tokens(part.column("text"))
+        known, parts = top.value, []
+        asked, found = _look(mine.to_batches(), known, bits.value, depth)
+        told = told.sort_by("part")
+        values = [np.concatenate([a, _whole(told.column(c), t).astype(a.dtype), [none]]) for c, a, t, none in (("n", known.n, np.int64, 0), ("mass", known.mass, np.float32, 0.0), ("left", known.left, np.float32, np.nan))]
+        counts, mass, leaves = values[0], np.nan_to_num(values[1]), values[2]
+        if len(counts) != len(known.keys) + len(asked) + 1:
+            raise ValueError("the texts of a block changed between two reads")
+        for part, d, found_rows in found:
             n = part.num_rows
             left = None
-            for m, (g, ok) in enumerate(runs(h, d, depth + 1)):
-                at = known.find(g) if ok.all() else np.where(ok, known.find(g), -1)
+            for m, at in enumerate(found_rows):
                 if not m:
-                    count = known.n[at]
+                    count = counts[at]
                     p = base = (count + 1) / unit
                 else:
                     before = np.concatenate([[np.nan], left[:-1]])
-                    state = np.flatnonzero(ok & ~np.isnan(before))
+                    before[np.flatnonzero(d[1:] != d[:-1]) + 1] = np.nan
+                    state = np.flatnonzero(~np.isnan(before))
                     p = p.copy()
-                    p[state] = known.mass[at[state]] + before[state] * p[state]
-                left = known.left[at]
+                    p[state] = mass[at[state]] + before[state] * p[state]
+                left = leaves[at]
             of = lambda w: np.bincount(d, w, n)  # noqa: E731, B023
             parts.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": pa.array(np.bincount(d, minlength=n).astype(np.int64)), "n_known": pa.array(of(count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(of(np.log10(base))), "score": pa.array(of(np.log10(p)))}))
         none = pa.table({c: pa.array([], pa.int64() if c[0] in "dnt" else pa.float64()) for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})

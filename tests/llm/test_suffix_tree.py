@@ -107,3 +107,16 @@ def test_nothing_to_learn_from(spark):
     (r,) = lm.scores(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
     assert lm.scores(none, model).count() == 0
+
+
+def test_keys_cross_in_parts_not_one_by_one():
+    r = np.random.default_rng(3)
+    k = np.unique(np.append(r.integers(0, 1 << 64, 5000, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)))
+    n = r.integers(1, 100, len(k)).astype(np.int32)
+    for bits in (1, 4):
+        sent = lm._cut(bits, k, n=n)
+        assert sent.num_rows == 1 << bits and sent.column("part").to_pylist() == list(range(1 << bits))
+        assert (lm._whole(sent.column("k"), np.uint64) == k).all() and (lm._whole(sent.column("n"), np.int32) == n).all()
+    both, total = lm._added(np.concatenate([k, k[:10]]), np.concatenate([n, n[:10]]))
+    assert (both == k).all() and (total[:10] == 2 * n[:10]).all() and (total[10:] == n[10:]).all()
+    assert lm._cut(4, k[:0], n=n[:0]).num_rows == 0 and len(lm._added(k[:0], n[:0])[0]) == 0
