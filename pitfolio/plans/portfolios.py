@@ -105,14 +105,14 @@ def q_cost_drag(spark, sf_dir):
     return _rounded(book.cost_drag(_item_fills(spark, sf_dir)))
 
 
-def q_reconciliation(spark, sf_dir):
+def q_reconciliation(spark, sf_dir, rows_a_task=250_000):
     """Largest gap between a book's total and the sum of its parts, over all months."""
-    fills = _item_fills(spark, sf_dir)
+    fills = _item_fills(spark, sf_dir).select("portfolio_id", "decision_idx", "ticker", "shares", "cash_flow")
     on = ["portfolio_id", "decision_idx"]
-    held = fills.groupBy(*on, "ticker").agg(F.sum("shares").alias("shares"))
+    parts = fills.count() // rows_a_task + 1  # a task's rows, and with them its memory, stay the same however many there are
+    held = fills.repartition(parts, *on, "ticker").groupBy(*on, "ticker").agg(F.sum("shares").alias("shares"))
     marks = held.select(*on, "ticker", F.lit(10.0).alias("price"))
-    cash = fills.groupBy(*on).agg(F.sum("cash_flow").alias("cash"))
-    totals = fills.groupBy(*on).agg((F.sum("cash_flow") + 10.0 * F.sum("shares")).alias("total")).join(cash, on)
+    totals = fills.repartition(parts, *on).groupBy(*on).agg((F.sum("cash_flow") + 10.0 * F.sum("shares")).alias("total"), F.sum("cash_flow").alias("cash"))
     return coverage.reconciliation(totals, held, marks, on).agg(F.count("*").alias("books"), F.max(F.abs("residual") > 1e-6).alias("off"))
 
 

@@ -303,3 +303,12 @@ def test_interval_volatility_by_hand(spark):
 def test_values_are_cleaned(spark):
     v = spark.createDataFrame([("s", day(0), 1.0, 1), ("s", day(0), 3.0, 0), ("s", day(1), -1.0, 2), ("s", day(2), None, 3)], "strategy string, date date, value double, seq int")
     assert [(r.date, r.value) for r in stats.clean_values(v).collect()] == [(day(0), 1.0)]
+
+
+def test_reconciliation_deals_rows_by_how_many_there_are(spark):
+    from pitfolio.plans.portfolios import q_reconciliation
+
+    few, many = q_reconciliation(spark, "/root/testdata/sf0.001"), q_reconciliation(spark, "/root/testdata/sf0.001", rows_a_task=500)
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500 + 1
+    assert f"{n}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert few.collect() == many.collect()
