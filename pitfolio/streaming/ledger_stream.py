@@ -22,24 +22,28 @@ class _Book(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        cash = self.cash.get()[0] if self.cash.exists() else self.initial
-        mine, out = {}, []
-        for f in pd.concat(list(rows)).sort_values("fill_id").itertuples():
-            if f.ticker not in mine:
-                mine[f.ticker] = self.held.getValue((f.ticker,))[0] if self.held.containsKey((f.ticker,)) else 0.0
-            ok = f.shares <= 0 or cash + f.cash_flow >= -1e-9
+        had = self.cash.get()
+        cash = had[0] if had is not None else self.initial  # a book without cash is new: nothing is held, and nothing asked for
+        fills = pd.concat(list(rows)).sort_values("fill_id")
+        mine, positions, cashes, accepted = {}, [], [], []
+        for ticker, shares, flow in zip(fills["ticker"].tolist(), fills["shares"].tolist(), fills["cash_flow"].tolist(), strict=True):
+            if ticker not in mine:
+                mine[ticker] = self.held.getValue((ticker,))[0] if had is not None and self.held.containsKey((ticker,)) else 0.0
+            ok = shares <= 0 or cash + flow >= -1e-9
             if ok:
-                cash += f.cash_flow
-                left = mine[f.ticker] + f.shares
-                mine[f.ticker] = left if abs(left) >= 1e-12 else 0.0
-            out.append((key[0], f.fill_id, f.ticker, f.shares, mine[f.ticker], cash, bool(ok)))
+                cash += flow
+                left = mine[ticker] + shares
+                mine[ticker] = left if abs(left) >= 1e-12 else 0.0
+            positions.append(mine[ticker])
+            cashes.append(cash)
+            accepted.append(bool(ok))
         for ticker, shares in mine.items():
             if shares:
                 self.held.updateValue((ticker,), (float(shares),))
-            elif self.held.containsKey((ticker,)):
+            elif had is not None and self.held.containsKey((ticker,)):
                 self.held.removeKey((ticker,))
         self.cash.update((float(cash),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        yield pd.DataFrame({"portfolio_id": key[0], "fill_id": fills["fill_id"].array, "ticker": fills["ticker"].array, "shares": fills["shares"].array, "position": positions, "cash": cashes, "accepted": accepted})
 
     def close(self) -> None:
         pass

@@ -293,6 +293,37 @@ def test_ledger_stream(spark, tmp_path):
     assert out[4].cash == pytest.approx(110.0) and out[4].position == 0.0 and out[5].cash == pytest.approx(60.0) and out[3].cash == pytest.approx(0.0)
 
 
+def test_a_new_book_asks_the_store_once():
+    import pandas as pd
+
+    from pitfolio.streaming.ledger_stream import _Book
+
+    class Store(dict):
+        calls = 0
+
+        def asked(self, x):
+            Store.calls += 1
+            return x
+
+        get = lambda self: self.asked(dict.get(self, "v"))
+        exists = lambda self: self.asked("v" in self)
+        update = lambda self, v: self.__setitem__("v", v)
+        containsKey = lambda self, k: self.asked(k in self)
+        getValue = lambda self, k: self.asked(self[k])
+        updateValue = dict.__setitem__
+        removeKey = lambda self, k: self.pop(k)
+
+    book = _Book(100.0)
+    book.cash, book.held = Store(), Store()
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["portfolio_id", "fill_id", "ticker", "shares", "cash_flow"])])
+    (out,) = book.handleInputRows(("p",), frame(("p", 2, "B", 1.0, -50.0), ("p", 1, "A", 2.0, -60.0), ("p", 3, "C", 1.0, -10.0)), None)
+    assert Store.calls == 1
+    assert out[["fill_id", "position", "cash", "accepted"]].values.tolist() == [[1, 2.0, 40.0, True], [2, 0.0, 40.0, False], [3, 1.0, 30.0, True]]
+    (out,) = book.handleInputRows(("p",), frame(("p", 4, "A", -2.0, 70.0), ("p", 5, "B", 1.0, -50.0)), None)
+    assert out["position"].tolist() == [0.0, 1.0] and out["cash"].tolist() == [100.0, 50.0]
+    assert dict(book.held) == {("B",): (1.0,), ("C",): (1.0,)} and book.cash["v"] == (50.0,)
+
+
 def test_interval_volatility_by_hand(spark):
     b = spark.createDataFrame([("AAA", dt.date(2024, 1, d), c) for d, c in ((2, 100.0), (3, 110.0), (5, 99.0), (8, 100.0))], "ticker string, date date, close double")
     s = spark.createDataFrame([(0, dt.date(2024, 1, 1), dt.date(2024, 1, 2), "kept"), (1, dt.date(2024, 1, 4), dt.date(2024, 1, 5), "kept"), (2, dt.date(2024, 1, 7), dt.date(2024, 1, 9), "kept")], "decision_idx int, decision_date date, fill_date date, status string")
