@@ -75,6 +75,16 @@ def test_keep_good_keeps_what_the_scores_keep(spark, tmp_path):
     assert all(x in got for x in data[:300] if x[0] % 3) and not any(x in got for x in data[:300] if x[0] % 3 == 0)
 
 
+def test_keep_good_works_each_statistic_out_once(spark, tmp_path):
+    data = [(i, text(i, 40) if i % 3 else "!!! $$ |||| " * (5 + i % 25), "en", "a", 1) for i in range(300)]
+    spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(data, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    scored = quality.quality_scores(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert plan(corpus_pipeline.keep_good(spark, docs, str(tmp_path))).count("translate(") == plan(scored).count("translate(") > 0
+
+
 def test_hide_personal_equals_redaction(spark, docs):
     extra = spark.createDataFrame([(90, "mail me at joe@mail.com or +1 (743) 555-3824 ok", "en", "a", 1)], SCHEMA)
     got = rows(corpus_pipeline.hide_personal(spark, docs.unionByName(extra), ""))
