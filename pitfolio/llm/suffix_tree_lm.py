@@ -26,7 +26,8 @@ that hold ``p_top`` of all tokens (at most (depth + 1) / p_top) are broadcast. D
 dealt in blocks of about ``block_bytes``; a block sends its sorted keys, cut into parts by
 their first bits, to where the other rows of a part are, and gets the counts and masses back
 in the order of the keys (masses in single precision). Counts cross the same way: one row
-of a shuffle holds the keys of a task in a part.
+of a shuffle holds the keys of a task in a part. Blocks are scored in ``most_shares`` shares,
+one after the other, and only the scores of a share stay.
 
 Words and runs are compared as 64-bit hashes. Nulls: a null text is empty and has the end
 token only. Repeated rows count and are scored one by one.
@@ -356,7 +357,7 @@ def _told(known, asked):
     return pa.table({"block": asked.column("block"), "part": asked.column("part"), **{c: pa.array([_planes(v[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for c, v in out.items()}})
 
 
-def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 10 << 20, flush: int = _FLUSH) -> DataFrame:
+def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int = 10 << 20, flush: int = _FLUSH, most_shares: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark, depth = docs.sparkSession, model.depth
     often = model.rows.where(F.col("w") >= max(2.0, p_top * model.total)).groupBy("k").agg(F.max("n").alias("n"), F.max("mass").alias("mass"), F.max("left").alias("left")).toArrow()
@@ -367,7 +368,7 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
     blocks, cut = max(1, -(-size // block_bytes), -(-rows // 50_000)), _cut_bits(size)
     # By what the row holds, so that it is in one block however often the input is read.
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block).repartition(int(blocks), "block")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("block", block)
 
     def ask(mine):
         import pyarrow as pa
@@ -375,9 +376,6 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
         sent = _cut(cut, _look(mine.to_batches(), top.value, bits.value, depth, asked_only=True)[0])
         return pa.Table.from_batches([sent.append_column("block", pa.array(np.full(sent.num_rows, mine.column("block")[0].as_py(), np.int32)))])
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "part int, k binary, block int")
-    # Written, so that what was asked no longer takes disk when documents and answers meet.
-    answers = materialize(_parts_of(rare, cut, flush).groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_told, "block int, part int, n binary, mass binary, left binary"))
     total, unit = model.total, model.total + model.kinds + 1
 
     def rate(mine, told):
@@ -409,7 +407,19 @@ def scores(docs: DataFrame, model: Model, p_top: float = 2e-5, block_bytes: int
         none = pa.table({c: pa.array([], pa.int64() if c[0] in "dnt" else pa.float64()) for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
         return pa.concat_tables(parts) if parts else none
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # A share of the blocks at a time, so that the disk holds the texts, keys and answers of one share only.
+    shares, out = min(int(blocks), most_shares), None
+    for i in range(shares):
+        mine = dealt.where(F.col("block") % shares == i).repartition(-(-int(blocks) // shares), "block")
+        asked = mine.groupBy("block").applyInArrow(ask, "part int, k binary, block int")
+        # Written, so that what was asked no longer takes disk when documents and answers meet.
+        answers = materialize(_parts_of(rare, cut, flush).groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_told, "block int, part int, n binary, mass binary, left binary"))
+        rated = mine.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        if shares > 1:
+            rated = materialize(rated)
+            discard(answers)
+        out = rated if out is None else out.unionByName(rated)
+    return out
 
 
 def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

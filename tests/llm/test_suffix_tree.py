@@ -120,3 +120,13 @@ def test_keys_cross_in_parts_not_one_by_one():
     both, total = lm._added(np.concatenate([k, k[:10]]), np.concatenate([n, n[:10]]))
     assert (both == k).all() and (total[:10] == 2 * n[:10]).all() and (total[10:] == n[10:]).all()
     assert lm._cut(4, k[:0], n=n[:0]).num_rows == 0 and len(lm._added(k[:0], n[:0])[0]) == 0
+
+
+def test_blocks_are_scored_in_shares(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three w{i % 7} " * (1 + i % 5)) for i in range(40)], "doc_id long, text string")
+    model, written = lm.grow(docs), []
+    monkeypatch.setattr(lm, "materialize", lambda df, f=lm.materialize: written.append(f(df)) or written[-1])
+    got = lm.scores(docs, model, block_bytes=200).collect()
+    rows = [t.count() for t in written if "score" in t.columns]
+    assert len(rows) == 4 and sum(rows) == 40 and max(rows) < 40
+    assert sorted(got) == sorted(lm.scores(docs, model, block_bytes=200, most_shares=1).collect())
