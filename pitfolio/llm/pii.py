@@ -121,7 +121,8 @@ def _words(text: Column) -> Column:
 
 def contexts(docs: DataFrame, reach: int = 40) -> DataFrame:
     """(protected, term): one row for a term in a context; protected is a kind or a kind and an entity."""
-    seen = docs.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    # No filter on the spans: Spark would move it below and find them twice.
+    seen = docs.select("text", base_spans(F.col("text")).alias("spans"))
     seen = seen.select(F.explode(_context_terms(F.col("text"), F.col("spans"), reach)).alias("c")).select("c.kind", "c.entity", F.explode("c.terms").alias("term"))
     return seen.select(F.explode(F.array(F.col("kind"), F.concat_ws(":", "kind", "entity"))).alias("protected"), "term")
 

@@ -93,6 +93,13 @@ def test_revealing_terms_equal_brute_force(spark):
     assert clean[0].spans == "x"
 
 
+def test_contexts_find_spans_once(spark):
+    docs = spark.createDataFrame([("at zed@mail.com or 10.0.0.1",)], "text string").where("text is not null")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    once = plan(docs.select(pii.base_spans(pii.F.col("text")).alias("spans"))).count("array_sort(")
+    assert plan(pii.contexts(docs)).count("array_sort(") == once == 1
+
+
 def test_query_digest(spark, tmp_path):
     spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     names = pii.KINDS
